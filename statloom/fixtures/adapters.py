@@ -400,7 +400,7 @@ SELECT {OWNER}, CASE WHEN p_partkey % 8 = 7 THEN concat({PG_TABLE}, '_i3') ELSE
 FROM {{part}}"""
 
 ADAPTERS["index_pages"] = f"""
-SELECT {OWNER}, {PG_TABLE} AS tablename, concat({PG_TABLE}, '_i', {text('p_partkey % 4')}) AS indexname,
+SELECT {OWNER}, {PG_TABLE} AS tablename, concat({PG_TABLE}, '_i', {text('p_partkey % 8')}) AS indexname,
   'r' AS relkind, CASE WHEN p_size % 11 = 0 THEN 'gin' ELSE 'btree' END AS access_method,
   CAST(p_size * 1000 AS DOUBLE) AS reltuples,
   CAST(CASE WHEN p_size % 13 = 0 THEN 0 ELSE p_size * 4 END AS INT) AS relpages,

@@ -128,7 +128,7 @@ def autogrowth_events(trace: DataFrame, databases: DataFrame) -> DataFrame:
             .select((F.col("_band_no") % 2).alias("band"), F.col("event_class").cast("int").alias("event_class"),
                     *DATABASE, "file_name", whole_div(F.col("duration"), 1000).alias("duration_ms"),
                     "start_time", "end_time",
-                    (F.col("integer_data").cast("decimal(18,0)") * 8 / 1024).cast("decimal(18,6)")
+                    (F.col("integer_data").cast("decimal(18,0)") * 8 / 1024).cast("decimal(24,7)")
                     .alias("change_in_size_mb"))
             .orderBy(F.col("start_time").desc_nulls_last(), *DATABASE, "file_name"))
 

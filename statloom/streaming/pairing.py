@@ -28,9 +28,9 @@ def pair_stream(
     or a gap; ``late`` marks a number not above the last one, which changes no state and can be counted.
     """
     group = [*scope, *keys]
-    columns = [*group, "snapshot_no", "_at", *counters]
+    columns = [*group, "snapshot_no", "at_micros", *counters]
     flat = snapshots.select(
-        *group, F.col("snapshot_no").cast("bigint"), F.unix_micros(F.col(at).cast("timestamp")).alias("_at"),
+        *group, F.col("snapshot_no").cast("bigint"), F.unix_micros(F.col(at).cast("timestamp")).alias("at_micros"),
         *[F.col(c).cast("string") for c in counters])
     kinds = {f.name: f.dataType.simpleString() for f in flat.schema.fields}
     output = ", ".join([*[f"{c} {kinds[c]}" for c in columns], "status string",
@@ -40,6 +40,6 @@ def pair_stream(
     looked_back = flat.groupBy(*group).transformWithStateInPandas(
         LookBack(columns, counters), outputStructType=output, outputMode="Append", timeMode="None")
     return looked_back.select(
-        *group, F.timestamp_micros("_at").alias(at), "snapshot_no", "status",
+        *group, F.timestamp_micros("at_micros").alias(at), "snapshot_no", "status",
         *[F.col(c).cast("bigint").alias(c) for c in counters],
         *[F.col(previous_name(c)).cast("bigint").alias(previous_name(c)) for c in counters])
