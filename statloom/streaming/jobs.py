@@ -53,11 +53,10 @@ def stream_slow_events(documents: DataFrame, min_us: int = events.SLOW_MICROSECO
 
     The capture type is the event name in the document. No state and no shuffle.
     """
-    event = F.col("_event")
-    captured = events.parse_events(documents).select(
-        "_event", event["_name"].alias("object_name"),
-        events.event_field(event, "data", "duration", "bigint").alias("duration"),
-        events.event_field(event, "data", "transaction_state", "int").alias("transaction_state"))
+    captured = events.parse_events(documents).withColumns({
+        "object_name": F.col("_name"),
+        "duration": events.event_field("data", "duration", "bigint"),
+        "transaction_state": events.event_field("data", "transaction_state", "int")})
     return events.shred_parsed(events.slow_event_filter(captured, min_us))
 
 
