@@ -480,11 +480,14 @@ def read_throughput(i: Inputs) -> DataFrame:
 # ------------------------------------------------------------------------------------------------------ streaming
 
 def _numbered_stream(i: Inputs, snapshots: DataFrame, folder: str) -> DataFrame:
-    """Numbered snapshots stored as files by poll time, read back as a stream of two batches."""
+    """Numbered snapshots as a stream of files: the early polls were written first, the later ones after them."""
     numbered = snapshots.join(number_snapshots(snapshots, SERVER), [*SERVER, "collect_date"])
-    for part, wanted in (("a", F.col("snapshot_no") <= 40), ("b", F.col("snapshot_no") > 40)):
-        numbered.filter(wanted).coalesce(1).write.mode("append").parquet(f"{folder}/{part}")
-    return stream_table(i.spark, f"{folder}/*", numbered, files_per_batch=1)
+    numbered.write.parquet(f"{folder}-staged")
+    staged = i.spark.read.parquet(f"{folder}-staged")
+    for part, wanted in (("early", F.col("snapshot_no") <= 15), ("later", F.col("snapshot_no") > 15)):
+        staged.filter(wanted).write.parquet(f"{folder}/{part}")
+    files_per_batch = max(4, len(staged.inputFiles()))
+    return stream_table(i.spark, f"{folder}/*", staged, files_per_batch)
 
 
 def _stream_result(i: Inputs, stream: DataFrame, folder: str) -> DataFrame:

@@ -117,12 +117,12 @@ def _share(pages: DataFrame, relations: DataFrame, database_sizes: DataFrame, sh
            surviving_only: bool) -> DataFrame:
     check(relations, "relations")
     check(database_sizes, "database_sizes")
-    counts = _relation_pages(pages)
     known = (relations.filter(F.col("relation_bytes") > 0)
              .select(*RELATION, "nspname", "relname", "relation_bytes"))
-    surviving = counts.join(known, list(RELATION))
-    totals = ((surviving if surviving_only else counts.filter(F.col("database_name").isNotNull()))
-              .groupBy(*DATABASE).agg(F.sum("buffers").alias("_database_buffers")))
+    surviving = _relation_pages(pages).join(known, list(RELATION))
+    # Counting pages per database once more reads two columns and shuffles one row per task and database.
+    totals = (surviving.groupBy(*DATABASE).agg(F.sum("buffers").alias("_database_buffers")) if surviving_only
+              else _database_pages(pages).withColumnRenamed("buffers", "_database_buffers"))
     joined = (surviving.join(totals, list(DATABASE))
               .join(database_sizes.select(*DATABASE, "database_bytes"), list(DATABASE), "left"))
     report = _with_settings(joined, shared_buffers).select(

@@ -38,11 +38,11 @@ def index_sizes(partitions: DataFrame, allocation_units: DataFrame) -> DataFrame
             .groupBy(*INDEX).agg(pages_to_mb(F.sum("_pages")).alias("index_size_mb")))
 
 
-def named_index_columns(index_columns: DataFrame, columns: DataFrame) -> DataFrame:
-    """Index columns with the name of their table column."""
+def named_index_columns(index_columns: DataFrame, columns: DataFrame, *attributes: str) -> DataFrame:
+    """Index columns with the name, and further attributes, of their table column."""
     check(index_columns, "index_columns")
     check(columns, "columns")
-    names = columns.select(*TABLE, "column_id", F.col("name").alias("column_name"))
+    names = columns.select(*TABLE, "column_id", F.col("name").alias("column_name"), *attributes)
     return index_columns.join(names, [*TABLE, "column_id"])
 
 
@@ -79,11 +79,40 @@ _PAIR_FIELDS = ("index_id", "index_name", "columns", "is_unique", "is_primary_ke
                 "index_size_mb", "type_desc")
 
 
-def _side(fingerprints: DataFrame, columns: str, number: int, keep: tuple[str, ...], key: Column) -> DataFrame:
+def _side(number: int, source: str | None = None, more: tuple[str, ...] = ()) -> list[Column]:
+    """The pair columns of index ``number``, from plain columns or from the struct ``source``."""
     renamed = {"index_id": f"index{number}_id", "index_name": f"index{number}_name"}
-    fields = [F.col(columns if f == "columns" else f).alias(renamed.get(f, f"index{number}_{f}"))
-              for f in _PAIR_FIELDS]
-    return fingerprints.select(*TABLE, *keep, key.alias("_key"), *fields)
+    return [F.col(f"{source}.{f}" if source else f).alias(renamed.get(f, f"index{number}_{f}"))
+            for f in (*_PAIR_FIELDS, *more)]
+
+
+def _equal_pairs(fingerprints: DataFrame, columns: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs, lower index id first, of the indexes of one table whose list ``columns`` is equal.
+
+    Indexes are grouped by table and list, so each fingerprint is computed and shuffled once, and only groups of
+    two and more (at most the number of indexes of one table) are paired.
+    """
+    group = F.sort_array(F.collect_list(F.struct(*[f for f in _PAIR_FIELDS if f != "columns"], "columns", *more)))
+    return (fingerprints.withColumnRenamed(columns, "columns").filter(F.col("columns").isNotNull())
+            .groupBy(*TABLE, "schema_name", "table_name", F.col("columns").alias("_list")).agg(group.alias("_group"))
+            .filter(F.size("_group") > 1)
+            .select(*DATABASE, "schema_name", "table_name", "_group", F.posexplode("_group").alias("_at", "_first"))
+            .select(*DATABASE, "schema_name", "table_name", "_first",
+                    F.explode(F.slice("_group", F.col("_at") + 2, F.size("_group"))).alias("_second"))
+            .select(*DATABASE, "schema_name", "table_name", *_side(1, "_first", more), *_side(2, "_second", more)))
+
+
+def _covered_pairs(fingerprints: DataFrame) -> DataFrame:
+    """Pairs where the list of index 2 is a leading part of the list of index 1, by looking up every prefix."""
+    listed = fingerprints.withColumnRenamed("columns_all", "columns").filter(F.col("columns").isNotNull())
+    names = F.split("columns", SEPARATOR)
+    prefixes = F.explode(F.transform(F.sequence(F.lit(1), F.size(names)),
+                                     lambda n: F.array_join(F.slice(names, F.lit(1), n), SEPARATOR)))
+    left = listed.select(*TABLE, "schema_name", "table_name", prefixes.alias("_prefix"), *_side(1))
+    right = listed.select(*TABLE, F.col("columns").alias("_prefix"), *_side(2))
+    equal = F.col("index1_columns") == F.col("index2_columns")
+    return (left.join(right, [*TABLE, "_prefix"])
+            .filter(~equal | (F.col("index1_id") < F.col("index2_id"))).drop("_prefix", "object_id"))
 
 
 def duplicate_indexes(fingerprints: DataFrame, mode: str = "equal") -> DataFrame:
@@ -91,26 +120,12 @@ def duplicate_indexes(fingerprints: DataFrame, mode: str = "equal") -> DataFrame
 
     ``mode='equal'``: same list, lower index id first. ``mode='prefix'``: index 2 is covered, its list being a
     leading part of index 1's list or, with the lower id first, equal to it; whole column names are compared.
-    The input is the output of ``index_fingerprint``. The join is an equi-join on (table, list): groups of one are
-    never compared, and prefixes are looked up by value instead of testing pairs.
+    The input is the output of ``index_fingerprint``.
     """
-    listed = fingerprints.filter(F.col("columns_all").isNotNull())
-    right = _side(listed, "columns_all", 2, (), F.col("columns_all"))
-    if mode == "equal":
-        left = _side(listed, "columns_all", 1, ("schema_name", "table_name"), F.col("columns_all"))
-        wanted = F.col("index1_id") < F.col("index2_id")
-    elif mode == "prefix":
-        names = F.split("columns_all", SEPARATOR)
-        prefixes = F.explode(F.transform(F.sequence(F.lit(1), F.size(names)),
-                                         lambda n: F.array_join(F.slice(names, F.lit(1), n), SEPARATOR)))
-        left = _side(listed.withColumn("_prefix", prefixes), "columns_all", 1, ("schema_name", "table_name"),
-                     F.col("_prefix"))
-        equal = F.col("index1_columns") == F.col("index2_columns")
-        wanted = (~equal) | (F.col("index1_id") < F.col("index2_id"))
-    else:
+    if mode not in ("equal", "prefix"):
         raise ValueError(f"mode must be 'equal' or 'prefix', not {mode!r}")
-    return (left.join(right, [*TABLE, "_key"]).filter(wanted).drop("_key", "object_id")
-            .orderBy(*DATABASE, "table_name", "index1_id", "index2_id"))
+    pairs = _equal_pairs(fingerprints, "columns_all") if mode == "equal" else _covered_pairs(fingerprints)
+    return pairs.orderBy(*DATABASE, "table_name", "index1_id", "index2_id")
 
 
 def drop_command(schema: Column, table: Column, index: Column) -> Column:
@@ -124,15 +139,10 @@ def duplicate_indexes_keys(fingerprints: DataFrame) -> DataFrame:
 
     The command names the real schema of the table.
     """
-    listed = fingerprints.filter(F.col("columns_key").isNotNull())
-    left = _side(listed, "columns_key", 1,
-                 ("schema_name", "table_name", "columns_included"), F.col("columns_key"))
-    right = _side(listed, "columns_key", 2, ("columns_included",), F.col("columns_key"))
-    return (left.withColumnRenamed("columns_included", "index1_included")
-            .join(right.withColumnRenamed("columns_included", "index2_included"), [*TABLE, "_key"])
-            .filter(F.col("index1_id") < F.col("index2_id"))
+    return (_equal_pairs(fingerprints, "columns_key", ("columns_included",))
+            .withColumnsRenamed({"index1_columns_included": "index1_included",
+                                 "index2_columns_included": "index2_included"})
             .withColumn("cmd_drop", drop_command(F.col("schema_name"), F.col("table_name"), F.col("index2_name")))
-            .drop("_key", "object_id")
             .orderBy(*DATABASE, "table_name", "index1_id", "index2_id"))
 
 
@@ -202,11 +212,10 @@ def index_columns_search(
     check(tables, "tables")
     names = (tables.filter(like_any_case(F.col("name"), pattern))
              .select(*TABLE, F.col("name").alias("table_name")))
-    described = columns.select(*TABLE, "column_id", *TYPE_KEY, "is_nullable", "is_identity", "max_length")
+    described = named_index_columns(index_columns, columns, *TYPE_KEY, "is_nullable", "is_identity", "max_length")
     return (indexes.withColumnRenamed("name", "index_name")
             .join(names, list(TABLE))
-            .join(named_index_columns(index_columns, columns), list(INDEX))
-            .join(described, [*TABLE, "column_id"])
+            .join(described, list(INDEX))
             .join(type_names(types), list(TYPE_KEY))
             .select(*DATABASE, "table_name", "index_id", "index_name", "type_desc", "is_primary_key", "is_unique",
                     "column_name", "is_nullable", "is_identity", "type_name", "max_length", "index_column_id",
@@ -265,12 +274,11 @@ def partition_key_ordinals(
     schemes_named, groups = _spaces(schemes, functions, filegroups)
     space = [*DATABASE, "data_space_id"]
     partitioned = indexes.join(schemes_named.select(*space), space, "left_semi").select(*TABLE).distinct()
-    described = columns.select(*TABLE, "column_id", *TYPE_KEY, "is_identity")
+    described = named_index_columns(index_columns, columns, *TYPE_KEY, "is_identity")
     return (indexes.withColumnRenamed("name", "index_name")
             .join(partitioned, list(TABLE), "left_semi")
             .join(tables.select(*TABLE, F.col("name").alias("table_name")), list(TABLE))
-            .join(named_index_columns(index_columns, columns), list(INDEX))
-            .join(described, [*TABLE, "column_id"])
+            .join(described, list(INDEX))
             .join(type_names(types), list(TYPE_KEY))
             .join(schemes_named, space, "left")
             .join(groups, space, "left")

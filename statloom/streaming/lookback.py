@@ -11,47 +11,51 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 PAIRED, FIRST, LATE = "paired", "first", "late"
 PREFIX = "prev_"
+BUCKET = "bucket"
 
 
 class LookBack(StatefulProcessor):
-    """Emits every row with its status and, for ``paired`` rows, the counters of the preceding snapshot.
+    """Emits every row of a bucket of keys with its status and, if ``paired``, the counters of the preceding snapshot.
 
+    The state is the last row seen of each key of the bucket. One call handles all keys of the bucket at once.
     Counters travel as text, so that 64-bit values and NULLs pass through pandas unchanged.
     """
 
-    def __init__(self, columns: Sequence[str], counters: Sequence[str]):
-        self.columns = list(columns)
+    def __init__(self, keys: Sequence[str], key_types: Sequence[str], counters: Sequence[str]):
+        self.keys = list(keys)
+        self.key_types = list(key_types)
         self.counters = list(counters)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        fields = ", ".join(["snapshot_no bigint", *[f"{c} string" for c in self.counters]])
-        self.last = handle.getValueState("last", fields)
+        fields = [*[f"{k} {t}" for k, t in zip(self.keys, self.key_types)], "snapshot_no bigint",
+                  *[f"{c} string" for c in self.counters]]
+        self.last = handle.getListState("last", ", ".join(fields))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True)[self.columns].sort_values("snapshot_no", kind="stable")
-        known = self.last.get() if self.last.exists() else None
-        last_no = int(known[0]) if known is not None else None
-
-        late = batch["snapshot_no"].duplicated()
-        if last_no is not None:
-            late |= batch["snapshot_no"] <= last_no
-        fresh = batch[~late]
-        previous_no = fresh["snapshot_no"].shift(1)
-        previous = fresh[self.counters].shift(1)
-        if last_no is not None and len(fresh):
-            previous_no.iloc[0] = last_no
-            previous.iloc[0] = list(known[1:])
-        paired = previous_no == fresh["snapshot_no"] - 1
-
-        out = batch.assign(status=LATE, **{PREFIX + c: None for c in self.counters})
-        out.loc[fresh.index, "status"] = [PAIRED if p else FIRST for p in paired]
+        remembered = [*self.keys, "snapshot_no", *self.counters]
+        batch = pd.concat(list(rows), ignore_index=True)
+        known = pd.DataFrame.from_records(list(self.last.get()), columns=remembered)
+        both = pd.concat([known.assign(_known=True), batch.assign(_known=False)], ignore_index=True) \
+            if len(known) else batch.assign(_known=False)
+        both = both.sort_values([*self.keys, "snapshot_no", "_known"], ascending=True, kind="stable")
+
+        # Known rows carry the highest number seen of their key; what is not above it, or repeats a number, is late.
+        last_no = both["snapshot_no"].where(both["_known"]).groupby([both[k] for k in self.keys]).transform("max")
+        late = ~both["_known"] & ((both["snapshot_no"] <= last_no) | both.duplicated([*self.keys, "snapshot_no"]))
+        fresh = both[~late]
+        before = fresh.groupby(self.keys, sort=False)[["snapshot_no", *self.counters]].shift(1)
+        paired = before["snapshot_no"] == fresh["snapshot_no"] - 1
+
+        out = both.assign(status=LATE, **{PREFIX + c: None for c in self.counters})
+        out.loc[fresh.index, "status"] = paired.map({True: PAIRED, False: FIRST})
         for counter in self.counters:
-            values = previous[counter].where(paired, None).astype(object)
-            out.loc[fresh.index, PREFIX + counter] = values.where(values.notna(), None)
-        if len(fresh):
-            newest = fresh.iloc[-1]
-            self.last.update((int(newest["snapshot_no"]), *[newest[c] for c in self.counters]))
-        yield out
+            values = before[counter].astype(object)
+            out.loc[fresh.index, PREFIX + counter] = values.where(paired & values.notna(), None)
+        emitted = out[~out["_known"]].drop(columns="_known")
+        if len(emitted) > late.sum():
+            newest = fresh.groupby(self.keys, sort=False).tail(1)[remembered]
+            self.last.put([tuple(None if pd.isna(v) else v for v in row) for row in newest.itertuples(index=False)])
+        yield emitted
 
     def close(self) -> None:
         pass

@@ -1,7 +1,8 @@
 """Pair a stream of snapshots with the immediately preceding snapshot of each key, by keyed state.
 
-Per key the state is the number and the counters of the last snapshot seen. The processor only looks back; deltas
-and predicates are the column expressions of the batch operators, applied afterwards inside the JVM.
+The state is the last snapshot of every key, kept per bucket of keys so that the Python step works on many keys per
+call. The step only looks back; deltas and predicates are the column expressions of the batch operators, applied
+afterwards inside the JVM.
 """
 
 from __future__ import annotations
@@ -12,33 +13,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statloom.plans.snapshots import previous_name
-from statloom.streaming.lookback import LookBack
+from statloom.streaming.lookback import BUCKET, LookBack
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+BUCKETS = 256
 
 
 def pair_stream(
     snapshots: DataFrame, scope: Sequence[str], keys: Sequence[str], counters: Sequence[str],
-    at: str = "collect_date",
+    at: str = "collect_date", buckets: int = BUCKETS,
 ) -> DataFrame:
     """Stream of ``snapshots`` rows with ``status`` and ``prev_<counter>`` columns.
 
     ``snapshots`` carries ``snapshot_no``, the running number of the poll on its server, stamped by whoever polls.
     A row is ``paired`` only if the key's last seen number is exactly one less; ``first`` marks a first appearance
     or a gap; ``late`` marks a number not above the last one, which changes no state and can be counted.
+
+    Keys are hashed to ``buckets``, which spreads a large server over all of them. Choose several per core of the
+    cluster and keep the number for the life of the checkpoint.
     """
     group = [*scope, *keys]
-    columns = [*group, "snapshot_no", "at_micros", *counters]
     flat = snapshots.select(
-        *group, F.col("snapshot_no").cast("bigint"), F.unix_micros(F.col(at).cast("timestamp")).alias("at_micros"),
+        F.pmod(F.xxhash64(*group), F.lit(buckets)).alias(BUCKET), *group,
+        F.col("snapshot_no").cast("bigint"), F.unix_micros(F.col(at).cast("timestamp")).alias("at_micros"),
         *[F.col(c).cast("string") for c in counters])
     kinds = {f.name: f.dataType.simpleString() for f in flat.schema.fields}
-    output = ", ".join([*[f"{c} {kinds[c]}" for c in columns], "status string",
+    output = ", ".join([*[f"{c} {kinds[c]}" for c in flat.columns], "status string",
                         *[f"{previous_name(c)} string" for c in counters]])
-    spark = snapshots.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    looked_back = flat.groupBy(*group).transformWithStateInPandas(
-        LookBack(columns, counters), outputStructType=output, outputMode="Append", timeMode="None")
+    snapshots.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    looked_back = flat.groupBy(BUCKET).transformWithStateInPandas(
+        LookBack(group, [kinds[k] for k in group], counters),
+        outputStructType=output, outputMode="Append", timeMode="None")
     return looked_back.select(
         *group, F.timestamp_micros("at_micros").alias(at), "snapshot_no", "status",
         *[F.col(c).cast("bigint").alias(c) for c in counters],
