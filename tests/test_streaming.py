@@ -3,6 +3,7 @@
 import datetime as dt
 import os
 import uuid
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,9 +95,11 @@ def test_interrupted_purge_is_finished_by_the_next(spark, frame, folder):
 
 
 def test_shared_dir_follows_the_session_setting(spark):
-    spark.conf.set("spark.checkpoint.dir", "hdfs://cluster/shared/")
-    try:
-        assert shared_dir(spark, "x").startswith("hdfs://cluster/shared/x-")
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+    def session(master, **settings):
+        return SimpleNamespace(conf=SimpleNamespace(get=settings.get), sparkContext=SimpleNamespace(master=master))
+
+    cluster = session("yarn", **{"spark.checkpoint.dir": "hdfs://cluster/shared/"})
+    assert shared_dir(cluster, "x").startswith("hdfs://cluster/shared/x-")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(session("yarn"), "x")
     assert shared_dir(spark, "x") != shared_dir(spark, "x")
