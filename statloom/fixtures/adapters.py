@@ -260,8 +260,9 @@ FROM {{orders}}"""
 # --- storage catalogs: tables are parts, indexes and partitions come from their line items
 SCHEMA_NO = whole("p_partkey / 20e0") + " % 5"
 INDEX_NO = "CAST(CASE WHEN l_linenumber = 1 AND l_partkey % 4 = 0 THEN 0 ELSE l_linenumber END AS INT)"
-HOBT = "l_partkey * 100 + l_linenumber * 10 + l_suppkey % 3 + 1"
-COLUMN_NO = "CAST(l_suppkey % 6 + 1 AS INT)"
+HOBT = "object_id * 100 + line * 10 + part"
+PART_KEYS = f"""l_partkey AS object_id, {INDEX_NO} AS index_id, CAST(l_linenumber AS BIGINT) AS line,
+  l_suppkey % 3 + 1 AS part"""
 
 ADAPTERS["tables_catalog"] = f"""
 SELECT {place('p_partkey')}, p_partkey AS object_id, {SCHEMA_NO} AS schema_id, {named('sch', SCHEMA_NO)} AS schema_name,
@@ -279,19 +280,18 @@ SELECT * FROM (VALUES (56, 56, 'int'), (127, 127, 'bigint'), (167, 167, 'varchar
   AS v(system_type_id, user_type_id, name)"""
 
 ADAPTERS["columns"] = f"""
-SELECT DISTINCT {place('l_partkey')}, l_partkey AS object_id, {COLUMN_NO} AS column_id, {named('c', COLUMN_NO)} AS name,
-  CASE {COLUMN_NO} WHEN 1 THEN 56 WHEN 2 THEN 167 WHEN 3 THEN 231 WHEN 4 THEN 61 WHEN 5 THEN 106 ELSE 106 END
-    AS system_type_id,
-  CASE {COLUMN_NO} WHEN 1 THEN 56 WHEN 2 THEN 167 WHEN 3 THEN 256 WHEN 4 THEN 61 WHEN 5 THEN 106 ELSE 300 END
+SELECT {place('object_id')}, object_id, column_id, {named('c', 'column_id')} AS name,
+  CASE column_id WHEN 1 THEN 56 WHEN 2 THEN 167 WHEN 3 THEN 231 WHEN 4 THEN 61 ELSE 106 END AS system_type_id,
+  CASE column_id WHEN 1 THEN 56 WHEN 2 THEN 167 WHEN 3 THEN 256 WHEN 4 THEN 61 WHEN 5 THEN 106 ELSE 300 END
     AS user_type_id,
-  CASE {COLUMN_NO} WHEN 1 THEN 4 WHEN 2 THEN -1 WHEN 3 THEN 256 WHEN 4 THEN 8 ELSE 9 END AS max_length,
-  CASE WHEN {COLUMN_NO} >= 5 THEN 18 ELSE 0 END AS precision, CASE WHEN {COLUMN_NO} >= 5 THEN 2 ELSE 0 END AS scale,
-  CASE WHEN {COLUMN_NO} IN (2, 3) THEN 'Latin1_General_CI_AS' END AS collation_name,
-  CASE WHEN {COLUMN_NO} = 1 THEN 0 ELSE 1 END AS is_nullable, CASE WHEN {COLUMN_NO} = 1 THEN 1 ELSE 0 END AS is_identity
-FROM {{lineitem}}"""
+  CASE column_id WHEN 1 THEN 4 WHEN 2 THEN -1 WHEN 3 THEN 256 WHEN 4 THEN 8 ELSE 9 END AS max_length,
+  CASE WHEN column_id >= 5 THEN 18 ELSE 0 END AS precision, CASE WHEN column_id >= 5 THEN 2 ELSE 0 END AS scale,
+  CASE WHEN column_id IN (2, 3) THEN 'Latin1_General_CI_AS' END AS collation_name,
+  CASE WHEN column_id = 1 THEN 0 ELSE 1 END AS is_nullable, CASE WHEN column_id = 1 THEN 1 ELSE 0 END AS is_identity
+FROM (SELECT DISTINCT l_partkey AS object_id, CAST(l_suppkey % 6 + 1 AS INT) AS column_id FROM {{lineitem}}) x"""
 
 ADAPTERS["indexes"] = f"""
-SELECT *, concat('ix_', {text('object_id')}, ']', {text('index_id')}) AS name,
+SELECT {place('object_id')}, object_id, index_id, concat('ix_', {text('object_id')}, ']', {text('index_id')}) AS name,
   CASE index_id WHEN 0 THEN 'HEAP' WHEN 1 THEN 'CLUSTERED' WHEN 7 THEN 'CLUSTERED COLUMNSTORE' ELSE 'NONCLUSTERED' END
     AS type_desc,
   CAST(CASE index_id WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 7 THEN 5 ELSE 2 END AS INT) AS type,
@@ -300,53 +300,52 @@ SELECT *, concat('ix_', {text('object_id')}, ']', {text('index_id')}) AS name,
   0 AS is_unique_constraint, CASE WHEN index_id = 5 THEN '([c1]>(0))' END AS filter_definition,
   CASE WHEN index_id = 5 THEN 1 ELSE 0 END AS has_filter, CAST(object_id % 5 + index_id % 2 AS INT) AS data_space_id,
   1 AS allow_page_locks, 1 AS allow_row_locks, 0 AS is_hypothetical, CAST(index_id * 10 AS INT) AS fill_factor
-FROM (SELECT DISTINCT {place('l_partkey')}, l_partkey AS object_id, {INDEX_NO} AS index_id FROM {{lineitem}}) x"""
+FROM (SELECT DISTINCT l_partkey AS object_id, {INDEX_NO} AS index_id FROM {{lineitem}}) x"""
 
+# Heaps have no index columns.
 ADAPTERS["index_columns"] = f"""
-SELECT server_name, database_name, object_id, index_id, column_id,
-  CAST(row_number() OVER (PARTITION BY object_id, index_id ORDER BY column_id) AS INT) AS index_column_id,
-  CAST(CASE WHEN column_id >= 5 THEN 0 ELSE row_number() OVER (PARTITION BY object_id, index_id ORDER BY column_id) END
-    AS INT) AS key_ordinal,
+SELECT {place('object_id')}, object_id, index_id, column_id, position AS index_column_id,
+  CASE WHEN column_id >= 5 THEN 0 ELSE position END AS key_ordinal,
   CASE WHEN column_id >= 5 THEN 1 ELSE 0 END AS is_included_column,
   CASE WHEN column_id = 4 THEN 1 ELSE 0 END AS is_descending_key,
   CASE WHEN column_id = 1 THEN 1 ELSE 0 END AS partition_ordinal
-FROM (SELECT DISTINCT {place('l_partkey')}, l_partkey AS object_id, {INDEX_NO} AS index_id, {COLUMN_NO} AS column_id
-      FROM {{lineitem}}) x
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY object_id, index_id ORDER BY column_id) AS INT) AS position
+      FROM (SELECT DISTINCT l_partkey AS object_id, {INDEX_NO} AS index_id, CAST(l_suppkey % 6 + 1 AS INT) AS column_id
+            FROM {{lineitem}}) d) x
 WHERE index_id > 0"""
 
 ADAPTERS["index_usage"] = f"""
-SELECT {place('l_partkey')}, l_partkey AS object_id, {INDEX_NO} AS index_id,
-  CAST(sum(CASE WHEN l_discount > 0.08 THEN 1 ELSE 0 END) AS BIGINT) AS user_seeks,
-  CAST(sum(CASE WHEN l_tax > 0.07 THEN 1 ELSE 0 END) AS BIGINT) AS user_scans,
-  CAST(sum(CASE WHEN l_quantity > 49 THEN 1 ELSE 0 END) AS BIGINT) AS user_lookups,
-  CAST(count(*) AS BIGINT) AS user_updates,
-  max(CASE WHEN l_discount > 0.08 THEN l_shipdate END) AS last_user_seek,
-  max(CASE WHEN l_tax > 0.07 THEN l_shipdate END) AS last_user_scan,
-  max(CASE WHEN l_quantity > 49 THEN l_shipdate END) AS last_user_lookup, max(l_shipdate) AS last_user_update
-FROM {{lineitem}} GROUP BY 1, 2, 3, 4 HAVING sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) > 0"""
+SELECT {place('object_id')}, * FROM (
+  SELECT l_partkey AS object_id, {INDEX_NO} AS index_id,
+    CAST(sum(CASE WHEN l_discount > 0.08 THEN 1 ELSE 0 END) AS BIGINT) AS user_seeks,
+    CAST(sum(CASE WHEN l_tax > 0.07 THEN 1 ELSE 0 END) AS BIGINT) AS user_scans,
+    CAST(sum(CASE WHEN l_quantity > 49 THEN 1 ELSE 0 END) AS BIGINT) AS user_lookups,
+    CAST(count(*) AS BIGINT) AS user_updates,
+    max(CASE WHEN l_discount > 0.08 THEN l_shipdate END) AS last_user_seek,
+    max(CASE WHEN l_tax > 0.07 THEN l_shipdate END) AS last_user_scan,
+    max(CASE WHEN l_quantity > 49 THEN l_shipdate END) AS last_user_lookup, max(l_shipdate) AS last_user_update
+  FROM {{lineitem}} GROUP BY 1, 2 HAVING sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) > 0) x"""
 
 ADAPTERS["partitions"] = f"""
-SELECT {place('l_partkey')}, l_partkey AS object_id, {INDEX_NO} AS index_id, {HOBT} AS hobt_id, {HOBT} AS partition_id,
-  CAST(l_suppkey % 3 + 1 AS INT) AS partition_number, CAST((l_partkey + l_suppkey) % 3 AS INT) AS data_compression,
-  CAST(sum({whole('l_quantity')}) AS BIGINT) AS rows
-FROM (SELECT l_partkey, l_linenumber, l_suppkey % 3 AS l_suppkey, l_quantity FROM {{lineitem}}) x
-GROUP BY 1, 2, 3, 4, 5, 6, 7, 8"""
+SELECT {place('object_id')}, object_id, index_id, {HOBT} AS hobt_id, {HOBT} AS partition_id,
+  CAST(part AS INT) AS partition_number, CAST((object_id + part) % 3 AS INT) AS data_compression, rows
+FROM (SELECT {PART_KEYS}, CAST(sum({whole('l_quantity')}) AS BIGINT) AS rows FROM {{lineitem}} GROUP BY 1, 2, 3, 4) x"""
 
 ADAPTERS["allocation_units"] = f"""
-SELECT {place('l_partkey')}, {HOBT} AS container_id, l_returnflag AS type_desc,
-  CAST(count(*) * 500 AS BIGINT) AS total_pages, CAST(count(*) * 400 + sum(l_linenumber) AS BIGINT) AS used_pages
-FROM {{lineitem}} GROUP BY 1, 2, 3, 4"""
+SELECT {place('object_id')}, {HOBT} AS container_id, type_desc, total_pages, used_pages
+FROM (SELECT {PART_KEYS}, l_returnflag AS type_desc, CAST(count(*) * 500 AS BIGINT) AS total_pages,
+        CAST(count(*) * 400 + sum(l_linenumber) AS BIGINT) AS used_pages
+      FROM {{lineitem}} GROUP BY 1, 2, 3, 4, 5) x"""
 
 ADAPTERS["partition_stats"] = f"""
-SELECT {place('l_partkey')}, l_partkey AS object_id, {INDEX_NO} AS index_id, {HOBT} AS partition_id,
-  CAST(count(*) * 500 AS BIGINT) AS reserved_page_count,
-  CAST(count(*) * 400 + sum(l_linenumber) AS BIGINT) AS used_page_count,
-  CAST(count(*) * 300 AS BIGINT) AS in_row_data_page_count,
-  CAST(count(*) * 300 AS BIGINT) AS in_row_reserved_page_count, CAST(sum(l_linenumber) AS BIGINT) AS lob_used_page_count,
-  CAST(sum(l_linenumber) * 2000 AS BIGINT) AS lob_reserved_page_count,
-  CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS row_overflow_used_page_count,
-  CAST(sum({whole('l_quantity * l_quantity')}) AS BIGINT) AS row_count
-FROM {{lineitem}} GROUP BY 1, 2, 3, 4, 5"""
+SELECT {place('object_id')}, object_id, index_id, {HOBT} AS partition_id, CAST(n * 500 AS BIGINT) AS reserved_page_count,
+  CAST(n * 400 + lines AS BIGINT) AS used_page_count, CAST(n * 300 AS BIGINT) AS in_row_data_page_count,
+  CAST(n * 300 AS BIGINT) AS in_row_reserved_page_count, CAST(lines AS BIGINT) AS lob_used_page_count,
+  CAST(lines * 2000 AS BIGINT) AS lob_reserved_page_count, row_overflow_used_page_count, row_count
+FROM (SELECT {PART_KEYS}, count(*) AS n, sum(l_linenumber) AS lines,
+        CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS row_overflow_used_page_count,
+        CAST(sum({whole('l_quantity * l_quantity')}) AS BIGINT) AS row_count
+      FROM {{lineitem}} GROUP BY 1, 2, 3, 4) x"""
 
 ADAPTERS["internal_tables"] = f"""
 SELECT {place('p_partkey')}, p_partkey AS object_id,

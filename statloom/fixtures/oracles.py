@@ -519,7 +519,8 @@ WHERE i.type < 3""")
 oracle("file_space", "files", f""", f AS (
   SELECT server_name, database_name, file_name, substr(physical_name, 1, 1) AS drive, size_pages // 128 AS size_mb,
     used_pages // 128 AS space_used_mb, (size_pages - used_pages) // 128 AS free_mb FROM files)
-SELECT *, {pct('free_mb', 'size_mb', 2)} AS percent_free FROM f""")
+SELECT *, {pct('space_used_mb', 'size_mb', 2)} AS percent_space_used, {pct('free_mb', 'size_mb', 2)} AS percent_free
+FROM f""")
 
 # --------------------------------------------------------------------------------------------------- buffer cache
 B = q.SHARED_BUFFERS

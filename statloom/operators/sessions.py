@@ -45,11 +45,14 @@ def lock_activity(
     check(sessions, "sessions")
     if how not in ("left", "inner"):
         raise ValueError(f"how must be 'left' or 'inner', not {how!r}")
-    names = relations.select(*DATABASE, F.col("relfilenode").alias("relation"), "nspname", "relname")
+    names = relations.select(*DATABASE, F.col("relfilenode").cast("bigint").alias("_relation"), "nspname", "relname")
+    # Most locks are not on a relation: negative stand-ins, which no relation has, keep them out of one partition.
+    no_relation = -1 - F.pmod(F.xxhash64("pid", "virtualtransaction"), F.lit(4096))
     running = sessions.select(*SERVER, "pid", F.date_trunc("second", "query_start").alias("query_start"),
                               F.substring("query", 1, 60).alias("query"))
     return (_without(locks, own_pid)
-            .join(names, [*DATABASE, "relation"], "left")
+            .withColumn("_relation", F.coalesce(F.col("relation").cast("bigint"), no_relation))
+            .join(names, [*DATABASE, "_relation"], "left")
             .join(running, [*SERVER, "pid"], how)
             .select(*DATABASE, "pid", "locktype", "virtualtransaction", "transactionid", "nspname", "relname", "mode",
                     "granted", "query_start", "query")

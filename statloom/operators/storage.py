@@ -129,6 +129,7 @@ def file_space(files: DataFrame, drive: str | None = None, database: str | None
     return (rows.select("server_name", "database_name", "file_name", _drive(F.col("physical_name")).alias("drive"),
                         pages_to_mb(size).alias("size_mb"), pages_to_mb(used).alias("space_used_mb"),
                         pages_to_mb(size - used).alias("free_mb"))
-            .withColumn("percent_free", F.when(F.col("size_mb") > 0, percent(F.col("free_mb"), F.col("size_mb"), 2))
-                        .cast("decimal(5,2)"))
+            .withColumns({
+                "percent_space_used": percent(F.col("space_used_mb"), F.col("size_mb"), 2).cast("decimal(10,2)"),
+                "percent_free": percent(F.col("free_mb"), F.col("size_mb"), 2).cast("decimal(5,2)")})
             .orderBy(F.col("free_mb").desc_nulls_last(), "server_name", "database_name", "file_name"))

@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from statloom.functions import whole_div
+from statloom.plans.ranking import number_times
 
 CHUNK_POLLS = 4096
 
@@ -32,9 +33,7 @@ def number_snapshots(polls: DataFrame, scope: Sequence[str], at: str = "collect_
     ``polls`` may be the snapshots themselves or, better, a registry of polls: a poll that returned no rows at
     all is only visible in a registry.
     """
-    by_time = W.partitionBy(*scope).orderBy(at)
-    return (polls.select(*scope, at).distinct()
-            .withColumn("snapshot_no", F.row_number().over(by_time).cast("bigint")))
+    return number_times(polls, scope, at, "snapshot_no")
 
 
 def pair_with_previous(

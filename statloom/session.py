@@ -14,6 +14,10 @@ SETTINGS = {
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
     "spark.sql.autoBroadcastJoinThreshold": "32m",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    # Column lists per index are short, so a task may hash many groups before it turns to sorting.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
+    # A join whose partitions all turn out this small is hashed instead of sorted.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
 }
 
 
