@@ -11,18 +11,24 @@ DAY = "dt"
 BATCH = "batch_id"
 
 
-def write_history(df: DataFrame, path: str, at: str = "collect_date", batch_id: int | None = None) -> None:
+def write_history(
+    df: DataFrame, path: str, at: str = "collect_date", batch_id: int | None = None, replace_days: bool = False,
+) -> None:
     """Append ``df`` to the history at ``path``, one folder per day.
 
     Rows are rebalanced by day first: small days end up in one file and adaptive execution splits a day that is
     too large for one. With ``batch_id`` the write is repeatable: a batch that is run again replaces its own files.
+    With ``replace_days`` the days present in ``df`` are replaced as a whole.
     """
     dated = df.withColumn(DAY, F.to_date(at)).hint("rebalance", DAY)
-    if batch_id is None:
-        dated.write.mode("append").partitionBy(DAY).parquet(path)
+    if batch_id is not None:
+        dated = dated.withColumn(BATCH, F.lit(batch_id))
+    folders = [DAY] if batch_id is None else [DAY, BATCH]
+    if batch_id is None and not replace_days:
+        dated.write.mode("append").partitionBy(*folders).parquet(path)
     else:
-        (dated.withColumn(BATCH, F.lit(batch_id)).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy(DAY, BATCH).parquet(path))
+        (dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(*folders).parquet(path))
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
