@@ -353,7 +353,8 @@ SELECT {place('p_partkey')}, p_partkey AS object_id,
 FROM {{part}}"""
 
 ADAPTERS["partition_schemes"] = f"""
-SELECT DISTINCT {place('p_partkey')}, CAST(1 AS INT) AS data_space_id, 11 AS function_id, 'ps_month' AS name FROM {{part}}
+SELECT DISTINCT {place('p_partkey')}, CAST(1 AS INT) AS data_space_id, 11 AS function_id, 'ps_month' AS name
+FROM {{part}}
 UNION ALL
 SELECT DISTINCT {place('p_partkey')}, CAST(4 AS INT), 12, 'ps_orphan' FROM {{part}}"""
 
@@ -374,8 +375,8 @@ SELECT {named('srv', 'l_partkey % 10')} AS server_name, l_partkey AS relfilenode
 FROM {{lineitem}}"""
 
 ADAPTERS["relations"] = f"""
-SELECT {place('p_partkey')}, p_partkey AS relfilenode, CASE WHEN p_size > 45 THEN 'pg_catalog' ELSE p_brand END AS nspname,
-  {named('rel', whole('p_partkey / 40e0'))} AS relname, CASE WHEN p_size % 10 = 0 THEN 'm' ELSE 'r' END AS relkind,
+SELECT {place('p_partkey')}, p_partkey AS relfilenode,
+  CASE WHEN p_size > 45 THEN 'pg_catalog' ELSE p_brand END AS nspname, {named('rel', whole('p_partkey / 40e0'))} AS relname, CASE WHEN p_size % 10 = 0 THEN 'm' ELSE 'r' END AS relkind,
   CAST(CASE WHEN p_partkey % 8 = 0 THEN 0 ELSE p_size * 81920 END AS BIGINT) AS relation_bytes,
   CAST(p_size * 90000 AS BIGINT) AS table_bytes, CAST(p_size * 90000 + p_partkey * 10000 AS BIGINT) AS total_bytes
 FROM {{part}}"""

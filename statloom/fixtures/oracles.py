@@ -504,7 +504,8 @@ SELECT i.server_name, i.database_name, {FULL_NAME} AS table_name,
     || coalesce(' WHERE ' || i.filter_definition, '')
     || coalesce(' WITH (' || nullif(concat_ws(', ', {COMPRESSED.format(list='rowlist', kind='ROW')},
          {COMPRESSED.format(list='pagelist', kind='PAGE')}), '') || ')', '')
-    || ' ON ' || CASE WHEN ps.name IS NULL THEN coalesce({bracket('fg.name')}, '') ELSE ps.name || ' (' || pcol || ')' END
+    || ' ON '
+    || CASE WHEN ps.name IS NULL THEN coalesce({bracket('fg.name')}, '') ELSE ps.name || ' (' || pcol || ')' END
     || ';' END AS index_create_statement,
   i.index_id, i.name AS index_name, f.in_row AS reserved_in_row_gb, f.lob AS reserved_lob_gb, f.row_count,
   u.user_seeks, u.user_scans, u.user_lookups, u.user_updates AS queries_that_modified,
@@ -613,7 +614,8 @@ oracle("table_bloat", "column_stats table_pages index_pages", f""", s AS (
 h AS (SELECT *, w + 23 + 1 AS dh, mx * (nh + (4 - nh % 4) % 4) AS nh2 FROM s),
 j AS (
   SELECT {OWNED}, t.reltuples, t.relpages,
-    CAST(ceil(t.reltuples * (dh + CASE WHEN dh % 4 = 0 THEN 0 ELSE 4 - dh % 4 END + nh2 + 4) / 8172e0) AS BIGINT) AS otta,
+    CAST(ceil(t.reltuples * (dh + CASE WHEN dh % 4 = 0 THEN 0 ELSE 4 - dh % 4 END + nh2 + 4) / 8172e0) AS BIGINT)
+      AS otta,
     coalesce(i.indexname, '?') AS iname, CAST(coalesce(i.reltuples, 0) AS BIGINT) AS ituples,
     CAST(coalesce(i.relpages, 0) AS BIGINT) AS ipages,
     CAST(coalesce(ceil(i.reltuples * (dh - 12) / 8172e0), 0) AS BIGINT) AS iotta

@@ -46,7 +46,8 @@ def compare(spark, con, sf_dir, query, sql):
     if sorted(df.columns) != sorted(d[0] for d in described):
         return f"columns {sorted(set(df.columns) ^ {d[0] for d in described})}"
     spark_types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    types = {n: (spark_types[n], t) for n, t in described if KINDS.get(spark_types[n], spark_types[n]) != KINDS.get(t, t)}
+    types = {n: (spark_types[n], t) for n, t in described
+             if KINDS.get(spark_types[n], spark_types[n]) != KINDS.get(t, t)}
     if types:
         return f"types {types}"
     if got != want:

@@ -85,7 +85,8 @@ def test_repeated_batch_replaces_itself(spark, frame, folder):
 
 
 def test_interrupted_purge_is_finished_by_the_next(spark, frame, folder):
-    df = frame("collect_date timestamp, v int", ("2024-01-02 00:00:00", 1), ("2024-01-02 12:00:00", 2), ("2024-01-03", 3))
+    df = frame("collect_date timestamp, v int", ("2024-01-02 00:00:00", 1), ("2024-01-02 12:00:00", 2),
+               ("2024-01-03", 3))
     write_history(df, folder)
     kept = frame("collect_date timestamp, v int", ("2024-01-02 12:00:00", 2)).withColumn("dt", F.to_date("collect_date"))
     kept.write.partitionBy("dt").parquet(f"{folder}/_purge_2024-01-02")
