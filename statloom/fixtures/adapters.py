@@ -376,7 +376,8 @@ FROM {{lineitem}}"""
 
 ADAPTERS["relations"] = f"""
 SELECT {place('p_partkey')}, p_partkey AS relfilenode,
-  CASE WHEN p_size > 45 THEN 'pg_catalog' ELSE p_brand END AS nspname, {named('rel', whole('p_partkey / 40e0'))} AS relname, CASE WHEN p_size % 10 = 0 THEN 'm' ELSE 'r' END AS relkind,
+  CASE WHEN p_size > 45 THEN 'pg_catalog' ELSE p_brand END AS nspname, {named('rel', whole('p_partkey / 40e0'))} AS relname,
+  CASE WHEN p_size % 10 = 0 THEN 'm' ELSE 'r' END AS relkind,
   CAST(CASE WHEN p_partkey % 8 = 0 THEN 0 ELSE p_size * 81920 END AS BIGINT) AS relation_bytes,
   CAST(p_size * 90000 AS BIGINT) AS table_bytes, CAST(p_size * 90000 + p_partkey * 10000 AS BIGINT) AS total_bytes
 FROM {{part}}"""
