@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statloom.llm import mixing
+from statloom.llm import mixing, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,6 +55,11 @@ k AS (SELECT n, sum(size) AS words FROM r WHERE words <= (SELECT 1.5 * sum(size)
 SELECT doc_id, size, source_size, target, CAST(coalesce(words, 0) AS BIGINT) AS taken FROM q LEFT JOIN k USING (n)"""
 
 
+@register
+def op5_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
