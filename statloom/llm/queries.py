@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from statloom.llm import mixing, packing
+from statloom.llm import mixing, packing, toxicity
+from statloom.llm.fitting import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out(modulus: int, value: int) -> Column:
+    """Rows that fitting leaves aside; a NULL doc_id is never held out (nor can it have a label)."""
+    return F.coalesce(remainder("doc_id", modulus) == value, F.lit(False))
+
+
 @register
 def op1_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_takes(table(spark, sf_dir, "documents"))
@@ -60,6 +67,14 @@ def op5_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@register
+def op10_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit_from(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 3) != 1)
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
