@@ -71,6 +71,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
                   np.array([r["_label"] for r in found], np.int64))
 
 
+def with_excerpts(sample: Sample, below: int, seed: int) -> Sample:
+    """The sample and fewer than ``below`` words from the middle of each text, so that a fit knows short texts too."""
+    words, rng = sample.words(lower=False), np.random.Generator(np.random.PCG64(seed))
+    raw = sample.data.tobytes()
+    texts, label = [raw], [sample.label]
+    for n in np.flatnonzero(words.counts >= below):
+        first = words.first[n] + int(words.counts[n] * rng.uniform(0.25, 0.7))
+        last = min(first + int(rng.integers(1, below)), words.first[n + 1]) - 1
+        texts.append(raw[words.start[first]:words.end[last]])
+        label.append(sample.label[n:n + 1])
+    more = np.cumsum([len(raw)] + [len(t) for t in texts[1:]])[1:]
+    return Sample(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([sample.offsets, more]).astype(np.int64),
+                  np.concatenate(label))
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm import minhash, mixing, packing, toxicity
+from statloom.llm import mil, minhash, mixing, packing, rules, toxicity
 from statloom.llm.fitting import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +62,13 @@ k AS (SELECT n, sum(size) AS words FROM r WHERE words <= (SELECT 1.5 * sum(size)
 SELECT doc_id, size, source_size, target, CAST(coalesce(words, 0) AS BIGINT) AS taken FROM q LEFT JOIN k USING (n)"""
 
 
+@register
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = rules.fit_from(docs, table(spark, sf_dir, "labels"))
+    return rules.apply_rules(docs, model).drop("text")
+
+
 @register
 def op4_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.NearPlan(shingle=3, percent=85))
@@ -72,6 +79,14 @@ def op5_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@register
+def op6_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = mil.fit_from(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
+    return mil.score(docs, model).select(
+        "doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @register
 def op10_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
