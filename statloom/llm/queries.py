@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm import mil, minhash, mixing, packing, rules, toxicity
+from statloom.llm import katz, mil, minhash, mixing, packing, rules, toxicity
 from statloom.llm.fitting import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +62,12 @@ k AS (SELECT n, sum(size) AS words FROM r WHERE words <= (SELECT 1.5 * sum(size)
 SELECT doc_id, size, source_size, target, CAST(coalesce(words, 0) AS BIGINT) AS taken FROM q LEFT JOIN k USING (n)"""
 
 
+@register
+def op2_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = katz.katz_scores(table(spark, sf_dir, "documents"), remainder("doc_id", 7) != 2)
+    return scores.withColumn("held_out", held_out(7, 2)).drop("trained")
+
+
 @register
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
