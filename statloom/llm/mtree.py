@@ -32,8 +32,8 @@ class SearchPlan:
     k: int = 10
     scale: int = 1024
     tree: int = 8192       # entries of a tree
-    page: int = 64         # entries of a leaf page
-    fan: int = 24          # routing vectors that a page is split by
+    page: int = 1024       # entries of a leaf page
+    fan: int = 8           # routing vectors that a page is split by
     block: int = 256       # queries searched together
 
 
@@ -91,9 +91,10 @@ class Tree:
         self.pages: dict[int, tuple] = {}
         for p in pages:
             whole = np.frombuffer(p["entries"], np.int64).reshape(-1, dim)
-            self.pages[p["node"]] = (p["leaf"], whole, whole.astype(np.float64), np.array(p["parent"]),
+            exact = whole.astype(np.float64)
+            greatest = math.sqrt(float((exact ** 2).sum(1).max(initial=0.0)))  # no product exceeds it times the query's
+            self.pages[p["node"]] = (p["leaf"], whole, exact, greatest, np.array(p["parent"]),
                                      None if p["leaf"] else np.array(p["radius"]), p["child"], p["ids"])
-        self.first = self.pages[0][1][:1]
 
     def search(self, query: np.ndarray, own: int, k: int) -> tuple[list[tuple[int, int]], int]:
         """The k best (score, id), ids other than ``own``; and how many products were computed."""
@@ -108,18 +109,21 @@ class Tree:
             worst = best[0][0] if len(best) == k else -math.inf
             if -bound < worst:
                 break
-            leaf, whole, exact, parent, radius, child, ids = self.pages[node]
+            leaf, whole, exact, greatest, parent, radius, child, ids = self.pages[node]
             reach = parent if leaf else parent + radius
             limit = product + length * reach
             some = np.flatnonzero(limit + slack * (1.0 + reach) >= worst)
             if not len(some):
                 continue
             computed += len(some)
-            scores = exact[some] @ q
+            every = len(some) == len(exact)
+            if leaf and length * greatest >= 2 ** 52:  # too large for exact products of floating-point numbers
+                scores = (whole if every else whole[some]) @ query
+            else:
+                scores = (exact if every else exact[some]) @ q
             if leaf:
-                if np.abs(scores).max(initial=0.0) + length * np.abs(exact).max(initial=0.0) >= 2 ** 52:
-                    scores = whole[some] @ query
-                for n in np.argsort(-scores, kind="stable").tolist():
+                able = np.flatnonzero(scores >= worst)
+                for n in able[np.argsort(-scores[able], kind="stable")].tolist():
                     score = int(scores[n])
                     if len(best) == k and score < best[0][0]:
                         break
