@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm import katz, licenses, mil, minhash, mixing, mtree, packing, rules, toxicity
+from statloom.llm import katz, licenses, materialise, mil, minhash, mixing, mtree, packing, rules, toxicity
 from statloom.llm.fitting import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,6 +93,11 @@ def op6_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+@register
+def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialise.materialise(table(spark, sf_dir, "documents"))
+
+
 @register
 def op8_mtree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
