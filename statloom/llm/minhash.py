@@ -2,14 +2,19 @@
 
 A document is the set of its word shingles. Two permutations of the 32-bit numbers make its whole signature: the first
 scatters the set, and coordinate k is the least value that the second, circularly shifted by k, gives to it. Documents
-with equal sets form a class and go on as one. Classes that agree in a band of coordinates are candidates, and
-every candidate is confirmed on the full sets.
-
-Within a band no group is expanded into pairs. Each group compares its members to one head, and whatever is linked
-then is one component. Only groups of three or more with several components left go on, divided by one more band,
-again with a head each; after ``DEPTH`` bands, the groups left hold documents that agree nearly everywhere, and there
-members of different components and fitting sizes are all compared. At a similarity of 0.85, 32 bands of 5 miss
-a pair with a probability of 7e-9, and agreement in three bands with 2e-6.
+with equal sets form a class and go on as one. Classes that agree in a band of coordinates are candidates: at a
+similarity of 0.85, 32 bands of 5 miss a pair with a probability of 7e-9.
+
+No group of a band is expanded into pairs. First every member is compared on the full sets to one head, the group's
+smallest set, and confirmed links are merged into components. Two members that are still apart can't both belong to
+their head's component, so one of them, a probe, is too far from the head. All members of a head are known by their
+differences from it, the shingles missing and the shingles added, and since
+
+    |x & y| = |h| - missing(x) - missing(y) + shared differences
+
+a probe is compared exactly to all members of its head by counting shared differences, as a product of matrices with one
+column per difference that at least two members have. Heads with many members are cut into blocks, and every block of
+probes meets every block of members in a task of bounded size. Only links between components come out.
 """
 
 from __future__ import annotations
@@ -26,7 +31,8 @@ from statloom.llm.components import components
 from statloom.llm.text import Words, chunks, mix64, utf8, words_of
 from statloom.llm.work import stored
 
-DEPTH = 3
+BLOCK = 1000     # members of a head compared to as many others in one task
+COLUMNS = 4096   # differences counted at once
 
 
 @dataclass(frozen=True)
@@ -151,40 +157,83 @@ def _sets(docs: DataFrame, plan: NearPlan) -> DataFrame:
     return docs.select(utf8("text").alias("_bytes")).mapInArrow(run, "print binary, shingles array<long>")
 
 
-def _fits(a: Column, b: Column, plan: NearPlan) -> Column:
-    """Set sizes that a link allows."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * plan.percent
-
-
-def _head_pairs(members: DataFrame, plan: NearPlan) -> DataFrame:
-    """Members (key, print, n, root) of each group, each with the group's head if that is of another component."""
-    heads = (members.groupBy("key").agg(F.min(F.struct("root", "print", "n")).alias("head"),
-                                        F.count(F.lit(1)).alias("_members")).filter("_members > 1"))
-    return (members.join(heads, "key").filter((F.col("root") != F.col("head.root")) & _fits(F.col("n"), F.col("head.n"), plan))
-            .select(F.col("print").alias("a"), F.col("head.print").alias("b")))
-
-
-def _all_pairs(members: DataFrame, plan: NearPlan) -> DataFrame:
-    one, other = (members.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("print", "n", "root")]) for s in "ab")
-    return (one.join(other, "key").filter((F.col("root_a") < F.col("root_b")) & _fits(F.col("n_a"), F.col("n_b"), plan))
-            .select(F.col("print_a").alias("a"), F.col("print_b").alias("b")))
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame, plan: NearPlan) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    common = F.size(F.array_intersect("shingles_a", "shingles_b")).cast("long")
-    union = F.size("shingles_a") + F.size("shingles_b") - common
-    one, other = (sets.select(F.col("print").alias(s), F.col("shingles").alias(f"shingles_{s}")) for s in "ab")
-    return ordered.join(one, "a").join(other, "b").filter(common * 100 >= union * plan.percent).select("a", "b")
-
-
-def _rooted(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members with their component's root so far, and the roots of all linked classes."""
-    roots = stored(components(links), "roots")
-    found = (members.drop("root").join(roots.withColumnRenamed("node", "print"), "print", "left")
-             .withColumn("root", F.coalesce("root", "print")))
-    return found, roots
+def _stars(classes: DataFrame) -> DataFrame:
+    """``head, id`` for every class that shares a band with others, once for each of its heads."""
+    members = classes.select("id", "n", F.explode("bands").alias("key"))
+    heads = (members.groupBy("key").agg(F.min(F.struct("n", "id")).alias("_head"), F.count(F.lit(1)).alias("_members"))
+             .filter("_members > 1").select("key", F.col("_head.id").alias("head")))
+    return members.join(heads, "key").filter("id != head").select("head", "id").distinct()
+
+
+def _compared(stars: DataFrame, sets: DataFrame) -> DataFrame:
+    """Stars with the sizes of both sets and the member's differences from its head."""
+    of_head = sets.select(F.col("id").alias("head"), F.col("shingles").alias("_head"))
+    of_member = sets.select("id", F.col("shingles").alias("_own"))
+    return (stars.join(of_member, "id").join(of_head, "head")
+            .select("head", "id", F.size("_head").alias("n_head"), F.size("_own").alias("n"),
+                    F.array_except("_head", "_own").alias("missing"), F.array_except("_own", "_head").alias("added"))
+            .withColumn("common", F.col("n_head") - F.size("missing")))
+
+
+def _similar(common: Column, one: Column, other: Column, plan: NearPlan) -> Column:
+    return common.cast("long") * 100 >= (one + other - common).cast("long") * plan.percent
+
+
+def _block_links(table: pa.Table, plan: NearPlan) -> pa.Table:
+    """Links between the probes of one block and the members of another, of the same head: one for each probe and each
+    component that it meets."""
+    first, second = table.column("first")[0].as_py(), table.column("second")[0].as_py()
+    block, probe = table.column("block").to_numpy(), table.column("probe").to_numpy(zero_copy_only=False)
+    one, other = np.flatnonzero(probe & (block == first)), np.flatnonzero(block == second)
+    ids, root, n = (table.column(c).to_numpy() for c in ("id", "root", "n"))
+    differences = table.column("differences").combine_chunks()
+    lengths = np.diff(differences.offsets.to_numpy())
+    row = np.repeat(np.arange(len(ids)), lengths)
+    _, key, times = np.unique(differences.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    several = times[key] > 1
+    row, key = row[several], np.unique(key[several], return_inverse=True)[1]
+    order = np.argsort(key, kind="stable")
+    row, key = row[order], key[order]
+    shared = np.zeros((len(one), len(other)), np.float32)
+    for low in range(0, int(key[-1]) + 1 if len(key) else 0, COLUMNS):
+        a, b = np.searchsorted(key, [low, low + COLUMNS])
+        held = np.zeros((len(ids), COLUMNS), np.float32)
+        held[row[a:b], key[a:b] - low] = 1
+        shared += held[one] @ held[other].T
+    missing = table.column("missing").to_numpy()
+    common = table.column("n_head")[0].as_py() - missing[one][:, None] - missing[other][None, :] + np.rint(shared).astype(np.int64)
+    union = n[one].astype(np.int64)[:, None] + n[other][None, :] - common
+    linked = (100 * common >= plan.percent * union) & (root[one][:, None] != root[other][None, :])
+    x, y = np.nonzero(linked)
+    x, y = one[x], other[y]
+    _, some = np.unique(np.stack([x, root[y]], 1), axis=0, return_index=True) if len(x) else (None, np.zeros(0, np.int64))
+    return pa.table({"a": ids[x[some]], "b": ids[y[some]]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+
+def _probed(compared: DataFrame, roots: DataFrame, plan: NearPlan) -> DataFrame:
+    """Links of members that are not in their head's component, to any member of the same head."""
+    def rooted(df: DataFrame, column: str, name: str) -> DataFrame:
+        return (df.join(roots.select(F.col("node").alias(column), F.col("root").alias("_root")), column, "left")
+                .withColumn(name, F.coalesce("_root", column)).drop("_root"))
+
+    members = rooted(rooted(compared.select("head", "id"), "id", "root"), "head", "_of_head")
+    members = stored(members.select("head", "id", "root", (F.col("root") != F.col("_of_head")).alias("probe")), "members")
+    asked = (members.groupBy("head").agg(F.count(F.lit(1)).alias("_n"), F.max("probe").alias("_asked"))
+             .filter("_asked and _n > 1").select("head", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks")))
+    dealt = (members.join(asked, "head").withColumn("block", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")))
+    every = F.sequence(F.lit(0), F.col("_blocks") - 1)
+    other_blocks = F.filter(every, lambda b: b != F.col("block"))
+    as_member = F.transform(every, lambda b: F.struct(b.alias("first"), F.col("block").alias("second")))
+    as_probe = F.transform(F.when(F.col("probe"), other_blocks).otherwise(F.array().cast("array<int>")),
+                           lambda b: F.struct(F.col("block").alias("first"), b.alias("second")))
+    details = compared.select("head", "id", "n", "n_head", F.size("missing").cast("long").alias("missing"),
+                              F.concat("missing", "added").alias("differences"))
+    placed = (dealt.join(details, ["head", "id"])
+              .select("head", "id", "root", "probe", "block", "n", "n_head", "missing", "differences",
+                      F.explode(F.concat(as_member, as_probe)).alias("_at"))
+              .select("*", "_at.first", "_at.second").drop("_at"))
+    return (placed.groupBy("head", "first", "second")
+            .applyInArrow(lambda table: _block_links(table, plan), "a long, b long"))
 
 
 def near_components(docs: DataFrame, plan: NearPlan = NearPlan()) -> DataFrame:
@@ -198,42 +247,29 @@ def near_components(docs: DataFrame, plan: NearPlan = NearPlan()) -> DataFrame:
     docs = docs.select("doc_id", "text")
     sketched = stored(_sketched(docs, plan), "sketches")
     classes = stored(sketched.filter("print is not null").groupBy("print").agg(
-        F.first("bands").alias("bands"), F.first("n_shingles").alias("n"), F.min("doc_id").alias("least")), "classes")
-
-    members = classes.select("print", "n", F.col("print").alias("root"), F.explode("bands").alias("key"))
-    pairs = stored(_head_pairs(members, plan).distinct(), "pairs")
-    wanted = stored(pairs.select(F.col("a").alias("print")).unionAll(pairs.select("b")).distinct(), "paired")
-    sources = classes.join(wanted, "print", "left_semi").select(F.col("least").alias("_least"))
-    texts = docs.join(sources.distinct(), F.col("doc_id").eqNullSafe(F.col("_least")), "left_semi")
-    sets = stored(_sets(texts, plan).join(wanted, "print", "left_semi").dropDuplicates(["print"]), "sets")
-    links = stored(_confirmed(pairs, sets, plan), "confirmed")
-
-    keyed = members.join(wanted, "print", "left_semi")
-    for depth in range(2, DEPTH + 2):
-        rooted, roots = _rooted(keyed, links)
-        mixed = (rooted.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high"),
-                                           F.count(F.lit(1)).alias("_members"))
-                 .filter("_members > 2 and _low != _high"))
-        left = stored(rooted.join(mixed.select("key"), "key", "left_semi"), "mixed")
-        if left.isEmpty():
-            break
-        if depth <= DEPTH:
-            left = stored(left.join(classes.select("print", "bands"), "print")
-                          .select("print", "n", "root", "key", F.explode("bands").alias("_band"))
-                          .filter("_band != key").select("print", "n", "root", F.xxhash64(
-                              F.least("key", "_band"), F.greatest("key", "_band")).alias("key")).distinct(), "divided")
-        more = _head_pairs(left, plan) if depth <= DEPTH else _all_pairs(left, plan)
-        found = stored(_confirmed(more, sets, plan), "confirmed")
-        links, keyed = links.unionAll(found), left
-    else:
-        _, roots = _rooted(keyed, links)
-
-    known = (classes.select("print", "least").join(roots.withColumnRenamed("node", "print"), "print", "left")
-             .withColumn("root", F.coalesce("root", "print")))
+        F.first("bands").alias("bands"), F.first("n_shingles").alias("n"), F.min("doc_id").alias("least"))
+        .withColumn("id", F.monotonically_increasing_id()), "classes")
+
+    stars = stored(_stars(classes), "stars")
+    paired = stars.select("id").unionAll(stars.select("head")).distinct()
+    wanted = stored(classes.join(paired, "id", "left_semi").select("id", "print", "least"), "paired")
+    texts = docs.join(wanted.select(F.col("least").alias("_least")).distinct(),
+                      F.col("doc_id").eqNullSafe(F.col("_least")), "left_semi")
+    sets = stored(_sets(texts, plan).join(wanted.select("id", "print"), "print").drop("print").dropDuplicates(["id"]), "sets")
+    compared = stored(_compared(stars, sets), "compared")
+    links = compared.filter(_similar(F.col("common"), F.col("n"), F.col("n_head"), plan)).select(
+        F.col("id").alias("a"), F.col("head").alias("b"))
+    roots = components(links)
+    more = stored(_probed(compared, roots, plan), "probed")
+    if not more.isEmpty():
+        roots = components(links.unionAll(more))
+
+    known = (classes.select("id", "print", "least").join(roots.withColumnRenamed("node", "id"), "id", "left")
+             .withColumn("root", F.coalesce("root", "id")))
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
     of_class = stored(known.join(least, "root").select("print", "root", "component_id"), "components")
     with_words = sketched.filter("print is not null").select("doc_id", "n_shingles", "print").join(of_class, "print")
-    without = (sketched.filter("print is null").select("doc_id", "n_shingles", "print", F.lit(None).cast("binary").alias("root"),
+    without = (sketched.filter("print is null").select("doc_id", "n_shingles", "print", F.lit(None).cast("long").alias("root"),
                                                        F.col("doc_id").alias("component_id")))
     return with_words.select(*without.columns).unionAll(without)
 
@@ -263,5 +299,5 @@ def drop_near_duplicates(docs: DataFrame, plan: NearPlan = NearPlan()) -> DataFr
     alone = F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string"))
     kept = (printed.join(chosen, F.col("_print") == F.col("print"), "left")
             .filter(F.col("_print").isNull() | F.col("_row.doc_id").cast("long").eqNullSafe(F.col("component_id")))
-            .withColumn("_group", F.coalesce(F.hex("root"), alone)))
+            .withColumn("_group", F.coalesce(F.col("root").cast("string"), alone)))
     return kept.dropDuplicates(["_group"]).select("_row.*")
