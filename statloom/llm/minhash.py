@@ -14,7 +14,8 @@ differences from it, the shingles missing and the shingles added, and since
 
 a probe is compared exactly to all members of its head by counting shared differences, as a product of matrices with one
 column per difference that at least two members have. Heads with many members are cut into blocks, and every block of
-probes meets every block of members in a task of bounded size. Only links between components come out.
+probes meets every block of members in a task of bounded size. What comes out is which components belong together,
+one row for each, not pairs of members.
 """
 
 from __future__ import annotations
@@ -180,8 +181,8 @@ def _similar(common: Column, one: Column, other: Column, plan: NearPlan) -> Colu
 
 
 def _block_links(table: pa.Table, plan: NearPlan) -> pa.Table:
-    """Links between the probes of one block and the members of another, of the same head: one for each probe and each
-    component that it meets."""
+    """Compares the probes of one block with the members of another, of the same head. Of the components that turn out
+    linked, directly or by others, each is given once, tied to the first."""
     first, second = table.column("first")[0].as_py(), table.column("second")[0].as_py()
     block, probe = table.column("block").to_numpy(), table.column("probe").to_numpy(zero_copy_only=False)
     one, other = np.flatnonzero(probe & (block == first)), np.flatnonzero(block == second)
@@ -205,9 +206,23 @@ def _block_links(table: pa.Table, plan: NearPlan) -> pa.Table:
     union = n[one].astype(np.int64)[:, None] + n[other][None, :] - common
     linked = (100 * common >= plan.percent * union) & (root[one][:, None] != root[other][None, :])
     x, y = np.nonzero(linked)
-    x, y = one[x], other[y]
-    _, some = np.unique(np.stack([x, root[y]], 1), axis=0, return_index=True) if len(x) else (None, np.zeros(0, np.int64))
-    return pa.table({"a": ids[x[some]], "b": ids[y[some]]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+    met, ends = np.unique(np.concatenate([root[one][x], root[other][y]]), return_inverse=True)
+    near = np.zeros((len(met), len(met)), bool)
+    near[ends[:len(x)], ends[len(x):]] = True
+    near |= near.T
+    out: list[np.ndarray] = []
+    left = np.ones(len(met), bool)
+    while left.any():  # everything that the first component left reaches
+        start = int(left.argmax())
+        reached, edge = np.zeros(len(met), bool), np.array([start])
+        reached[start] = True
+        while len(edge):
+            edge = np.flatnonzero(near[edge].any(0) & ~reached)
+            reached[edge] = True
+        left &= ~reached
+        out.append(np.stack([np.full(int(reached.sum()) - 1, met[start]), met[reached & (np.arange(len(met)) != start)]], 1))
+    links = np.concatenate([np.zeros((0, 2), np.int64), *out]).astype(np.int64)
+    return pa.table({"a": links[:, 0], "b": links[:, 1]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
 
 def _probed(compared: DataFrame, roots: DataFrame, plan: NearPlan) -> DataFrame:
