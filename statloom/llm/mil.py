@@ -8,17 +8,14 @@ weights are learned together from document labels only.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from statloom.llm.fitting import Adam, Sample, labelled_sample, sigmoid, with_excerpts
 from statloom.llm.subwords import ragged
-from statloom.llm.text import Words, chunks, utf8, words_of
+from statloom.llm.text import Words, binary_parts, map_texts, split
 
 SHARES = 7
 
@@ -183,14 +180,4 @@ def score(docs: DataFrame, model: QualityModel, name: str = "score") -> DataFram
     NULL, empty and blank texts score as an empty bag. Every row is scored by itself, so repeated rows score alike. A
     column called ``name`` is replaced.
     """
-    kept = [c for c in docs.columns if c != name]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches, "_bytes"):
-            scores = score_texts(model, words_of(chunk, "_bytes", lower=False))
-            columns = [c for c, field in zip(chunk.columns, chunk.schema) if field.name != "_bytes"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(scores)], [*kept, name])
-
-    given = docs.select(*[F.col(f"`{c}`") for c in kept])
-    schema = given.schema.add(name, "double")
-    return given.withColumn("_bytes", utf8("text")).mapInArrow(run, schema)
+    return map_texts(docs, {name: "double"}, lambda texts: [score_texts(model, split(*binary_parts(texts), lower=False))])

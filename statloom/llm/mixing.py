@@ -86,7 +86,7 @@ def _queued(sized: DataFrame, sums: DataFrame, targets: DataFrame) -> DataFrame:
 
 def _finish(turn: Column | int) -> Column:
     turn = turn if isinstance(turn, Column) else F.lit(turn)
-    return (F.col("_end") + turn * F.col("source_size")).cast("double") / F.col("target")
+    return F.try_divide((F.col("_end") + turn * F.col("source_size")).cast("double"), "target")
 
 
 def _cut(queued: DataFrame, plan: MixPlan, slices: int, budget: float) -> tuple[float, str] | None:

@@ -7,16 +7,14 @@ a fixed threshold decides. Everything is computed per Arrow batch over whole tex
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from statloom.llm.fitting import Adam, Sample, labelled_sample, sigmoid, with_excerpts
-from statloom.llm.text import SliceHash, Words, chunks, mix64, utf8, words_of
+from statloom.llm.text import SliceHash, Words, binary_parts, map_texts, mix64, split
 
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -193,22 +191,13 @@ def apply_rules(docs: DataFrame, model: RulesModel) -> DataFrame:
     Columns with these names are replaced. NULL, empty and blank texts have no words and so fail. Every row is judged by
     itself, so repeated rows get the same verdict.
     """
-    added = [*COUNTS, "base_failed", "quality", "kept"]
-    kept = [c for c in docs.columns if c not in added]
     plan = model.plan
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches, "_bytes"):
-            words = words_of(chunk, "_bytes", lower=False)
-            found = counts(words, plan)
-            bad, quality = failed(found, plan), probabilities(model, words)
-            columns = [c for c, field in zip(chunk.columns, chunk.schema) if field.name != "_bytes"]
-            results = [*(found[c] for c in COUNTS), bad, quality, ~bad & (quality >= plan.threshold)]
-            yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, results)], [*kept, *added])
-
-    given = docs.select(*[F.col(f"`{c}`") for c in kept])
-    schema = given.schema
-    for name in COUNTS:
-        schema = schema.add(name, "long")
-    schema = schema.add("base_failed", "boolean").add("quality", "double").add("kept", "boolean")
-    return given.withColumn("_bytes", utf8("text")).mapInArrow(run, schema)
+    def compute(texts: pa.Array) -> list:
+        words = split(*binary_parts(texts), lower=False)
+        found = counts(words, plan)
+        bad, quality = failed(found, plan), probabilities(model, words)
+        return [*(found[c] for c in COUNTS), bad, quality, ~bad & (quality >= plan.threshold)]
+
+    added = {name: "long" for name in COUNTS} | {"base_failed": "boolean", "quality": "double", "kept": "boolean"}
+    return map_texts(docs, added, compute)

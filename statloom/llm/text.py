@@ -7,14 +7,15 @@ polynomial over a table of random values per byte: the hash of any slice follows
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHUNK_BYTES = 3 << 20
 WORD = r"[^\x20\x09-\x0D]+"
@@ -146,3 +147,22 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTE
 
 def words_of(chunk: pa.RecordBatch, text: str, **options) -> Words:
     return split(*binary_parts(chunk.column(chunk.schema.get_field_index(text))), **options)
+
+
+def map_texts(docs: DataFrame, added: dict[str, str], compute: Callable[[pa.Array], list]) -> DataFrame:
+    """The columns of ``docs`` and those of ``added`` (name: type), which ``compute`` gives for a chunk of texts as bytes.
+
+    Columns of ``docs`` with the names of new ones are replaced; the others pass through as they are.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in added]).alias("row")
+    given = docs.select(row, utf8("text").alias("bytes"))
+    schema = T.StructType([given.schema["row"]])
+    for name, kind in added.items():
+        schema = schema.add(name, kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks(batches, "bytes"):
+            results = [pa.array(r) for r in compute(chunk.column("bytes"))]
+            yield pa.RecordBatch.from_arrays([chunk.column("row"), *results], ["row", *added])
+
+    return given.mapInArrow(run, schema).select("row.*", *added)

@@ -9,17 +9,14 @@ of clean ones. Vectors and softmax are fitted together.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from statloom.llm.fitting import Sample, labelled_sample, sigmoid
 from statloom.llm.subwords import ragged, subword_buckets
-from statloom.llm.text import Words, chunks, utf8, words_of
+from statloom.llm.text import Words, binary_parts, map_texts, split
 
 
 @dataclass(frozen=True)
@@ -29,8 +26,9 @@ class ToxicityPlan:
     grams: tuple[int, ...] = (3, 4, 5)
     span: int = 12              # words in a span
     least: int = 8              # words that a shorter span counts as
-    first_spans: int = 10       # spans of a text, picked by chance, with which training starts
-    rounds: int = 10            # of training on strongest spans
+    least_texts: int = 3        # texts of the sample in which an n-gram must stand to be learnt
+    first_spans: int = 100      # spans of a text, picked by chance, with which training starts
+    rounds: int = 6             # of training on strongest spans
     rate: float = 0.5
     per_class: int = 1500       # labelled documents of each label that the fit may use
     longest: int = 12_000       # bytes of the longest of them
@@ -91,38 +89,60 @@ class _Fit:
         order = np.argsort(owner, kind="stable")
         self.bucket, self.parts = bucket[order], np.bincount(owner, minlength=len(shown))
         self.begin = np.cumsum(self.parts) - self.parts
+        self.all_words = self.word
         start, size, self.first = _spans(self.words, plan)
         new, self.size = _distinct(self.word, start, size)
         self.word = self.word[new]  # spans follow one another, so they still do without their repeated words
         self.start = np.cumsum(self.size) - self.size
         self.text = np.repeat(np.arange(len(sample.label)), np.diff(self.first))
         self.label = sample.label
-        self.vectors = np.zeros((plan.buckets, plan.size), np.float32)  # buckets that training never meets say nothing
         self.softmax = self.rng.uniform(-1, 1, (plan.size, 2)).astype(np.float32)
         self.bias = np.zeros(2, np.float32)
+        self._start()
         self.seen = np.full(plan.buckets, 1e-6, np.float32)  # squared gradients, for the step size of each bucket
         self.seen_softmax = np.float32(1e-6)
 
+    def _start(self) -> None:
+        """Which buckets several texts have, and vectors that set out from how differently both labels have them.
+
+        What only one or two texts have would just be learnt by heart.
+        """
+        once = np.unique(self.words.text_of * np.int64(len(self.parts)) + self.all_words)
+        word = once % len(self.parts)
+        entry = np.repeat(once // len(self.parts), self.parts[word]) * self.plan.buckets
+        entry = np.unique(entry + self.bucket[ragged(self.begin[word], self.parts[word])])
+        toxic, texts = self.label[entry // self.plan.buckets] == 1, np.bincount(self.label, minlength=2)
+        held = [np.bincount(entry[toxic == k] % self.plan.buckets, minlength=self.plan.buckets) for k in (False, True)]
+        self.common = held[0] + held[1] >= self.plan.least_texts
+        odds = np.log((held[1] + 0.5) / (texts[1] + 1)) - np.log((held[0] + 0.5) / (texts[0] + 1))
+        direction = self.softmax[:, 1] - self.softmax[:, 0]
+        self.vectors = (np.where(self.common, odds, 0.0)[:, None] * direction / (direction @ direction)).astype(np.float32)
+
     def train(self, spans: np.ndarray, labels: np.ndarray, batch: int = 64) -> None:
+        """One pass over the spans; both labels weigh the same."""
+        toxic = labels.mean()
+        weight = np.where(labels == 1, 0.5 / max(toxic, 1e-9), 0.5 / max(1 - toxic, 1e-9))
         order = self.rng.permutation(len(spans))
         for lot in range(0, len(order), batch):
             some = order[lot:lot + batch]
-            self._step(spans[some], labels[some])
+            self._step(spans[some], labels[some], weight[some])
 
-    def _step(self, spans: np.ndarray, labels: np.ndarray) -> None:
+    def _step(self, spans: np.ndarray, labels: np.ndarray, importance: np.ndarray) -> None:
         size = self.size[spans]
         word = self.word[ragged(self.start[spans], size)]
         parts = self.parts[word]
         entry = self.bucket[ragged(self.begin[word], parts)]
         of_span = np.repeat(np.repeat(np.arange(len(spans)), size), parts)
         weight = np.repeat(1.0 / (parts * np.repeat(np.maximum(size, self.plan.least), size)), parts).astype(np.float32)
+        several = self.common[entry]
+        entry, of_span, weight = entry[several], of_span[several], weight[several]
         used, place = np.unique(entry, return_inverse=True)
         # a dense matrix of this batch's spans by the buckets they use
         bag = np.bincount(of_span * len(used) + place, weight, len(spans) * len(used)).astype(np.float32)
         bag = bag.reshape(len(spans), len(used))
         hidden = bag @ self.vectors[used]
         logits = hidden @ self.softmax + self.bias
-        wrong = sigmoid(logits[:, 1] - logits[:, 0]) - labels
+        wrong = (sigmoid(logits[:, 1] - logits[:, 0]) - labels) * importance
         error = (np.stack([-wrong, wrong], 1) / len(spans)).astype(np.float32)
         of_vectors = bag.T @ (error @ self.softmax.T)
         of_softmax = hidden.T @ error
@@ -174,14 +194,4 @@ def score(docs: DataFrame, model: ToxicityModel, name: str = "score") -> DataFra
     NULL and empty texts, and those without a letter or digit, score as an empty span. Every row is scored by itself,
     so repeated rows score alike. A column called ``name`` is replaced.
     """
-    kept = [c for c in docs.columns if c != name]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches, "_bytes"):
-            scores = score_texts(model, words_of(chunk, "_bytes", alphanumeric=True))
-            columns = [c for c, field in zip(chunk.columns, chunk.schema) if field.name != "_bytes"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(scores)], [*kept, name])
-
-    given = docs.select(*[F.col(f"`{c}`") for c in kept])
-    schema = given.schema.add(name, "double")
-    return given.withColumn("_bytes", utf8("text")).mapInArrow(run, schema)
+    return map_texts(docs, {name: "double"}, lambda texts: [score_texts(model, split(*binary_parts(texts), alphanumeric=True))])
