@@ -62,7 +62,7 @@ INPUTS: dict[str, str] = {
     "job_history": "server_name:text job_id:int run_date:int run_duration:int",
     "principals": "server_name:text database_name:text principal_id:int name:text",
     "permissions": "server_name:text database_name:text grantee_principal_id:int class_desc:text major_id:int"
-                   " permission_name:text state_desc:text",
+                   " permission_name:text state_desc:text type:text",
     "role_members": "server_name:text database_name:text role_principal_id:int member_principal_id:int",
     # storage catalogs
     "tables": "server_name:text database_name:text object_id:int schema_name:text name:text is_ms_shipped:flag",

@@ -249,7 +249,8 @@ SELECT {place('o_custkey')}, o_custkey AS grantee_principal_id,
   CASE o_orderstatus WHEN 'F' THEN 'OBJECT_OR_COLUMN' WHEN 'O' THEN 'SCHEMA' ELSE 'DATABASE' END AS class_desc,
   CASE o_orderstatus WHEN 'F' THEN o_orderkey % 120 * 20 + o_custkey % 20 WHEN 'O' THEN o_orderkey % 6 ELSE 0 END
     AS major_id,
-  CASE WHEN o_orderkey % 2 = 0 THEN 'SELECT' ELSE 'EXECUTE' END AS permission_name, 'GRANT' AS state_desc
+  CASE WHEN o_orderkey % 2 = 0 THEN 'SELECT' ELSE 'EXECUTE' END AS permission_name, 'GRANT' AS state_desc,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'SL' ELSE 'EX' END AS type
 FROM {{orders}}"""
 
 ADAPTERS["role_members"] = f"""

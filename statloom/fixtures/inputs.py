@@ -33,19 +33,27 @@ class Inputs:
         return {name: getattr(self, name) for name in BASE_TABLES}
 
     def event_documents(self) -> DataFrame:
-        """Captured events as XML documents; some lack the client name, some are cut off."""
+        """Captured events as XML documents, as a capture writes them: data nodes first, with type and text children.
+
+        Some lack the client name, quote with apostrophes, or have blanks around the statement. Malformed ones are cut
+        off early, in the middle or near the end, or have a bare ampersand in the statement.
+        """
 
         def node(kind: str, name: str, value) -> F.Column:
             value = F.col(value) if isinstance(value, str) else value
-            return F.concat(F.lit(f'<{kind} name="{name}"><value>'), value.cast("string"),
-                            F.lit(f"</value></{kind}>"))
+            before = '<type name="any" package="package0"/>' if kind == "data" else ""
+            return F.concat(F.lit(f'<{kind} name="{name}">{before}<value>'), value.cast("string"),
+                            F.lit(f"</value><text>shown</text></{kind}>" if name == "writes" else f"</value></{kind}>"))
 
         id_, user = F.col("event_id"), F.col("user_id")
         stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+        quote = F.when(id_ % 6 == 0, F.lit("'")).otherwise(F.lit('"'))
+        statement = F.concat(F.when((F.col("is_malformed") == 1) & (id_ % 4 == 3), F.lit("select 1 & 2, ")).otherwise(F.lit("select ")),
+                             F.col("props"))
         body = F.concat(
-            F.lit('<event name="'), F.col("object_name"), F.lit('" timestamp="'), stamp, F.lit('">'),
-            node("data", "statement", F.concat(F.lit("select "), F.col("props"))),
-            node("data", "cpu_time", F.col("duration") * 2), node("data", "duration", "duration"),
+            F.lit("<event name="), quote, F.col("object_name"), quote, F.lit(" timestamp="), quote, stamp, quote, F.lit(">"),
+            node("data", "statement", F.when(id_ % 7 == 0, F.concat(F.lit("  "), statement, F.lit("\n "))).otherwise(statement)),
+            node("data", "cpu_time", F.col("duration") * 2 + F.when(id_ % 11 == 0, F.lit(3_000_000_000)).otherwise(F.lit(0))), node("data", "duration", "duration"),
             node("data", "logical_reads", id_ * 3), node("data", "physical_reads", id_),
             node("data", "writes", id_ % 10),
             F.when(id_ % 9 == 0, F.lit("")).otherwise(node("data", "row_count", id_ % 100)),
@@ -61,5 +69,8 @@ class Inputs:
             node("action", "query_hash", id_ * 7919), node("action", "plan_handle", id_ * 104729),
             node("action", "session_id", "user_id"), node("action", "transaction_id", id_ + 1),
             node("action", "event_sequence", "event_id"), F.lit("</event>"))
-        document = F.when(F.col("is_malformed") == 1, F.substring(body, 1, 60)).otherwise(body)
+        length = F.when(id_ % 4 == 0, F.lit(60)).when(id_ % 4 == 1, F.length(body) / 2).when(
+            id_ % 4 == 2, F.length(body) - 4).otherwise(F.length(body))
+        cut = body.substr(F.lit(1), length.cast("int"))
+        document = F.when(F.col("is_malformed") == 1, cut).otherwise(body)
         return self.captured_events.select("object_name", document.alias("event_xml"))

@@ -150,14 +150,15 @@ SLOW = f"""duration >= {q.SLOW_US} AND object_name <> 'error_reported'
 oracle("slow_event_filter", "captured_events", f"\nSELECT * FROM captured_events WHERE {SLOW}")
 
 SHRED = """
-SELECT ts AS timestamp, object_name AS event_name, 'exec proc' || user_id AS sql_text, 'select ' || props AS statement,
-  CAST(duration * 2 AS INT) AS cpu_time, CAST(duration AS INT) AS duration, CAST(event_id * 3 AS INT) AS logical_reads,
-  CAST(event_id AS INT) AS physical_reads, CAST(event_id % 10 AS INT) AS writes,
-  CASE WHEN event_id % 9 > 0 THEN CAST(event_id % 100 AS INT) END AS row_count, 'proc' || user_id AS object_name,
+SELECT ts AS timestamp, object_name AS event_name, 'exec proc' || user_id AS sql_text, CASE WHEN event_id % 7 = 0 THEN '  select ' || props || chr(10) || ' '
+    ELSE 'select ' || props END AS statement,
+  duration * 2 + CASE WHEN event_id % 11 = 0 THEN 3000000000 ELSE 0 END AS cpu_time, duration, event_id * 3 AS logical_reads,
+  event_id AS physical_reads, event_id % 10 AS writes,
+  CASE WHEN event_id % 9 > 0 THEN event_id % 100 END AS row_count, 'proc' || user_id AS object_name,
   'user' || user_id AS username, 'db' || (user_id % 5) AS database_name, client_app_name,
   'host' || (user_id % 9) AS client_hostname, CAST(event_id * 7919 AS VARCHAR) AS query_hash,
   CAST(event_id * 104729 AS VARCHAR) AS plan_handle, CAST(user_id AS INT) AS session_id,
-  CAST(event_id + 1 AS INT) AS transaction_id, event_id AS event_sequence
+  event_id + 1 AS transaction_id, event_id AS event_sequence
 FROM captured_events WHERE is_malformed = 0 AND client_app_name LIKE 'app%'"""
 oracle("event_shred", "captured_events", SHRED)
 oracle("event_rejects", "captured_events", """
@@ -264,11 +265,12 @@ SELECT server_name, media_set_id, database_name, type, backup_finish_date, {SIZE
   logical_device_name, physical_device_name, s AS duration_sec,
   lpad(CAST(s // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST(s // 60 % 60 AS VARCHAR), 2, '0') || ':'
     || lpad(CAST(s % 60 AS VARCHAR), 2, '0') AS hours_minutes
-FROM b ORDER BY backup_finish_date DESC, server_name, media_set_id, physical_device_name LIMIT 100""")
+FROM b QUALIFY row_number() OVER (PARTITION BY server_name, database_name
+  ORDER BY backup_finish_date DESC, media_set_id, physical_device_name) <= 100""")
 oracle("backup_last_n", "backupset", f""", b AS (
   SELECT *, date_diff('second', backup_start_date, backup_finish_date) AS s FROM backupset
   QUALIFY row_number() OVER (PARTITION BY server_name, database_name, type
-    ORDER BY backup_start_date DESC, backup_finish_date DESC, media_set_id) <= 2)
+    ORDER BY backup_start_date DESC, backup_finish_date DESC, media_set_id) <= 10)
 SELECT server_name, database_name, type, media_set_id, backup_start_date, backup_finish_date, s AS duration_sec,
   (s // 86400) || 'd ' || strftime(TIMESTAMP '2000-01-01 00:00:00' + INTERVAL 1 SECOND * (s % 86400), '%H:%M:%S')
     || ':000' AS duration,
@@ -292,7 +294,7 @@ SELECT m.server_name, m.database_name, p.name AS principal_name, p.authenticatio
       AND t.database_name = m.database_name AND t.object_id = m.major_id)
     WHEN 'SCHEMA' THEN (SELECT max(s.name) FROM schemas s WHERE s.server_name = m.server_name
       AND s.database_name = m.database_name AND s.schema_id = m.major_id) END AS object_name,
-  m.class_desc, m.permission_name, m.state_desc
+  m.class_desc, m.permission_name, m.state_desc, m.type
 FROM permissions m JOIN principals p ON p.server_name = m.server_name AND p.database_name = m.database_name
   AND p.principal_id = m.grantee_principal_id""")
 oracle("role_members", "role_members principals", """
@@ -631,7 +633,7 @@ FROM j WHERE relpages - otta > 0 OR ipages - iotta > 10""")
 
 oracle("statement_top", "statements", """
 SELECT server_name, total_time / 1000 / 60 AS total_min, total_time / calls AS avg_ms, stddev_time, calls, query
-FROM statements QUALIFY row_number() OVER (PARTITION BY server_name ORDER BY total_time DESC, query) <= 20""")
+FROM statements QUALIFY row_number() OVER (PARTITION BY server_name ORDER BY total_time DESC, query) <= 100""")
 
 LOCKS = """
 SELECT l.server_name, l.database_name, l.pid, l.locktype, l.virtualtransaction, l.transactionid, r.nspname, r.relname,

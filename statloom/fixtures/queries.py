@@ -197,7 +197,7 @@ def backup_history(i: Inputs) -> DataFrame:
 
 @register
 def backup_last_n(i: Inputs) -> DataFrame:
-    return backups.backup_last_n(i.backupset, n=2)
+    return backups.backup_last_n(i.backupset)
 
 
 @register
@@ -409,7 +409,7 @@ def table_bloat(i: Inputs) -> DataFrame:
 
 @register
 def statement_top(i: Inputs) -> DataFrame:
-    return sessions.statement_top(i.statements, 20)
+    return sessions.statement_top(i.statements)
 
 
 @register
@@ -517,7 +517,8 @@ def stream_wait_delta(i: Inputs) -> DataFrame:
 @register
 def stream_slow_events(i: Inputs) -> DataFrame:
     folder = shared_dir(i.spark, "stream-events")
-    i.event_documents().select("event_xml").write.text(folder)
+    lines = F.replace("event_xml", F.lit("\n"), F.lit("&#10;"))  # a text source has one document in a line
+    i.event_documents().select(lines.alias("event_xml")).write.text(folder)
     stream = jobs.stream_slow_events(stream_event_documents(i.spark, folder), SLOW_US)
     return _stream_result(i, stream, folder)
 

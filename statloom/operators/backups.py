@@ -22,10 +22,10 @@ def _size_mb(kind: str) -> Column:
 def backup_history(
     backupset: DataFrame, media: DataFrame, database: str | None = None, limit: int = 100,
 ) -> DataFrame:
-    """The newest backups of one database (or all) with their devices, size and duration.
+    """The newest ``limit`` backups of one database, or of every database, with their devices, size and duration.
 
-    The seconds of ``hours_minutes`` are the real seconds of the minute; the source script prints the last two
-    digits of the seconds of the hour. The join comes before the limit because a backup may have several devices.
+    The seconds of ``hours_minutes`` are the real seconds of the minute; the original query prints the last
+    two digits of the seconds of the hour. The join comes before the limit because a backup may have several devices.
     """
     check(backupset, "backupset")
     check(media, "backup_media")
@@ -38,7 +38,7 @@ def backup_history(
                       "logical_device_name", "physical_device_name",
                       seconds.alias("duration_sec"), clock_text(seconds).alias("hours_minutes")))
     return top_n(report, limit, [F.col("backup_finish_date").desc_nulls_last(), F.col("server_name"),
-                                 F.col("media_set_id"), F.col("physical_device_name")])
+                                 F.col("media_set_id"), F.col("physical_device_name")], per=DATABASE)
 
 
 def _long_duration(start: Column, finish: Column) -> Column:

@@ -21,23 +21,24 @@ AUTOGROWTH_CLASSES = (92, 95)
 PAGE_MB = Decimal("0.0078125")
 EXCLUDED_CLIENT = "Microsoft SQL Server Management Studio - Transact-SQL IntelliSense"
 
-STAMP_PATTERN = '<event[^>]*timestamp="([^"]*)"'
+STAMP_PATTERN = """<event[^>]*?\\stimestamp\\s*=\\s*["']([^"']*)["']"""
 EVENT_SCHEMA = """
     _name string, _timestamp string,
     data array<struct<_name: string, value: string>>,
-    action array<struct<_name: string, value: string>>
+    action array<struct<_name: string, value: string>>,
+    _malformed string
 """
 
 # Output column, section of the document, type. ``timestamp`` and ``event_name`` are attributes.
 SHREDDED_FIELDS = (
     ("sql_text", "action", "string"),
     ("statement", "data", "string"),
-    ("cpu_time", "data", "int"),
-    ("duration", "data", "int"),
-    ("logical_reads", "data", "int"),
-    ("physical_reads", "data", "int"),
-    ("writes", "data", "int"),
-    ("row_count", "data", "int"),
+    ("cpu_time", "data", "bigint"),
+    ("duration", "data", "bigint"),
+    ("logical_reads", "data", "bigint"),
+    ("physical_reads", "data", "bigint"),
+    ("writes", "data", "bigint"),
+    ("row_count", "data", "bigint"),
     ("object_name", "data", "string"),
     ("username", "action", "string"),
     ("database_name", "action", "string"),
@@ -46,7 +47,7 @@ SHREDDED_FIELDS = (
     ("query_hash", "action", "string"),
     ("plan_handle", "action", "string"),
     ("session_id", "action", "int"),
-    ("transaction_id", "action", "int"),
+    ("transaction_id", "action", "bigint"),
     ("event_sequence", "action", "bigint"),
 )
 
@@ -63,8 +64,17 @@ def slow_event_filter(events: DataFrame, min_us: int = SLOW_MICROSECONDS) -> Dat
 
 
 def parse_event(xml: Column) -> Column:
-    """An event document as a struct; missing nodes are NULL and a malformed document gives an all-NULL struct."""
-    return F.from_xml(xml, EVENT_SCHEMA, {"mode": "PERMISSIVE"})
+    """An event document as a struct; missing nodes are NULL, and blanks around values are kept.
+
+    A malformed document comes back whole in ``_malformed``, whatever could be read of it before the fault.
+    """
+    return F.from_xml(xml, EVENT_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_malformed",
+                                          "ignoreSurroundingSpaces": "false"})
+
+
+def well_formed() -> Column:
+    """Parsed events that were read to their end and have a name; ``event_rejects`` has all others."""
+    return F.col("_malformed").isNull() & F.col("_name").isNotNull()
 
 
 def event_field(section: str, name: str, kind: str = "string") -> Column:
@@ -75,7 +85,7 @@ def event_field(section: str, name: str, kind: str = "string") -> Column:
 
 
 def parse_events(events: DataFrame) -> DataFrame:
-    """Add the parts of the parsed document as columns ``_name``, ``_timestamp``, ``data`` and ``action``.
+    """Add the parts of the parsed document as columns ``_name``, ``_timestamp``, ``_malformed``, ``data``, ``action``.
 
     The parse sits in a generator, which later filters cannot be pushed through, so a document is parsed only once.
     """
@@ -87,7 +97,8 @@ def shred_parsed(parsed: DataFrame, excluded_client: str = EXCLUDED_CLIENT) -> D
     return parsed.select(
         F.col("_timestamp").try_cast("timestamp").alias("timestamp"), F.col("_name").alias("event_name"),
         *[event_field(section, name, kind).alias(name) for name, section, kind in SHREDDED_FIELDS],
-    ).filter(F.col("client_app_name") != excluded_client)
+        "_malformed", F.col("_name"),
+    ).filter(well_formed() & (F.col("client_app_name") != excluded_client)).drop("_malformed", "_name")
 
 
 def event_shred(events: DataFrame, excluded_client: str = EXCLUDED_CLIENT, ordered: bool = True) -> DataFrame:
@@ -107,9 +118,12 @@ def event_shred(events: DataFrame, excluded_client: str = EXCLUDED_CLIENT, order
 
 
 def event_rejects(events: DataFrame) -> DataFrame:
-    """Documents that are not well-formed events, unchanged, to be counted and written aside."""
-    parsed_name = parse_event(F.col("event_xml"))["_name"]
-    return events.filter(F.col("event_xml").isNotNull() & parsed_name.isNull())
+    """Documents that are not well-formed events, unchanged, to be counted and written aside.
+
+    Every document is emitted by ``event_shred``, left out there by its client, or returned here.
+    """
+    parsed = events.filter(F.col("event_xml").isNotNull()).select("*", F.inline(F.array(parse_event(F.col("event_xml")))))
+    return parsed.filter(~well_formed()).select(*events.columns)
 
 
 def failover_events(events: DataFrame) -> DataFrame:
@@ -118,8 +132,8 @@ def failover_events(events: DataFrame) -> DataFrame:
     return (parse_events(events.filter(F.col("object_name") == "error_reported"))
             .select(F.col("_timestamp").try_cast("timestamp").alias("timestamp"),
                     event_field("data", "error_number", "int").alias("error_number"),
-                    event_field("data", "message").alias("message"))
-            .filter(F.col("error_number") == FAILOVER_ERROR))
+                    event_field("data", "message").alias("message"), "_malformed", "_name")
+            .filter(well_formed() & (F.col("error_number") == FAILOVER_ERROR)).drop("_malformed", "_name"))
 
 
 def autogrowth_events(trace: DataFrame, databases: DataFrame) -> DataFrame:

@@ -51,7 +51,7 @@ def permission_report(
             .join(who, [*DATABASE, "grantee_principal_id"])
             .join(named, [*DATABASE, "_kind", "_id"], "left")
             .select(*DATABASE, "principal_name", "authentication_type_desc", "object_name", "class_desc",
-                    "permission_name", "state_desc"))
+                    "permission_name", "state_desc", "type"))
 
 
 def role_members(members: DataFrame, principals: DataFrame) -> DataFrame:

@@ -32,6 +32,28 @@ def test_malformed_documents_are_counted_not_raised(frame):
     assert len(rows) == 1 and rejects == 2
 
 
+def test_no_document_is_lost_wherever_its_fault_is(frame):
+    def doc(n, statement="1", client=CLIENT):
+        return (f'<event name="e" timestamp="2024-01-01T00:00:00Z"><data name="statement"><value>{statement}</value></data>'
+                f'<data name="duration"><type name="int64"/><value>{3_000_000_000 + n}</value><text/></data>{client}</event>')
+    whole = doc(0)
+    excluded = doc(1, client=CLIENT.replace("app<", events.EXCLUDED_CLIENT + "<"))
+    broken = [doc(2, "where x = 1 & 2"), *[whole[:n] for n in range(1, len(whole), 7)], whole.replace("<value>1", "<value><1")]
+    documents = [whole, excluded, doc(3, client=""), *broken]
+    rows, rejects = shred(frame, *documents)
+    assert (len(rows), rejects) == (1, len(broken)) and rows[0].duration == 3_000_000_000
+    df = frame("object_name string, event_xml string", *[("error_reported", d) for d in broken])
+    assert events.failover_events(df).count() == 0
+
+
+def test_blanks_are_kept_and_both_quotes_order(frame):
+    def doc(day, quote):
+        return (f"<event name={quote}d{day}{quote} timestamp={quote}2024-01-0{day}T00:00:00Z{quote}><data name='statement'>"
+                f"<value>  a\n\n </value></data>{CLIENT}</event>")
+    rows, _ = shred(frame, doc(3, "'"), doc(1, "'"), doc(2, '"'))
+    assert [r.event_name for r in rows] == ["d1", "d2", "d3"] and rows[0].statement == "  a\n\n "
+
+
 def test_escaped_text_is_decoded_and_order_is_by_time(frame):
     def doc(day):
         return (f'<event name="d{day}" timestamp="2024-01-0{day}T00:00:00.5Z"><data name="statement">'

@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as entry
 
 QUERIES = {n: q for n, q in entry.queries().items() if not n.startswith("stream_")}
-TOP_N = ("wait_top_n", "backup_last_n", "cache_by_relation", "cache_top_relations", "cache_share_total",
+TOP_N = ("wait_top_n", "backup_history", "backup_last_n", "cache_by_relation", "cache_top_relations", "cache_share_total",
          "cache_share_window", "relation_disk_usage", "relation_size_split", "statement_top")
 NARROW = ("slow_event_filter", "trace_by_host", "replica_latency", "database_stats", "size_pretty", "failover_events")
 
@@ -44,10 +44,6 @@ def test_top_n_is_cut_before_the_shuffle(plan, name):
     assert "WindowGroupLimit" in plan(name)
 
 
-def test_newest_backups_are_a_distributed_top_k(plan):
-    assert "TakeOrderedAndProject" in plan("backup_history")
-
-
 @pytest.mark.parametrize("name", NARROW)
 def test_narrow_operators_do_not_shuffle(plan, name):
     assert "Exchange" not in plan(name)
