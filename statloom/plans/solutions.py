@@ -1,8 +1,9 @@
 """The three monitoring solutions end to end: stored snapshots → deltas → stored history → purge.
 
-Each run is a pure function of the stored snapshots and replaces the days it computes, so it can be repeated after a
-failure. Snapshots and histories are Parquet folders partitioned by day, as written by ``sources.history``. For an
-incremental run use the streaming jobs instead.
+Each run is a pure function of the stored snapshots and replaces the days it computes, those left without rows
+included, so it can be repeated after a failure. Snapshots and histories are Parquet folders partitioned by day, as
+written by ``sources.history``. A run goes on from the newest day of the history and reads only the folders from a few
+days before it, where the previous polls are; ``recompute`` does all days again, as after a change of thresholds.
 """
 
 from __future__ import annotations
@@ -10,32 +11,50 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from statloom.operators import counters, waits
-from statloom.sources.history import purge_history, read_history, write_history
+from statloom.sources.history import purge_history, read_history, replace_range, stored_days
 
+# Days before the first computed one that are read for previous polls, and the last polled day before it in any case;
+# a server silent for longer than that starts anew.
+DAYS_BEFORE = 7
 
-def _run(spark: SparkSession, snapshots: str, history: str, as_of, keep: str,
-         compute: Callable[[DataFrame], DataFrame]) -> None:
+
+def snapshots_from(spark: SparkSession, snapshots: str, first: str) -> DataFrame:
+    """The stored snapshots needed to compute the days from ``first`` on; older folders are not read."""
     stored = read_history(spark, snapshots)
-    deltas = compute(stored.select([c for c in stored.columns if c not in ("dt", "batch_id")]))
-    write_history(deltas, history, replace_days=True)
+    before = max((day for day in stored_days(spark, snapshots) if day < first), default=first)
+    since = F.least(F.lit(before).cast("date"), F.date_sub(F.lit(first).cast("date"), DAYS_BEFORE))
+    recent = stored.filter(F.col("dt") >= since)
+    return recent.select([c for c in stored.columns if c not in ("dt", "batch_id")])
+
+
+def _run(spark: SparkSession, snapshots: str, history: str, as_of, keep: str,
+         compute: Callable[[DataFrame], DataFrame], recompute: bool) -> None:
+    polled, computed = stored_days(spark, snapshots), stored_days(spark, history)
+    if polled:
+        first = max(polled[0], computed[-1]) if computed and not recompute else polled[0]
+        if first <= polled[-1]:
+            replace_range(compute(snapshots_from(spark, snapshots, first)), history, (first, polled[-1]))
     purge_history(spark, history, as_of, keep)
 
 
 def run_io_solution(spark: SparkSession, snapshots: str, history: str, as_of,
-                    keep: str = counters.IO_HISTORY_KEEP) -> None:
+                    keep: str = counters.IO_HISTORY_KEEP, recompute: bool = False) -> None:
     """IO counters: deltas of every poll, kept for a month. Read the result with ``io_readable``."""
-    _run(spark, snapshots, history, as_of, keep, counters.io_counter_delta)
+    _run(spark, snapshots, history, as_of, keep, counters.io_counter_delta, recompute)
 
 
 def run_io_alert_solution(spark: SparkSession, snapshots: str, history: str, as_of,
-                          keep: str = counters.ALERT_HISTORY_KEEP, **thresholds: int) -> None:
+                          keep: str = counters.ALERT_HISTORY_KEEP, recompute: bool = False, **thresholds: int) -> None:
     """IO alerts: only intervals that reach a threshold (``read_ms``, ``write_ms``, ``reads``, ``writes``)."""
-    _run(spark, snapshots, history, as_of, keep, lambda df: counters.io_threshold_alert(df, **thresholds))
+    _run(spark, snapshots, history, as_of, keep, lambda df: counters.io_threshold_alert(df, **thresholds),
+         recompute)
 
 
 def run_wait_solution(spark: SparkSession, snapshots: str, history: str, as_of,
-                      keep: str = counters.WAIT_HISTORY_KEEP) -> None:
+                      keep: str = counters.WAIT_HISTORY_KEEP, recompute: bool = False) -> None:
     """Waits: deltas of the waits that matter. Read the result with ``wait_top_n`` or ``wait_category_rollup``."""
-    _run(spark, snapshots, history, as_of, keep, lambda df: waits.wait_delta(waits.wait_snapshot_filter(df)))
+    _run(spark, snapshots, history, as_of, keep, lambda df: waits.wait_delta(waits.wait_snapshot_filter(df)),
+         recompute)

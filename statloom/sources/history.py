@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from statloom.operators.counters import IO_HISTORY_KEEP, retention_cutoff
 
 DAY = "dt"
 BATCH = "batch_id"
+_DAY_NAME = re.compile(r"\d{4,}-\d\d-\d\d")
 
 
 def write_history(
@@ -18,7 +21,8 @@ def write_history(
 
     Rows are rebalanced by day first: small days end up in one file and adaptive execution splits a day that is
     too large for one. With ``batch_id`` the write is repeatable: a batch that is run again replaces its own files.
-    With ``replace_days`` the days present in ``df`` are replaced as a whole.
+    With ``replace_days`` the days present in ``df`` are replaced as a whole; ``replace_range`` does so for days that
+    have no rows any more too. Rows without a time go to a folder of their own, which no purge looks at.
     """
     dated = df.withColumn(DAY, F.to_date(at)).hint("rebalance", DAY)
     if batch_id is not None:
@@ -31,6 +35,22 @@ def write_history(
          .partitionBy(*folders).parquet(path))
 
 
+def replace_range(df: DataFrame, path: str, days: tuple[str, str], at: str = "collect_date") -> None:
+    """Make ``df`` the content of all days from the first to the last of ``days``, those without rows included.
+
+    Rows of ``df`` outside that range are not written. The days with rows are replaced first; a run that stops before
+    the emptied ones are dropped is made good by running it again.
+    """
+    spark, (first, last) = df.sparkSession, days
+    inside = df.filter(F.to_date(at).between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+    write_history(inside, path, at, replace_days=True)
+    filled = {str(r["day"]) for r in inside.select(F.to_date(at).alias("day")).distinct().collect()}
+    fs, stored_days = _days(spark, path)
+    for day, folder in stored_days:
+        if first <= day <= last and day not in filled:
+            fs.delete(folder, True)
+
+
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     """The history at ``path``; filter on ``dt`` to read only some days."""
     return spark.read.parquet(path)
@@ -43,7 +63,13 @@ def _days(spark: SparkSession, path: str):
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     folders = [s.getPath() for s in fs.listStatus(root) if s.isDirectory()] if fs.exists(root) else []
     marked = [(p.getName(), p) for p in folders if p.getName().startswith(f"{DAY}=")]
-    return fs, [(name.split("=", 1)[1], p) for name, p in marked]
+    named = [(name.split("=", 1)[1], p) for name, p in marked]
+    return fs, [(day, p) for day, p in named if _DAY_NAME.fullmatch(day)]  # rows without a time have no place in time
+
+
+def stored_days(spark: SparkSession, path: str) -> list[str]:
+    """The days of a history in order, from the names of its folders."""
+    return sorted(day for day, _ in _days(spark, path)[1])
 
 
 def newest_time(spark: SparkSession, path: str, at: str = "collect_date") -> str | None:
@@ -62,7 +88,8 @@ def purge_history(
 
     Days before the cutoff are dropped as folders without reading them; only the day of the cutoff is rewritten,
     into a hidden folder that is swapped in when it is complete. A purge that was interrupted is finished by the
-    next one, and purging twice changes nothing.
+    next one, wherever it stopped: once the old day has been set aside, whatever stands in its place is newer and is
+    kept, together with the staged rows. Purging twice changes nothing.
     """
     cutoff = retention_cutoff(as_of, keep)
     boundary = spark.range(1).select(F.date_format(cutoff, "yyyy-MM-dd").alias("day")).first()["day"]
@@ -73,17 +100,32 @@ def purge_history(
     def swap_in(day: str) -> None:
         staged, replaced = hadoop.Path(f"{root}/_purge_{day}"), hadoop.Path(f"{root}/_purged_{day}")
         target, kept = hadoop.Path(f"{root}/{DAY}={day}"), hadoop.Path(f"{root}/_purge_{day}/{DAY}={day}")
-        if fs.exists(target):
+        if not fs.exists(replaced) and fs.exists(target):
             fs.rename(target, replaced)
         if fs.exists(kept):
-            fs.rename(kept, target)
-        fs.delete(staged, True)
+            merge(kept, target)
+        fs.delete(staged, True)  # before what tells that the old day was set aside
         fs.delete(replaced, True)
 
-    for status in (fs.listStatus(hadoop.Path(root)) if fs.exists(hadoop.Path(root)) else []):
-        name = status.getPath().getName()
-        if name.startswith("_purged_") and fs.exists(hadoop.Path(f"{root}/_purge_{name[8:]}/_SUCCESS")):
-            swap_in(name[8:])
+    def merge(source, target) -> None:
+        """Move ``source`` to ``target``, file by file where that exists; files have names of their own."""
+        if not fs.exists(target):
+            fs.rename(source, target)
+            return
+        for status in fs.listStatus(source):
+            name = status.getPath().getName()
+            if status.isDirectory():
+                merge(status.getPath(), hadoop.Path(target, name))
+            else:
+                fs.rename(status.getPath(), hadoop.Path(target, name))
+
+    names = ([s.getPath().getName() for s in fs.listStatus(hadoop.Path(root))] if fs.exists(hadoop.Path(root)) else [])
+    for name in names:
+        if name.startswith("_purged_"):  # the old day is out of the way, so its rows were staged completely
+            if f"_purge_{name[8:]}" in names:
+                swap_in(name[8:])
+            else:
+                fs.delete(hadoop.Path(f"{root}/{name}"), True)
 
     dropped = 0
     for day, folder in days:

@@ -1,8 +1,8 @@
 """The monitoring solutions from stored snapshots to stored, purged histories."""
 
 from statloom.operators import counters, waits
-from statloom.plans.solutions import run_io_alert_solution, run_io_solution, run_wait_solution
-from statloom.sources.history import read_history, write_history
+from statloom.plans.solutions import run_io_alert_solution, run_io_solution, run_wait_solution, snapshots_from
+from statloom.sources.history import read_history, stored_days, write_history
 from test_counters import SNAPSHOT, snap
 from test_waits import WAIT
 
@@ -16,12 +16,35 @@ def test_io_solution_can_be_repeated_and_purges(spark, frame, tmp_path):
     assert [(r.collect_date.day, r.num_of_reads) for r in rows] == [(3, 5)]
 
     write_history(frame(SNAPSHOT, snap(4, *[1000] * 7)), snapshots)
-    run_io_solution(spark, snapshots, history, "2024-01-05")
+    run_io_solution(spark, snapshots, history, "2024-01-05", recompute=True)
     assert sorted(r.collect_date.day for r in read_history(spark, history).collect()) == [2, 3, 4]
     run_io_alert_solution(spark, snapshots, alerts, "2024-01-05", read_ms=900, write_ms=900, reads=900, writes=900)
     assert [r.collect_date.day for r in read_history(spark, alerts).collect()] == [4]
 
 
+def test_raised_thresholds_empty_old_days(spark, frame, tmp_path):
+    snapshots, alerts = (str(tmp_path / n) for n in ("snapshots", "alerts"))
+    write_history(frame(SNAPSHOT, *[snap(d, *[1000 * d] * 7) for d in (1, 2, 3)]), snapshots)
+    low = {"read_ms": 900, "write_ms": 900, "reads": 900, "writes": 900}
+    run_io_alert_solution(spark, snapshots, alerts, "2024-01-05", **low)
+    assert stored_days(spark, alerts) == ["2024-01-02", "2024-01-03"]
+    high = {k: 1_000_000 for k in low}
+    run_io_alert_solution(spark, snapshots, alerts, "2024-01-05", recompute=True, **high)
+    assert stored_days(spark, alerts) == []
+
+
+def test_second_run_reads_new_days_only(spark, frame, tmp_path):
+    snapshots, history = (str(tmp_path / n) for n in ("snapshots", "history"))
+    write_history(frame(SNAPSHOT, *[snap(d, *[d * d] * 7) for d in (1, 2, 15)]), snapshots)
+    run_io_solution(spark, snapshots, history, "2024-01-05")
+    write_history(frame(SNAPSHOT, snap(16, *[1000] * 7)), snapshots)
+    run_io_solution(spark, snapshots, history, "2024-01-05")
+    rows = counters.io_readable(read_history(spark, history)).collect()
+    assert sorted((r.collect_date.day, r.num_of_reads) for r in rows) == [(2, 3), (15, 221), (16, 775)]
+    plan = snapshots_from(spark, snapshots, "2024-01-16")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(dt" in plan and "2024-01-09" in plan
+
+
 def test_wait_solution(spark, frame, tmp_path):
     snapshots, history = str(tmp_path / "snapshots"), str(tmp_path / "history")
     rows = [("s", w, f"2024-01-0{d}", 1, d * 10, 1, d) for d in (1, 2) for w in ("LCK_M_X", "XE_TIMER_EVENT")]

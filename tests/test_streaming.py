@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+import shutil
 import uuid
 from types import SimpleNamespace
 
@@ -95,6 +96,36 @@ def test_interrupted_purge_is_finished_by_the_next(spark, frame, folder):
     assert days_of(spark, folder) == [(2, 12), (3, 0)]
 
 
+@pytest.mark.parametrize("steps", range(5))
+def test_purge_may_stop_after_any_step(spark, frame, folder, steps):
+    """0: staged; 1: old day set aside; 2: staged rows in place; 3: staging deleted; 4: all done."""
+    df = frame("collect_date timestamp, v int", ("2024-01-02 00:00:00", 1), ("2024-01-02 12:00:00", 2), ("2024-01-03", 3))
+    write_history(df, folder)
+    kept = frame("collect_date timestamp, v int", ("2024-01-02 12:00:00", 2)).withColumn("dt", F.to_date("collect_date"))
+    kept.write.partitionBy("dt").parquet(f"{folder}/_purge_2024-01-02")
+    if steps > 0:
+        os.rename(f"{folder}/dt=2024-01-02", f"{folder}/_purged_2024-01-02")
+    if steps > 1:
+        os.rename(f"{folder}/_purge_2024-01-02/dt=2024-01-02", f"{folder}/dt=2024-01-02")
+    if steps > 2:
+        shutil.rmtree(f"{folder}/_purge_2024-01-02")
+    if steps > 3:
+        shutil.rmtree(f"{folder}/_purged_2024-01-02")
+    extra = [(2, 13)] if steps in (1, 2, 3, 4) else []
+    if extra:  # a batch that wrote the same day meanwhile
+        write_history(frame("collect_date timestamp, v int", ("2024-01-02 13:00:00", 4)), folder)
+    purge_history(spark, folder, "2024-01-03 06:00:00", "1 day")
+    assert days_of(spark, folder) == [(2, 12), *extra, (3, 0)]
+    assert not [n for n in os.listdir(folder) if n.startswith("_purge")]
+
+
+def test_rows_without_time_do_not_stop_a_purge(spark, frame, folder):
+    write_history(frame("collect_date timestamp, v int", ("2024-01-02", 1), (None, 2), ("2024-01-03", 3)), folder)
+    assert newest_time(spark, folder) == "2024-01-03 00:00:00.000000"
+    assert purge_history(spark, folder, "2024-01-03 12:00:00", "1 day") == 0
+    assert read_history(spark, folder).count() == 2
+
+
 def test_shared_dir_follows_the_session_setting(spark):
     def session(master, **settings):
         return SimpleNamespace(conf=SimpleNamespace(get=settings.get), sparkContext=SimpleNamespace(master=master))
