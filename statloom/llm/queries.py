@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from statloom.llm import katz, licenses, materialise, mil, minhash, mixing, mtree, packing, rules, toxicity
 from statloom.llm.fitting import remainder
+from statloom.llm.work import reach_executors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -20,6 +21,7 @@ def register(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reach_executors(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
