@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statloom.llm import mil, minhash, mixing, packing, toxicity
-from statloom.llm.work import stored
+from statloom.llm.work import reach_executors, stored
 
 TOXIC_FROM = 0.7
 GOOD_FROM = 0.3
@@ -63,6 +63,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents of a folder, each on the stored result of the one before it."""
+    reach_executors(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
