@@ -27,6 +27,7 @@ from statloom.operators import (
     waits,
 )
 from statloom.plans.snapshots import number_snapshots
+from statloom.session import SETTINGS, STATE_STORE
 from statloom.sources.history import read_history
 from statloom.sources.shared import shared_dir
 from statloom.sources.tables import stream_event_documents, stream_table
@@ -481,6 +482,7 @@ def read_throughput(i: Inputs) -> DataFrame:
 
 def _numbered_stream(i: Inputs, snapshots: DataFrame, folder: str) -> DataFrame:
     """Numbered snapshots as a stream of files: the early polls were written first, the later ones after them."""
+    i.spark.conf.set(STATE_STORE, SETTINGS[STATE_STORE])  # these queries run in any session
     numbered = snapshots.join(number_snapshots(snapshots, SERVER), [*SERVER, "collect_date"])
     numbered.write.parquet(f"{folder}-staged")
     staged = i.spark.read.parquet(f"{folder}-staged")

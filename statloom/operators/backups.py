@@ -68,7 +68,7 @@ def backup_last_n(backupset: DataFrame, databases: Sequence[str] | None = None,
 def job_inventory(jobs: DataFrame, history: DataFrame, hidden: str = "DBA%") -> DataFrame:
     """Jobs with last run date and average run time; names LIKE ``hidden`` are left out.
 
-    Run times come as HHMMSS integers and are decoded to seconds before averaging (the source script averages the
+    Run times come as HHMMSS integers and are decoded to seconds before averaging (the original query averages the
     encoded integers). The average is a whole number of seconds. History is reduced per job before the join.
     """
     check(jobs, "jobs")

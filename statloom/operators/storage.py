@@ -20,7 +20,7 @@ def biggest_tables(
 ) -> DataFrame:
     """Tables whose allocation exceeds ``min_mb`` with row, partition and size figures, biggest first.
 
-    ``nb_partition`` counts allocation units, as the source script does. Allocation units are summed per partition
+    ``nb_partition`` counts allocation units, as the original query does. Allocation units are summed per partition
     and partitions per table before anything is joined, so the joins carry one row per partition and table.
     """
     check(tables, "tables")
@@ -75,7 +75,7 @@ def _table_pages(partition_stats: DataFrame, internal_tables: DataFrame, tables:
 def table_size(partition_stats: DataFrame, internal_tables: DataFrame, tables: DataFrame) -> DataFrame:
     """Reserved, data, index and unused megabytes and the row count of every table.
 
-    Unused is reserved minus used with the internal-table pages on both sides; the source script adds the internal
+    Unused is reserved minus used with the internal-table pages on both sides; the original query adds the internal
     used pages where they have to be subtracted.
     """
     return _table_pages(partition_stats, internal_tables, tables).drop("object_id")
@@ -87,7 +87,7 @@ def table_size_limit(
 ) -> DataFrame:
     """Tables above ``min_mb`` with the size they would have if every row were as wide as its columns allow.
 
-    ``near_estimate``: reserved is more than 0.8 of the estimate, compared as a real ratio (the source script
+    ``near_estimate``: reserved is more than 0.8 of the estimate, compared as a real ratio (the original query
     divides integers, so it fires only from 1 on). ``over_estimate``: data is larger than the estimate. Columns
     without a length limit (``max_length`` −1) are left out of the row width instead of lowering it. A flag is
     NULL where the comparison cannot be made.

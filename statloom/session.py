@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+
 # Settings the operators rely on, for any cluster. Broadcasts are left to Spark, which checks the size of a side
 # against the threshold (at run time too) and otherwise uses a shuffle join with skewed partitions split.
 SETTINGS = {
@@ -14,8 +16,10 @@ SETTINGS = {
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
     "spark.sql.autoBroadcastJoinThreshold": "32m",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
-    # Column lists per index are short, so a task may hash many groups before it turns to sorting.
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
+    # Column lists per index are short, so a task may hash some thousand groups before it turns to sorting.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
+    # Keyed state of the streaming jobs lies on disk.
+    STATE_STORE: "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # A join whose partitions all turn out this small is hashed instead of sorted.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
 }

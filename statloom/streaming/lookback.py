@@ -40,10 +40,10 @@ class LookBack(StatefulProcessor):
         both = both.sort_values([*self.keys, "snapshot_no", "_known"], ascending=True, kind="stable")
 
         # Known rows carry the highest number seen of their key; what is not above it, or repeats a number, is late.
-        last_no = both["snapshot_no"].where(both["_known"]).groupby([both[k] for k in self.keys]).transform("max")
+        last_no = both["snapshot_no"].where(both["_known"]).groupby([both[k] for k in self.keys], dropna=False).transform("max")
         late = ~both["_known"] & ((both["snapshot_no"] <= last_no) | both.duplicated([*self.keys, "snapshot_no"]))
         fresh = both[~late]
-        before = fresh.groupby(self.keys, sort=False)[["snapshot_no", *self.counters]].shift(1)
+        before = fresh.groupby(self.keys, sort=False, dropna=False)[["snapshot_no", *self.counters]].shift(1)
         paired = before["snapshot_no"] == fresh["snapshot_no"] - 1
 
         out = both.assign(status=LATE, **{PREFIX + c: None for c in self.counters})
@@ -53,7 +53,7 @@ class LookBack(StatefulProcessor):
             out.loc[fresh.index, PREFIX + counter] = values.where(paired & values.notna(), None)
         emitted = out[~out["_known"]].drop(columns="_known")
         if len(emitted) > late.sum():
-            newest = fresh.groupby(self.keys, sort=False).tail(1)[remembered]
+            newest = fresh.groupby(self.keys, sort=False, dropna=False).tail(1)[remembered]
             self.last.put([tuple(None if pd.isna(v) else v for v in row) for row in newest.itertuples(index=False)])
         yield emitted
 

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from statloom.plans.snapshots import previous_name
 from statloom.streaming.lookback import BUCKET, LookBack
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 BUCKETS = 256
 
 
@@ -30,7 +29,8 @@ def pair_stream(
     or a gap; ``late`` marks a number not above the last one, which changes no state and can be counted.
 
     Keys are hashed to ``buckets``, which spreads a large server over all of them. Choose several per core of the
-    cluster and keep the number for the life of the checkpoint.
+    cluster and keep the number for the life of the checkpoint. The session needs the state store named in
+    ``statloom.session.SETTINGS``. A NULL key is a key like any other.
     """
     group = [*scope, *keys]
     flat = snapshots.select(
@@ -40,7 +40,6 @@ def pair_stream(
     kinds = {f.name: f.dataType.simpleString() for f in flat.schema.fields}
     output = ", ".join([*[f"{c} {kinds[c]}" for c in flat.columns], "status string",
                         *[f"{previous_name(c)} string" for c in counters]])
-    snapshots.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     looked_back = flat.groupBy(BUCKET).transformWithStateInPandas(
         LookBack(group, [kinds[k] for k in group], counters),
         outputStructType=output, outputMode="Append", timeMode="None")
