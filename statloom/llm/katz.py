@@ -38,8 +38,8 @@ _TAIL = np.uint32(0xFFFFFFFF)
 @dataclass(frozen=True)
 class KatzPlan:
     head: int = 1 << 19               # most tokens that are broadcast
-    bucket_tokens: int = 4_000_000    # token pairs in a bucket
-    split_tokens: int = 1_000_000     # a history with more is dealt over several buckets
+    bucket_tokens: int = 2_000_000    # token pairs in a bucket
+    split_tokens: int = 500_000       # a history with more is dealt over several buckets
     least_buckets: int = 8
 
 
@@ -208,15 +208,16 @@ def _dealt(docs: DataFrame, model, buckets: int, plan: KatzPlan) -> DataFrame:
     return docs.mapInArrow(run, "bucket int, base long, n long, size long, packed binary, train binary")
 
 
-#: What a bucket finds, told apart by ``kind``; ``a`` and ``b`` are documents (row numbers), histories or tokens.
+#: What a bucket finds, told apart by ``kind``; ``a`` and ``b`` are documents (row numbers), histories or tokens. The sums
+#: of documents are packed by chunk, as almost every document has some in every bucket.
 _FOUND = ("kind int, a long, b long, n long, sum double, base double, "
-          + ", ".join(f"r{r} long" for r in range(1, SMALL + 2)))
+          + ", ".join(f"r{r} long" for r in range(1, SMALL + 2)) + ", packed binary")
 DOCUMENT, SUMS, HISTORY, UNSEEN, RARE, RARE_PAIR, PAIRS = range(7)
 
 
 def _found(kind: int, rows: int, **columns: np.ndarray) -> pa.Table:
     names = [c.split()[0] for c in _FOUND.split(", ")]
-    kinds = {"kind": pa.int32(), "sum": pa.float64(), "base": pa.float64()}
+    kinds = {"kind": pa.int32(), "sum": pa.float64(), "base": pa.float64(), "packed": pa.binary()}
     columns["kind"] = np.full(rows, kind)
     arrays = [pa.array(columns[c], kinds.get(c, pa.int64())) if c in columns else pa.nulls(rows, kinds.get(c, pa.int64()))
               for c in names]
@@ -242,28 +243,40 @@ def _counted(dealt: DataFrame, model, plan: KatzPlan) -> DataFrame:
         zstd = pa.Codec("zstd")
         total = int(table.column("n").to_numpy().sum())
         history, token = np.empty(total, np.uint64), np.empty(total, np.uint64)
-        doc, train, at = np.empty(total, np.int64), np.empty(total, bool), 0
-        for base, n, size, packed, bits in zip(*(table.column(c).to_pylist() for c in ("base", "n", "size", "packed", "train"))):
-            raw = np.frombuffer(zstd.decompress(packed, size), np.uint8)
+        doc, train, at = np.empty(total, np.int32), np.empty(total, bool), 0
+        documents, before = [], 0  # row numbers, and the place of a chunk's first document among them
+        chunk_of, chunk_size = [], []
+        for base, n, size, packed, bits in zip(*(table.column(c) for c in ("base", "n", "size", "packed", "train"))):
+            n = n.as_py()
+            raw = np.frombuffer(zstd.decompress(packed.as_buffer(), size.as_py()), np.uint8)
             text, h, w = (raw[4 * n * k:4 * n * (k + 1)].view(np.uint32) for k in range(3))
             tails, first = raw[12 * n:].view(np.uint64), int((h == _TAIL).sum())
             for codes, rare, out in ((h, tails[:first], history), (w, tails[first:], token)):
                 out[at:at + n] = codes
                 out[at:at + n][codes == _TAIL] = rare
-            doc[at:at + n] = base + text.astype(np.int64)
-            train[at:at + n] = np.unpackbits(np.frombuffer(bits, np.uint8))[text].astype(bool)
+            texts = int(text[-1]) + 1  # texts ascend within a chunk
+            doc[at:at + n] = text.astype(np.int32) + before
+            train[at:at + n] = np.unpackbits(np.frombuffer(bits.as_buffer(), np.uint8))[text].astype(bool)
+            documents.append(base.as_py() + np.arange(texts))
+            chunk_of.append(base.as_py())
+            chunk_size.append(texts)
+            before += texts
             at += n
         del table
+        documents = np.concatenate(documents)
 
         order = np.argsort(mix64(history * np.uint64(0x9DDFEA08EB382D69) + token))
-        history, token, doc, train = history[order], token[order], doc[order], train[order]
+        history = history[order]  # one after the other, so that few copies stand at a time
+        token = token[order]
+        doc, train = doc[order], train[order]
         del order
         new = np.ones(total, bool)
         new[1:] = (history[1:] != history[:-1]) | (token[1:] != token[:-1])
         first = np.flatnonzero(new)
-        pair = np.cumsum(new) - 1
-        count = np.add.reduceat(train.astype(np.int64), first)
+        pair = np.cumsum(new, dtype=np.int32) - 1
+        count = np.add.reduceat(train, first, dtype=np.int64)
         pair_history, pair_token = history[first], token[first]
+        del history, token, train, new
 
         # histories of this bucket
         known, place = np.unique(pair_history, return_inverse=True)
@@ -282,15 +295,21 @@ def _counted(dealt: DataFrame, model, plan: KatzPlan) -> DataFrame:
         backed = ~seen & (whole[place] > 0)
 
         # sums per document
-        docs, of = np.unique(doc, return_inverse=True)
-        columns = {f"r{r}": np.bincount(of[(count == r)[pair]], minlength=len(docs)) for r in range(1, SMALL + 1)}
-        parts = [_found(SUMS, len(docs), a=docs, sum=np.bincount(of, log_pair[pair], len(docs)), **columns)]
+        sums = [np.bincount(doc, log_pair[pair], len(documents))]
+        for r in range(1, SMALL + 1):
+            sums.append(np.bincount(doc[(count == r)[pair]], minlength=len(documents)).astype(np.float64))
+        packed, low = [], 0
+        for texts in chunk_size:
+            packed.append(zstd.compress(np.stack([s[low:low + texts] for s in sums]).tobytes(), asbytes=True))
+            low += texts
+        parts = [_found(SUMS, len(packed), a=chunk_of, n=chunk_size, packed=packed)]
+        del sums
 
         # unseen pairs, per document and history
         some = np.flatnonzero(backed[pair])
         if len(some):
-            rows, times = np.unique(np.stack([doc[some], place[pair[some]]], 1), axis=0, return_counts=True)
-            parts.append(_found(UNSEEN, len(rows), a=rows[:, 0], b=known[rows[:, 1]].view(np.int64), n=times))
+            both, times = np.unique(doc[some].astype(np.int64) * len(known) + place[pair[some]], return_counts=True)
+            parts.append(_found(UNSEEN, len(both), a=documents[both // len(known)], b=known[both % len(known)].view(np.int64), n=times))
         needed = np.zeros(len(known), bool)
         needed[place[pair[some]]] = True
         needed |= split
@@ -301,7 +320,7 @@ def _counted(dealt: DataFrame, model, plan: KatzPlan) -> DataFrame:
 
         # tokens beyond the head: occurrences per document, and seen pairs of the histories above
         some = np.flatnonzero(rare[pair])
-        parts.append(_found(RARE, len(some), a=doc[some], b=token[some].view(np.int64), n=np.ones(len(some), np.int64),
+        parts.append(_found(RARE, len(some), a=documents[doc[some]], b=pair_token[pair[some]].view(np.int64), n=np.ones(len(some), np.int64),
                             r1=(~seen[pair[some]]).astype(np.int64)))
         some = np.flatnonzero(rare & seen & needed[place])
         parts.append(_found(RARE_PAIR, len(some), a=pair_history[some].view(np.int64), b=pair_token[some].view(np.int64)))
@@ -311,6 +330,23 @@ def _counted(dealt: DataFrame, model, plan: KatzPlan) -> DataFrame:
     return dealt.groupBy("bucket").applyInArrow(run, _FOUND)
 
 
+def _document_sums(packed: DataFrame) -> DataFrame:
+    """``a, sum, r1, …`` per document, from the packed sums of all buckets; a group is a chunk of documents."""
+    width = SMALL + 1
+
+    def run(table: pa.Table) -> pa.Table:
+        zstd = pa.Codec("zstd")
+        sizes = table.column("n").to_pylist()
+        total = np.zeros((width, max(sizes)))
+        for n, held in zip(sizes, table.column("packed")):
+            total[:, :n] += np.frombuffer(zstd.decompress(held.as_buffer(), 8 * width * n), np.float64).reshape(width, n)
+        rows = table.column("a")[0].as_py() + np.arange(total.shape[1])
+        return pa.table([pa.array(rows), pa.array(total[0]), *[pa.array(t.astype(np.int64)) for t in total[1:]]],
+                        ["a", "sum", *[f"r{r}" for r in range(1, width)]])
+
+    return packed.groupBy("a").applyInArrow(run, "a long, sum double, " + ", ".join(f"r{r} long" for r in range(1, width)))
+
+
 def _log_unigram(n: Column, uni: Unigrams) -> Column:
     """The same as ``Unigrams.log_probability``, for a joined count (0 where unknown)."""
     factor = reduce(lambda rest, r: F.when(n == r, uni.factor[r - 1]).otherwise(rest), range(1, SMALL + 1), F.lit(1.0))
@@ -362,7 +398,7 @@ def katz_scores(docs: DataFrame, learn: Column, plan: KatzPlan = KatzPlan()) ->
     of_unseen = of_kind(UNSEEN).select("a", "b", "n").join(alpha, "b").select("a", (F.col("n") * F.col("alpha")).alias("sum"))
 
     discounted = sum((F.col(s) * math.log10(d) for s, d in zip(small, factor)), F.lit(0.0))
-    sums = of_kind(SUMS).select("a", (F.col("sum") + discounted).alias("sum"))
+    sums = _document_sums(of_kind(SUMS).select("a", "n", "packed")).select("a", (F.col("sum") + discounted).alias("sum"))
     documents = of_kind(DOCUMENT).select("a", F.col("b").alias("doc_id"), F.col("r2").alias("train"), "base",
                                          F.col("n").alias("n_tokens"), F.col("r1").alias("known"))
     all_sums = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [sums, of_unseen, of_rare, documents])
