@@ -19,6 +19,7 @@ _FAMILIES = {
     "int": _INTEGRAL,
     "number": (*_INTEGRAL, T.FloatType, T.DoubleType, T.DecimalType),
     "time": (T.TimestampType, T.TimestampNTZType, T.DateType),
+    "list": (T.ArrayType,),
     "flag": (T.BooleanType, *_INTEGRAL),
 }
 
@@ -86,6 +87,11 @@ INPUTS: dict[str, str] = {
     "buffer_pages": "server_name:text database_name:text relfilenode:int usagecount:int isdirty:flag",
     "relations": "server_name:text database_name:text relfilenode:int nspname:text relname:text relation_bytes:int",
     "database_sizes": "server_name:text database_name:text database_bytes:int",
+    "tablespaces": "server_name:text spcname:text location:text size_bytes:int",
+    "namespaces": "server_name:text database_name:text nspname:text owner:text nspacl:list description:text",
+    "capture_sessions": "server_name:text address:int name:text total_buffer_size:int buffer_policy_desc:text"
+                        " flag_desc:text dropped_event_count:int dropped_buffer_count:int session_source:text",
+    "capture_targets": "server_name:text event_session_address:int target_name:text target_data:text",
     "column_stats": "server_name:text database_name:text schemaname:text tablename:text attname:text"
                     " null_frac:number avg_width:int",
     "index_pages": "server_name:text database_name:text schemaname:text tablename:text indexname:text"

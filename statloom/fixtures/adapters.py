@@ -92,6 +92,32 @@ SELECT server_name, collect_date, wait_type, CAST(sum(c) OVER y AS BIGINT) AS wa
 FROM d WINDOW y AS (PARTITION BY server_name, wait_type, CASE WHEN day(collect_date) >= 15 THEN 1 ELSE 0 END
                     ORDER BY collect_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
 
+# --- capture sessions, tablespaces, schemas
+ADAPTERS["capture_sessions"] = f"""
+SELECT {named('srv', 's_nationkey')} AS server_name, s_suppkey AS address,
+  CASE WHEN s_suppkey % 3 = 0 THEN 'queries' ELSE {named('session', 's_suppkey % 7')} END AS name,
+  {whole('s_acctbal * 4096')} AS total_buffer_size, 'drop_event' AS buffer_policy_desc, 'flush_on_close' AS flag_desc,
+  s_suppkey % 4 AS dropped_event_count, CASE WHEN s_suppkey % 8 = 0 THEN NULL ELSE 0 END AS dropped_buffer_count,
+  'server' AS session_source
+FROM {{supplier}}"""
+ADAPTERS["capture_targets"] = f"""
+SELECT {named('srv', 's_nationkey')} AS server_name, s_suppkey AS event_session_address, n_name AS target_name,
+  concat('<target>', {text('s_suppkey')}, '</target>') AS target_data
+FROM {{supplier}} JOIN {{nation}} ON n_nationkey % 5 = s_suppkey % 6"""
+ADAPTERS["tablespaces"] = f"""
+SELECT {named('srv', 'l_suppkey % 10')} AS server_name, {named('space', 'l_partkey % 17')} AS spcname,
+  {named('/data/', 'l_partkey % 17')} AS location, CAST(sum({whole('l_extendedprice')}) * 8192 AS BIGINT) AS size_bytes
+FROM {{lineitem}} GROUP BY 1, 2, 3"""
+ADAPTERS["namespaces"] = f"""
+SELECT {place('c_custkey')},
+  CASE c_custkey % 9 WHEN 0 THEN {named('pg_temp_', 'c_custkey')} WHEN 1 THEN 'information_schema'
+    ELSE {named('schema', 'c_custkey')} END AS nspname,
+  {named('role', 'c_nationkey')} AS owner,
+  CASE WHEN c_custkey % 4 = 0 THEN NULL 
+    ELSE split(concat({named('role=UC/', 'c_nationkey')}, ';', {named('=U/', 'c_custkey % 5')}), ';') END AS nspacl,
+  CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS description
+FROM {{customer}}"""
+
 # --- events and traces
 ADAPTERS["captured_events"] = f"""
 SELECT event_id, ts, user_id, props,

@@ -572,6 +572,16 @@ SELECT {SHARE}, {pct('n', 'total', 1)} AS percent_database_in_cache
 FROM w LEFT JOIN database_sizes USING ({SRV_DB}) {top(10, 'nspname, relname, relfilenode')}""")
 
 # ---------------------------------------------------------------------------------- sizes, bloat, sessions, ratios
+oracle("tablespace_sizes", "tablespaces", f"""
+SELECT *, {pretty('size_bytes')} AS size FROM tablespaces""")
+oracle("schema_privileges", "namespaces", f"""
+SELECT {SRV_DB}, nspname AS name, owner, nspacl[1] || chr(10) || nspacl[2] AS access_privileges, description FROM namespaces
+WHERE nspname NOT LIKE 'pg\\_%' ESCAPE '\\' AND nspname <> 'information_schema'""")
+oracle("capture_status", "capture_sessions capture_targets", """
+SELECT s.server_name, s.name, s.total_buffer_size // 1048576 AS total_buffer_size_mb, s.buffer_policy_desc, t.target_name,
+  t.target_data, s.flag_desc, s.dropped_event_count, s.dropped_buffer_count, s.session_source
+FROM capture_sessions s, capture_targets t
+WHERE s.server_name = t.server_name AND s.address = t.event_session_address AND s.name = 'queries'""")
 oracle("relation_disk_usage", "relations", f"""
 SELECT {SRV_DB}, nspname, relname, relation_bytes, {pretty('relation_bytes')} AS size FROM relations
 WHERE nspname <> 'pg_catalog' AND nspname <> 'information_schema'

@@ -373,6 +373,21 @@ def cache_share_window(i: Inputs) -> DataFrame:
 
 # ---------------------------------------------------------------------------------- sizes, bloat, sessions, ratios
 
+@register
+def tablespace_sizes(i: Inputs) -> DataFrame:
+    return relations.tablespace_sizes(i.tablespaces)
+
+
+@register
+def schema_privileges(i: Inputs) -> DataFrame:
+    return relations.schema_privileges(i.namespaces)
+
+
+@register
+def capture_status(i: Inputs) -> DataFrame:
+    return events.capture_status(i.capture_sessions, i.capture_targets, "queries")
+
+
 @register
 def relation_disk_usage(i: Inputs) -> DataFrame:
     return relations.relation_disk_usage(i.relations)

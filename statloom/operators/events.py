@@ -126,6 +126,21 @@ def event_rejects(events: DataFrame) -> DataFrame:
     return parsed.filter(~well_formed()).select(*events.columns)
 
 
+def capture_status(sessions: DataFrame, targets: DataFrame, session: str | None = None) -> DataFrame:
+    """Capture sessions (or one, by name) with each of their targets: buffers in whole megabytes, dropped events.
+
+    A count of dropped events or buffers tells that the log of the session is incomplete.
+    """
+    check(sessions, "capture_sessions")
+    check(targets, "capture_targets")
+    chosen = sessions if session is None else sessions.filter(F.col("name") == session)
+    into = targets.select("server_name", F.col("event_session_address").alias("address"), "target_name", "target_data")
+    return (chosen.join(into, ["server_name", "address"])
+            .select("server_name", "name", whole_div(F.col("total_buffer_size"), 1024 * 1024).alias("total_buffer_size_mb"),
+                    "buffer_policy_desc", "target_name", "target_data", "flag_desc", "dropped_event_count",
+                    "dropped_buffer_count", "session_source"))
+
+
 def failover_events(events: DataFrame) -> DataFrame:
     """Availability-group failovers: reported errors with the failover number. Other types are never parsed."""
     check(events, "event_documents")

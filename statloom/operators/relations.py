@@ -35,6 +35,26 @@ def relation_size_split(relations: DataFrame, n: int = 10) -> DataFrame:
                       size_pretty(total - main).alias("index_size"))
 
 
+def tablespace_sizes(tablespaces: DataFrame) -> DataFrame:
+    """Tablespaces with their place, the largest of each server first; by bytes, not by the printed size."""
+    check(tablespaces, "tablespaces")
+    return (tablespaces.select("server_name", "spcname", "location", "size_bytes",
+                               size_pretty(F.col("size_bytes")).alias("size"))
+            .orderBy("server_name", F.col("size_bytes").desc_nulls_last(), "spcname"))
+
+
+def schema_privileges(namespaces: DataFrame) -> DataFrame:
+    """Schemas with owner and privileges, one privilege in a line; system schemas are left out.
+
+    A schema without an entry has no privileges (NULL), as in the catalog; NULL entries of a list are left out.
+    """
+    check(namespaces, "namespaces")
+    user = namespaces.filter(~F.col("nspname").startswith("pg_") & (F.col("nspname") != "information_schema"))
+    return (user.select(*DATABASE, F.col("nspname").alias("name"), "owner",
+                        F.array_join("nspacl", "\n").alias("access_privileges"), "description")
+            .orderBy(*DATABASE, "name"))
+
+
 def database_size(database_sizes: DataFrame) -> DataFrame:
     """All databases, largest first."""
     check(database_sizes, "database_sizes")
