@@ -126,6 +126,20 @@ def _features(words: Words, plan: RulesPlan) -> tuple[list[tuple[np.ndarray, np.
     return found, [np.bincount(owner, minlength=len(words.counts)) for _, owner in found]
 
 
+def _matrix(words: Words, plan: RulesPlan, lot: int = 128) -> np.ndarray:
+    """Shares of buckets, a row per text; made some texts at a time, to keep the driver's memory low."""
+    x = np.zeros((len(words.counts), 2 * plan.buckets), np.float32)
+    for low in range(0, len(x), lot):
+        high = min(low + lot, len(x))
+        first, end = words.offsets[low], words.offsets[high]
+        some = split(words.data[first:end], words.offsets[low:high + 1] - first, lower=False)
+        for (bucket, owner), held in zip(*_features(some, plan)):
+            share = 1.0 / np.maximum(held, 1)
+            part = np.bincount(owner * x.shape[1] + bucket, share[owner], (high - low) * x.shape[1])
+            x[low:high] += part.reshape(high - low, -1)
+    return x
+
+
 def _raw(weight: np.ndarray, bias: float, words: Words, plan: RulesPlan) -> np.ndarray:
     out = np.full(len(words.counts), bias)
     for (bucket, owner), held in zip(*_features(words, plan)):
@@ -159,13 +173,10 @@ def fit(sample: Sample, plan: RulesPlan = RulesPlan()) -> RulesModel:
         return RulesModel(plan, np.zeros(2 * plan.buckets), 0.0, 1.0, float(np.log(odds / (1 - odds))))
     sample = with_excerpts(sample, plan.excerpt, plan.seed)
     words = sample.words(lower=False)
-    x = np.zeros((len(sample.label), 2 * plan.buckets), np.float32)
-    for (bucket, owner), held in zip(*_features(words, plan)):
-        share = 1.0 / np.maximum(held, 1)
-        x += np.bincount(owner * x.shape[1] + bucket, share[owner], x.size).reshape(x.shape).astype(np.float32)
+    x = _matrix(words, plan)
     aside = np.arange(len(x)) % 4 == 3  # for calibration
     mine, label = np.flatnonzero(~aside), sample.label
-    scale = 1.0 / (x[mine].std(0) + 1e-3)
+    scale = 1.0 / (np.sqrt(np.maximum(np.einsum("ij,ij->j", x, x) / len(x) - x.mean(0) ** 2, 0)) + 1e-3)
     w = {"weight": np.zeros(x.shape[1], np.float32), "bias": np.zeros(1, np.float32)}
     learned, rng = Adam(w, plan.rate), np.random.Generator(np.random.PCG64(plan.seed))
     for _ in range(plan.epochs):
