@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -71,18 +71,26 @@ def stream_with_retention(
     stream: DataFrame, path: str, checkpoint: str, keep: str = counters.IO_HISTORY_KEEP,
     at: str = "collect_date", available_now: bool = True,
 ) -> StreamingQuery:
-    """Append every batch to the day-partitioned history at ``path``, then purge it.
+    """Append every batch to the day-partitioned history at ``path`` and purge it when a new day begins.
 
-    The purge is driven by the newest event time in the history, not by the wall clock. A batch that is repeated
-    after a failure replaces its own files, so nothing is stored twice.
+    The purge is driven by the newest event time, not by the wall clock. That time is observed while a batch is written;
+    the history itself is read for it once after a start. A batch that is repeated after a failure replaces its own
+    files, so nothing is stored twice.
     """
     spark: SparkSession = stream.sparkSession
 
+    times: dict[str, str | None] = {"newest": None, "purged": None}
+
     def append_and_purge(batch: DataFrame, batch_id: int) -> None:
-        write_history(batch, path, at, batch_id)
-        newest = newest_time(spark, path, at)
-        if newest is not None:
+        seen = Observation()
+        latest = F.date_format(F.max(at), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("latest")
+        write_history(batch.observe(seen, latest), path, at, batch_id)
+        known = times["newest"] if times["newest"] is not None else newest_time(spark, path, at)
+        newest = max((t for t in (known, seen.get["latest"]) if t is not None), default=None)
+        times["newest"] = newest
+        if newest is not None and newest[:10] != times["purged"]:
             purge_history(spark, path, newest, keep, at)
+            times["purged"] = newest[:10]
 
     writer = (stream.writeStream.foreachBatch(append_and_purge).outputMode("append")
               .option("checkpointLocation", checkpoint))
