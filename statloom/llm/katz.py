@@ -38,8 +38,8 @@ _TAIL = np.uint32(0xFFFFFFFF)
 @dataclass(frozen=True)
 class KatzPlan:
     head: int = 1 << 19               # most tokens that are broadcast
-    bucket_tokens: int = 2_000_000    # token pairs in a bucket
-    split_tokens: int = 500_000       # a history with more is dealt over several buckets
+    bucket_tokens: int = 1_200_000    # token pairs in a bucket
+    split_tokens: int = 300_000       # a history with more is dealt over several buckets
     least_buckets: int = 8
 
 
@@ -95,7 +95,7 @@ def _count_words(texts: DataFrame) -> DataFrame:
             both, place = np.unique(np.concatenate([words, new]), return_inverse=True)
             counts = np.bincount(place, np.concatenate([counts, times]), len(both)).astype(np.int64)
             words = both
-            if len(words) > 1_000_000:
+            if len(words) > 400_000:
                 yield out()
                 words, counts = words[:0], counts[:0]
         if len(words):
