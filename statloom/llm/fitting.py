@@ -7,6 +7,7 @@ and do not grow with the tables. Scores cover every document.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +28,13 @@ class Sample:
     def words(self, **options) -> Words:
         return split(self.data, self.offsets, **options)
 
+    def lots(self, texts: int = 64) -> Iterator[tuple[int, Sample]]:
+        """Parts of the sample and the place of their first text, to keep the driver's memory low."""
+        for low in range(0, len(self.label), texts):
+            high = min(low + texts, len(self.label))
+            first, end = self.offsets[low], self.offsets[high]
+            yield low, Sample(self.data[first:end], self.offsets[low:high + 1] - first, self.label[low:high])
+
     @property
     def usable(self) -> bool:
         return bool((self.label == 0).any() and (self.label == 1).any())

@@ -126,12 +126,15 @@ def _gradients(w: dict[str, np.ndarray], x: np.ndarray, begin: np.ndarray, f: di
 def fit(sample: Sample, plan: QualityPlan = QualityPlan()) -> QualityModel:
     if sample.usable:
         sample = with_excerpts(sample, plan.excerpt, plan.seed)
-    words = sample.words(lower=False)
-    filled = np.flatnonzero(words.counts > 0)
+    counts = sample.words(lower=False).counts
+    filled = np.flatnonzero(counts > 0)
     label = sample.label[filled]
     if not (label == 0).any() or not (label == 1).any():
         return QualityModel(plan, None, sample.prior)
-    x, first = passages(words, plan)
+    first = np.concatenate([[0], np.cumsum(-(-counts // plan.passage))])
+    x = np.empty((first[-1], 2 * plan.buckets + SHARES), np.float32)
+    for low, some in sample.lots():
+        x[first[low]:first[low + len(some.label)]] = passages(some.words(lower=False), plan)[0]
     sizes, begin = np.diff(first)[filled], first[:-1][filled]
     rng = np.random.Generator(np.random.PCG64(plan.seed))
 
@@ -142,7 +145,9 @@ def fit(sample: Sample, plan: QualityPlan = QualityPlan()) -> QualityModel:
          "v": start(plan.hidden, plan.gate), "u": start(plan.hidden, plan.gate), "attend": start(plan.gate),
          "out": start(plan.hidden), "out0": np.zeros(1, np.float32)}
     learned = Adam(w, plan.rate)
-    fixed = {"mean": x.mean(0), "spread": x.std(0) + np.float32(0.02)}
+    mean = x.mean(0)
+    variance = np.maximum(np.einsum("ij,ij->j", x, x) / len(x) - mean ** 2, 0)
+    fixed = {"mean": mean, "spread": (np.sqrt(variance) + 0.02).astype(np.float32)}
     for _ in range(plan.epochs):
         order = rng.permutation(len(filled))
         for lot in range(0, len(order), plan.batch):

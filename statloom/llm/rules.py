@@ -126,17 +126,14 @@ def _features(words: Words, plan: RulesPlan) -> tuple[list[tuple[np.ndarray, np.
     return found, [np.bincount(owner, minlength=len(words.counts)) for _, owner in found]
 
 
-def _matrix(words: Words, plan: RulesPlan, lot: int = 128) -> np.ndarray:
-    """Shares of buckets, a row per text; made some texts at a time, to keep the driver's memory low."""
-    x = np.zeros((len(words.counts), 2 * plan.buckets), np.float32)
-    for low in range(0, len(x), lot):
-        high = min(low + lot, len(x))
-        first, end = words.offsets[low], words.offsets[high]
-        some = split(words.data[first:end], words.offsets[low:high + 1] - first, lower=False)
-        for (bucket, owner), held in zip(*_features(some, plan)):
+def _matrix(sample: Sample, plan: RulesPlan) -> np.ndarray:
+    """Shares of buckets, a row per text; made some texts at a time."""
+    x = np.zeros((len(sample.label), 2 * plan.buckets), np.float32)
+    for low, some in sample.lots():
+        rows = len(some.label)
+        for (bucket, owner), held in zip(*_features(some.words(lower=False), plan)):
             share = 1.0 / np.maximum(held, 1)
-            part = np.bincount(owner * x.shape[1] + bucket, share[owner], (high - low) * x.shape[1])
-            x[low:high] += part.reshape(high - low, -1)
+            x[low:low + rows] += np.bincount(owner * x.shape[1] + bucket, share[owner], rows * x.shape[1]).reshape(rows, -1)
     return x
 
 
@@ -172,8 +169,7 @@ def fit(sample: Sample, plan: RulesPlan = RulesPlan()) -> RulesModel:
         odds = np.clip(sample.prior, 1e-6, 1 - 1e-6)
         return RulesModel(plan, np.zeros(2 * plan.buckets), 0.0, 1.0, float(np.log(odds / (1 - odds))))
     sample = with_excerpts(sample, plan.excerpt, plan.seed)
-    words = sample.words(lower=False)
-    x = _matrix(words, plan)
+    x = _matrix(sample, plan)
     aside = np.arange(len(x)) % 4 == 3  # for calibration
     mine, label = np.flatnonzero(~aside), sample.label
     scale = 1.0 / (np.sqrt(np.maximum(np.einsum("ij,ij->j", x, x) / len(x) - x.mean(0) ** 2, 0)) + 1e-3)

@@ -97,7 +97,17 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
     def hashes(self) -> np.ndarray:
-        return SliceHash(self.data)(self.start, self.end)
+        """A hash per word, some texts at a time where the chunk is large."""
+        if len(self.data) <= CHUNK_BYTES:
+            return SliceHash(self.data)(self.start, self.end)
+        out, low = np.empty(len(self.start), np.uint64), 0
+        while low < len(self.counts):
+            high = int(np.searchsorted(self.offsets, self.offsets[low] + CHUNK_BYTES, side="right")) - 1
+            high = min(max(high, low + 1), len(self.counts))
+            some, at = slice(self.first[low], self.first[high]), self.offsets[low]
+            out[some] = SliceHash(self.data[at:self.offsets[high]])(self.start[some] - at, self.end[some] - at)
+            low = high
+        return out
 
 
 def binary_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -85,9 +85,12 @@ class _Fit:
         self.plan, self.rng = plan, np.random.Generator(np.random.PCG64(plan.seed))
         self.words = sample.words(alphanumeric=True)
         _, shown, self.word = np.unique(self.words.hashes(), return_index=True, return_inverse=True)
-        bucket, owner = subword_buckets(self.words, shown, plan.grams, plan.buckets, whole=False)
-        order = np.argsort(owner, kind="stable")
-        self.bucket, self.parts = bucket[order], np.bincount(owner, minlength=len(shown))
+        found, parts = [], []
+        for low in range(0, len(shown), 20_000):
+            bucket, owner = subword_buckets(self.words, shown[low:low + 20_000], plan.grams, plan.buckets, whole=False)
+            found.append(bucket[np.argsort(owner, kind="stable")])
+            parts.append(np.bincount(owner, minlength=len(shown[low:low + 20_000])))
+        self.bucket, self.parts = np.concatenate(found), np.concatenate(parts)
         self.begin = np.cumsum(self.parts) - self.parts
         self.all_words = self.word
         start, size, self.first = _spans(self.words, plan)
@@ -108,11 +111,11 @@ class _Fit:
         What only one or two texts have would just be learnt by heart.
         """
         once = np.unique(self.words.text_of * np.int64(len(self.parts)) + self.all_words)
-        word = once % len(self.parts)
-        entry = np.repeat(once // len(self.parts), self.parts[word]) * self.plan.buckets
-        entry = np.unique(entry + self.bucket[ragged(self.begin[word], self.parts[word])])
-        toxic, texts = self.label[entry // self.plan.buckets] == 1, np.bincount(self.label, minlength=2)
-        held = [np.bincount(entry[toxic == k] % self.plan.buckets, minlength=self.plan.buckets) for k in (False, True)]
+        texts, held = np.bincount(self.label, minlength=2), np.zeros((2, self.plan.buckets), np.int64)
+        edges = np.searchsorted(once, np.arange(len(self.label) + 1) * np.int64(len(self.parts)))
+        for text, (low, high) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
+            word = once[low:high] % len(self.parts)
+            held[self.label[text], np.unique(self.bucket[ragged(self.begin[word], self.parts[word])])] += 1
         self.common = held[0] + held[1] >= self.plan.least_texts
         odds = np.log((held[1] + 0.5) / (texts[1] + 1)) - np.log((held[0] + 0.5) / (texts[0] + 1))
         direction = self.softmax[:, 1] - self.softmax[:, 0]
