@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 3 << 19
 WORD = r"[^\x20\x09-\x0D]+"
 
 _BASE = 0x9E3779B97F4A7C15 | 1

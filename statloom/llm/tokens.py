@@ -18,7 +18,7 @@ import numpy as np
 
 from statloom.llm.text import SliceHash
 
-REMEMBERED = 1_500_000  # pieces kept per Python worker, some 70 MB
+REMEMBERED = 600_000  # pieces kept per Python worker, some 30 MB
 
 _FAST = re.compile("[\\x21-\\x7e\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u024f \n]*")
 _BAD = np.zeros(256, bool)
