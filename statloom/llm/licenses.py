@@ -1,11 +1,13 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a window of a document's words, twice as wide as the template's text and moved by half its width, so whatever
-is no longer than a template lies within one window. A block matches if it holds at least ``percent`` of the template's
-distinct tokens. The join is exact: tokens are put in the order of their frequency over all documents, rarest first;
-a match must hold one of the first ``|T| - need + 1`` tokens of a template (prefix), have ``need`` template tokens at all
-(length), and leave enough tokens on both sides behind its first common one (position). Only blocks that pass are
-compared. Templates are a short fixed list and travel with the code; documents never leave their task.
+A window of a document's words is twice as wide as the template's text. It matches if it holds at least ``percent`` of the
+template's distinct tokens. With ``every_start`` it starts at every word, and matching windows that overlap are one block,
+so a label does not depend on how many words stand before a notice; without, it starts at multiples of half its width
+only and is a block by itself. The join is exact: tokens are put in the order of their frequency over all documents,
+rarest first; a match must hold one of the first ``|T| - need + 1`` tokens of a template (prefix), have ``need`` template
+tokens at all (length), and leave enough tokens on both sides behind its first common one (position, which the prefix
+implies for windows at every start). Only windows that pass are compared. Templates are a short fixed list and travel with
+the code; documents never leave their task.
 
 Apart from that, fixed phrases are looked for as consecutive words.
 """
@@ -57,6 +59,11 @@ class LicensePlan:
     templates: Sequence[tuple[str, str]] = TEMPLATES
     phrases: Mapping[str, str] = None
     percent: int = 80
+    every_start: bool = False
+
+
+#: Every block of a text, wherever it starts.
+WHOLE = LicensePlan(every_start=True)
 
 
 def _hashed(text: str) -> np.ndarray:
@@ -131,6 +138,55 @@ def _matches(words: Words, ids: np.ndarray, templates: _Templates) -> list[tuple
     return found
 
 
+def _sliding(words: Words, ids: np.ndarray, templates: _Templates) -> list[tuple[int, int, int, float]]:
+    """The same over the windows from every word on: (template, first word, end, best containment) of merged blocks.
+
+    A template token counts in the windows from after its previous occurrence, so the number of distinct tokens of all
+    windows is a running sum over the places of tokens.
+    """
+    found = []
+    mine = np.zeros(len(templates.vocabulary) + 1, bool)
+    for n, (tokens, need, width) in enumerate(zip(templates.tokens, templates.need, templates.widths)):
+        hit = np.flatnonzero(np.isin(ids, tokens[:len(tokens) - need + 1]))
+        if not len(hit):
+            continue
+        mine[:] = False
+        mine[tokens] = True
+        place = np.flatnonzero(mine[ids])
+        # length: enough template tokens in the windows that hold the hit
+        text = np.searchsorted(words.first, hit, side="right") - 1
+        low = np.searchsorted(place, np.maximum(hit - width + 1, words.first[text]))
+        high = np.searchsorted(place, np.minimum(hit + width, words.first[text + 1]))
+        near = high - low >= need
+        if not near.any():
+            continue
+        edge = np.bincount(low[near], minlength=len(place) + 1) - np.bincount(high[near], minlength=len(place) + 1)
+        place = place[np.cumsum(edge)[:-1] > 0]
+        start = words.first[np.searchsorted(words.first, place, side="right") - 1]
+        # each place counts for the starts in [since, place]
+        order = np.lexsort((place, ids[place]))
+        before = np.full(len(place), -1)
+        same = ids[place[order[1:]]] == ids[place[order[:-1]]]
+        before[order[1:][same]] = place[order[:-1][same]]
+        since = np.maximum(np.maximum(before + 1, place - width + 1), start)
+        at, step = np.unique(np.concatenate([since, place + 1]), return_inverse=True)
+        held = np.cumsum(np.bincount(step[:len(place)], minlength=len(at)) - np.bincount(step[len(place):], minlength=len(at)))
+        able = np.flatnonzero(held >= need)  # the starts from at[k] to before at[k + 1]
+        if not len(able):
+            continue
+        first, last = at[able], at[able + 1] - 1
+        text = np.searchsorted(words.first, first, side="right") - 1
+        end = np.minimum(last + width, words.first[text + 1])
+        new = np.ones(len(able), bool)
+        new[1:] = first[1:] >= end[:-1]  # ends ascend with starts, and none is beyond its text
+        opens = np.flatnonzero(new)
+        closes = np.append(opens[1:], len(able)) - 1
+        best = np.maximum.reduceat(held[able], opens)
+        for k in range(len(opens)):
+            found.append((n, int(first[opens[k]]), int(end[closes[k]]), int(best[k]) / len(tokens)))
+    return found
+
+
 def _frequencies(docs: DataFrame, plan: LicensePlan) -> np.ndarray:
     """How often each template token stands in all documents."""
     templates = _Templates(plan)
@@ -189,7 +245,8 @@ def scan(docs: DataFrame, plan: LicensePlan = LicensePlan()) -> DataFrame:
                 for t in np.unique(text).tolist():
                     base.setdefault(t, set()).add(label)
                     score[t] = 1.0
-            for n, begin, end, containment in _matches(words, templates.ids(hashes), templates):
+            matches = _sliding if plan.every_start else _matches
+            for n, begin, end, containment in matches(words, templates.ids(hashes), templates):
                 t = int(np.searchsorted(words.first, begin, side="right")) - 1
                 own.setdefault(t, []).append({"label": plan.templates[n][0], "first_word": begin - int(words.first[t]),
                                               "last_word": end - 1 - int(words.first[t]), "containment": containment})

@@ -119,7 +119,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
 
 @register
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents")).drop("blocks")
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.WHOLE).drop("blocks")
 
 
 @register
