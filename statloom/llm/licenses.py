@@ -1,7 +1,7 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
 A window of a document's words is twice as wide as the template's text. It matches if it holds at least ``percent`` of the
-template's distinct tokens. With ``every_start`` it starts at every word, and matching windows that overlap are one block,
+template's distinct tokens and all of its ``obligatory`` ones, as those that name the license. With ``every_start`` it starts at every word, and matching windows that overlap are one block,
 so a label does not depend on how many words stand before a notice; without, it starts at multiples of half its width
 only and is a block by itself. The join is exact: tokens are put in the order of their frequency over all documents,
 rarest first; a match must hold one of the first ``|T| - need + 1`` tokens of a template (prefix), have ``need`` template
@@ -53,6 +53,10 @@ TEMPLATES = (
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
 
+# The tokens without which a notice is that of another license, per template.
+IDENTIFYING = ("gnu general public 3", "gnu general public", "apache 2 0", "apache 2 0", "cc by nc 4 0",
+               "creative commons attribution 4 0", "mit", "", "", "", "mozilla 2 0")
+
 
 @dataclass(frozen=True)
 class LicensePlan:
@@ -60,10 +64,11 @@ class LicensePlan:
     phrases: Mapping[str, str] = None
     percent: int = 80
     every_start: bool = False
+    obligatory: Sequence[str] = ()  # per template, tokens that a window must hold in any case
 
 
-#: Every block of a text, wherever it starts.
-WHOLE = LicensePlan(every_start=True)
+#: Every block of a text, wherever it starts, and none of another license.
+WHOLE = LicensePlan(every_start=True, obligatory=IDENTIFYING)
 
 
 def _hashed(text: str) -> np.ndarray:
@@ -82,6 +87,10 @@ class _Templates:
         self.vocabulary = np.unique(np.concatenate(texts)) if texts else np.zeros(0, np.uint64)
         self.widths = [2 * len(t) for t in texts]
         self.tokens = [np.searchsorted(self.vocabulary, np.unique(t)) for t in texts]
+        obligatory = [np.unique(_hashed(text)) for text in plan.obligatory] or [np.zeros(0, np.uint64)] * len(texts)
+        if len(obligatory) != len(texts) or any(not np.isin(o, t).all() for o, t in zip(obligatory, texts)):
+            raise ValueError("obligatory tokens are listed per template, and it holds them")
+        self.obligatory = [np.searchsorted(self.vocabulary, o) for o in obligatory]
         phrases = PHRASES if plan.phrases is None else plan.phrases
         self.phrases = [(_hashed(p), label) for p, label in phrases.items()]
 
@@ -131,7 +140,8 @@ def _matches(words: Words, ids: np.ndarray, templates: _Templates) -> list[tuple
         held = np.bitwise_or.reduceat(bits[ids[word]], place)
         # length: enough words at all; position: enough of the template behind the first common token
         lowest = np.bitwise_count((held & (~held + np.uint64(1))) - np.uint64(1))
-        able = np.flatnonzero((size >= need) & (len(tokens) - lowest.astype(np.int64) >= need))
+        must = np.bitwise_or.reduce(bits[templates.obligatory[n]], initial=np.uint64(0))
+        able = np.flatnonzero((size >= need) & (len(tokens) - lowest.astype(np.int64) >= need) & (held & must == must))
         common = np.bitwise_count(held[able])
         for k in able[common >= need].tolist():
             found.append((n, int(begin[k]), int(end[k]), int(np.bitwise_count(held[k])) / len(tokens)))
@@ -170,8 +180,14 @@ def _sliding(words: Words, ids: np.ndarray, templates: _Templates) -> list[tuple
         before[order[1:][same]] = place[order[:-1][same]]
         since = np.maximum(np.maximum(before + 1, place - width + 1), start)
         at, step = np.unique(np.concatenate([since, place + 1]), return_inverse=True)
-        held = np.cumsum(np.bincount(step[:len(place)], minlength=len(at)) - np.bincount(step[len(place):], minlength=len(at)))
-        able = np.flatnonzero(held >= need)  # the starts from at[k] to before at[k + 1]
+        opened, closed = step[:len(place)], step[len(place):]
+
+        def running(some: np.ndarray | slice) -> np.ndarray:
+            return np.cumsum(np.bincount(opened[some], minlength=len(at)) - np.bincount(closed[some], minlength=len(at)))
+
+        held, must = running(slice(None)), templates.obligatory[n]
+        # the starts from at[k] to before at[k + 1]
+        able = np.flatnonzero((held >= need) & (running(np.isin(ids[place], must)) == len(must)))
         if not len(able):
             continue
         first, last = at[able], at[able + 1] - 1

@@ -8,12 +8,13 @@ from test_licenses import words_of
 
 def brute(text, plan):
     words, blocks = words_of(text), []
-    for label, template in plan.templates:
+    for n, (label, template) in enumerate(plan.templates):
+        must = set(words_of(plan.obligatory[n])) if plan.obligatory else set()
         t, width, mine = set(words_of(template)), 2 * len(words_of(template)), []
         for begin in range(len(words)):
             end = min(begin + width, len(words))
             common = len(t & set(words[begin:end]))
-            if 100 * common < plan.percent * len(t):
+            if 100 * common < plan.percent * len(t) or not must <= set(words[begin:end]):
                 continue
             if mine and begin <= mine[-1][2]:
                 mine[-1][2:] = end - 1, max(mine[-1][3], common / len(t))
@@ -58,3 +59,21 @@ def test_notice_is_found_at_any_offset(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     rows = QUERIES["op9_license_scan"](spark, str(tmp_path)).collect()
     assert [(r.labels, r.score) for r in rows] == [("bsd", 1.0)] * 21
+
+
+def test_notice_of_another_license_gets_no_label(spark):
+    near = ["Licensed under CC BY 4.0", "Licensed under CC BY-SA 4.0", "released under the Apache License", "released under the BSD License",
+            "licensed under the Mozilla License, version 2.0", "This work is licensed under the GNU General Public License, version 2.",
+            "This work is licensed under a Creative Commons Attribution 3.0 International License.",
+            "Licensed under the Educational Community License, Version 2.0 (the \"License\"); you may not use this file except in "
+            "compliance with the License. You may obtain a copy of the License at"]
+    own = [text for _, text in licenses.TEMPLATES]
+    rows = scanned(spark, [f"some words {t} more words" for t in near + own], licenses.WHOLE)
+    assert [rows[n].blocks for n in range(len(near))] == [None] * len(near)
+    for n, (label, _) in enumerate(licenses.TEMPLATES, len(near)):
+        assert label in {b.label for b in rows[n].blocks} and max(b.containment for b in rows[n].blocks) == 1.0
+
+
+def test_windows_by_step_hold_obligatory_tokens_too(spark):
+    rows = scanned(spark, ["Licensed under CC BY 4.0", "Licensed under CC BY-NC 4.0"], licenses.LicensePlan(obligatory=licenses.IDENTIFYING))
+    assert [rows[0].blocks, rows[1].blocks[0].label] == [None, "cc-by-nc-4.0"]
