@@ -2,41 +2,97 @@
 
 Each run is a pure function of the stored snapshots and replaces the days it computes, those left without rows
 included, so it can be repeated after a failure. Snapshots and histories are Parquet folders partitioned by day, as
-written by ``sources.history``. A run goes on from the newest day of the history and reads only the folders from a few
-days before it, where the previous polls are; ``recompute`` does all days again, as after a change of thresholds.
+written by ``sources.history``. Beside the history a run keeps a registry of the polls it has computed, with the names
+of their day's files. The next one reads the days whose files differ, goes on from the first day with a poll that is new,
+changed or gone, late ones included, and reads the snapshots from a few days before it and the days of every server's last
+poll before it, however old. ``recompute`` does all days again, as after a change of thresholds. Polls that are missing
+at the start of the oldest stored day, or before it, have been purged and change nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import re
+from collections import defaultdict
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statloom.operators import counters, waits
-from statloom.sources.history import purge_history, read_history, replace_range, stored_days
+from statloom.sources.history import BATCH, DAY, day_folders, purge_history, read_history, replace_range, stored_days, write_history
 
-# Days before the first computed one that are read for previous polls, and the last polled day before it in any case;
-# a server silent for longer than that starts anew.
+# Days before the first computed one that are read in any case.
 DAYS_BEFORE = 7
+REGISTRY = "_state/polls"  # within a history; readers skip it
+_FOLDER = re.compile(rf"/{DAY}=(\d{{4,}}-\d\d-\d\d)/")
 
 
-def snapshots_from(spark: SparkSession, snapshots: str, first: str) -> DataFrame:
-    """The stored snapshots needed to compute the days from ``first`` on; older folders are not read."""
+def snapshots_from(spark: SparkSession, snapshots: str, first: str, older: Sequence[str] = ()) -> DataFrame:
+    """The stored snapshots needed to compute the days from ``first`` on; of older folders only ``older`` are read."""
     stored = read_history(spark, snapshots)
     before = max((day for day in stored_days(spark, snapshots) if day < first), default=first)
     since = F.least(F.lit(before).cast("date"), F.date_sub(F.lit(first).cast("date"), DAYS_BEFORE))
-    recent = stored.filter(F.col("dt") >= since)
+    wanted = F.col("dt") >= since
+    if older:
+        wanted = wanted | F.col("dt").isin([F.lit(day).cast("date") for day in older])
+    recent = stored.filter(wanted)
     return recent.select([c for c in stored.columns if c not in ("dt", "batch_id")])
 
 
-def _run(spark: SparkSession, snapshots: str, history: str, as_of, keep: str,
-         compute: Callable[[DataFrame], DataFrame], recompute: bool) -> None:
-    polled, computed = stored_days(spark, snapshots), stored_days(spark, history)
+def _signatures(stored: DataFrame) -> dict[str, str]:
+    """Per day a digest of the names of its files; a file that is written again has another name."""
+    files = defaultdict(list)
+    for name in stored.inputFiles():
+        if found := _FOLDER.search(name):
+            files[found[1]].append(name)
+    return {day: hashlib.md5("\n".join(sorted(names)).encode()).hexdigest() for day, names in files.items()}
+
+
+def _polls(stored: DataFrame, days: Sequence[str], prepare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The polls of ``days``: server, time, number of rows and a digest of them."""
+    columns = [c for c in stored.columns if c not in (DAY, BATCH)]
+    some = stored.filter(F.col(DAY).isin([F.lit(day).cast("date") for day in days])).select(columns)
+    return (prepare(some).groupBy("server_name", "collect_date")
+            .agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*columns)).alias("content")))
+
+
+def _run(spark: SparkSession, snapshots: str, history: str, as_of, keep: str, compute: Callable[[DataFrame], DataFrame],
+         recompute: bool, prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
+    """``prepare`` leaves the rows that make up the polls which ``compute`` pairs."""
+    polled = stored_days(spark, snapshots)
     if polled:
-        first = max(polled[0], computed[-1]) if computed and not recompute else polled[0]
-        if first <= polled[-1]:
-            replace_range(compute(snapshots_from(spark, snapshots, first)), history, (first, polled[-1]))
+        path = f"{history.rstrip('/')}/{REGISTRY}"
+        stored = read_history(spark, snapshots)
+        signatures, known = _signatures(stored), {}
+        registered = stored_days(spark, path)
+        registry = read_history(spark, path) if registered else None
+        if registered:
+            known = {str(r[DAY]): r["files"] for r in registry.select(DAY, "files").distinct().collect()}
+        differ = [day for day in signatures if recompute or known.get(day) != signatures[day]]
+        gone = [day for day in registered if day not in signatures]
+        polls, first, older = _polls(stored, differ, prepare), None, []
+        if recompute or not registered:
+            first = polled[0]
+        elif differ or gone:
+            before = registry.filter(F.col(DAY).isin([F.lit(day).cast("date") for day in differ + gone])).select(polls.columns)
+            missing = before.subtract(polls).filter(F.to_date("collect_date") > F.lit(polled[0]).cast("date"))
+            day = polls.subtract(before).union(missing).agg(F.min(F.to_date("collect_date"))).first()[0]
+            first = day and str(day)
+        if first:
+            if registered:
+                last = registry.filter(F.col(DAY) < F.lit(first).cast("date")).groupBy("server_name").agg(F.max(DAY).alias(DAY))
+                older = sorted(str(r[DAY]) for r in last.select(DAY).distinct().collect())
+            result = compute(prepare(snapshots_from(spark, snapshots, first, older)))
+            replace_range(result, history, (first, max(polled[-1], *registered, first)))
+        if differ or gone:  # a day that is not in the registry is computed again
+            fs, folders = day_folders(spark, path)
+            for day, folder in folders:
+                if day in differ or day in gone:
+                    fs.delete(folder, True)
+            names = spark.createDataFrame([(day, signatures[day]) for day in differ], "day string, files string")
+            dated = polls.withColumn("day", F.to_date("collect_date"))
+            write_history(dated.join(names.select(F.col("day").cast("date"), "files"), "day").drop("day"), path)
     purge_history(spark, history, as_of, keep)
 
 
@@ -56,5 +112,4 @@ def run_io_alert_solution(spark: SparkSession, snapshots: str, history: str, as_
 def run_wait_solution(spark: SparkSession, snapshots: str, history: str, as_of,
                       keep: str = counters.WAIT_HISTORY_KEEP, recompute: bool = False) -> None:
     """Waits: deltas of the waits that matter. Read the result with ``wait_top_n`` or ``wait_category_rollup``."""
-    _run(spark, snapshots, history, as_of, keep, lambda df: waits.wait_delta(waits.wait_snapshot_filter(df)),
-         recompute)
+    _run(spark, snapshots, history, as_of, keep, waits.wait_delta, recompute, waits.wait_snapshot_filter)

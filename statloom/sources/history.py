@@ -45,7 +45,7 @@ def replace_range(df: DataFrame, path: str, days: tuple[str, str], at: str = "co
     inside = df.filter(F.to_date(at).between(F.lit(first).cast("date"), F.lit(last).cast("date")))
     write_history(inside, path, at, replace_days=True)
     filled = {str(r["day"]) for r in inside.select(F.to_date(at).alias("day")).distinct().collect()}
-    fs, stored_days = _days(spark, path)
+    fs, stored_days = day_folders(spark, path)
     for day, folder in stored_days:
         if first <= day <= last and day not in filled:
             fs.delete(folder, True)
@@ -56,7 +56,7 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _days(spark: SparkSession, path: str):
+def day_folders(spark: SparkSession, path: str):
     """The day folders of a history, as (date text, Hadoop path), with their file system."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     root = hadoop.Path(path)
@@ -69,12 +69,12 @@ def _days(spark: SparkSession, path: str):
 
 def stored_days(spark: SparkSession, path: str) -> list[str]:
     """The days of a history in order, from the names of its folders."""
-    return sorted(day for day, _ in _days(spark, path)[1])
+    return sorted(day for day, _ in day_folders(spark, path)[1])
 
 
 def newest_time(spark: SparkSession, path: str, at: str = "collect_date") -> str | None:
     """The latest ``at`` in a history, as text; only the newest day is read."""
-    _, days = _days(spark, path)
+    _, days = day_folders(spark, path)
     if not days:
         return None
     newest_day = read_history(spark, path).filter(F.col(DAY) == F.lit(max(day for day, _ in days)).cast("date"))
@@ -95,7 +95,7 @@ def purge_history(
     boundary = spark.range(1).select(F.date_format(cutoff, "yyyy-MM-dd").alias("day")).first()["day"]
     root = path.rstrip("/")
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    fs, days = _days(spark, root)
+    fs, days = day_folders(spark, root)
 
     def swap_in(day: str) -> None:
         staged, replaced = hadoop.Path(f"{root}/_purge_{day}"), hadoop.Path(f"{root}/_purged_{day}")

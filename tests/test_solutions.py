@@ -2,7 +2,7 @@
 
 from statloom.operators import counters, waits
 from statloom.plans.solutions import run_io_alert_solution, run_io_solution, run_wait_solution, snapshots_from
-from statloom.sources.history import read_history, stored_days, write_history
+from statloom.sources.history import purge_history, read_history, stored_days, write_history
 from test_counters import SNAPSHOT, snap
 from test_waits import WAIT
 
@@ -52,3 +52,47 @@ def test_wait_solution(spark, frame, tmp_path):
     run_wait_solution(spark, snapshots, history, "2024-01-03")
     top = waits.wait_top_n(read_history(spark, history)).collect()
     assert [(r.wait_type, r.wait_time_ms, r.signal_wait_time_ms) for r in top] == [("LCK_M_X", 10, 1)]
+
+
+def runs_equal_recompute(spark, tmp_path, run, *steps):
+    """The history after a run per step is that of a single run over all snapshots."""
+    snapshots, history, whole = (str(tmp_path / n) for n in ("snapshots", "history", "whole"))
+    for step in steps:
+        write_history(step, snapshots)
+        run(spark, snapshots, history, "2024-02-01")
+    run(spark, snapshots, whole, "2024-02-01")
+    got, want = (sorted(read_history(spark, h).collect()) for h in (history, whole))
+    assert got == want
+    return got
+
+
+def test_server_silent_for_weeks_keeps_its_delta(spark, frame, tmp_path):
+    rows = [snap(d, *[d * d] * 7, server="t") for d in range(1, 21)]
+    got = runs_equal_recompute(spark, tmp_path, run_io_solution, frame(SNAPSHOT, *rows, snap(1, *[5] * 7)),
+                               frame(SNAPSHOT, snap(21, *[500] * 7, server="t"), snap(21, *[905] * 7)))
+    assert [r.num_of_reads for r in got if r.server_name == "s"] == [900]
+
+
+def test_late_snapshots_are_computed(spark, frame, tmp_path):
+    rows = [snap(d, *[d * d] * 7, server="t") for d in range(1, 16)]
+    got = runs_equal_recompute(spark, tmp_path, run_io_solution, frame(SNAPSHOT, *rows),
+                               frame(SNAPSHOT, *[snap(d, *[d * d] * 7) for d in (2, 3)]),
+                               frame(SNAPSHOT, snap(4, *[100] * 7)))
+    assert [(r.collect_date.day, r.num_of_reads) for r in got if r.server_name == "s"] == [(3, 5), (4, 91)]
+
+
+def test_purged_snapshots_keep_their_history(spark, frame, tmp_path):
+    snapshots, history = str(tmp_path / "snapshots"), str(tmp_path / "history")
+    write_history(frame(SNAPSHOT, *[snap(d, *[d * d] * 7) for d in range(1, 6)]), snapshots)
+    run_io_solution(spark, snapshots, history, "2024-01-06")
+    purge_history(spark, snapshots, "2024-01-06", "2 days")
+    write_history(frame(SNAPSHOT, snap(6, *[36] * 7)), snapshots)
+    run_io_solution(spark, snapshots, history, "2024-01-06")
+    assert sorted(r.collect_date.day for r in read_history(spark, history).collect()) == [2, 3, 4, 5, 6]
+
+
+def test_last_wait_that_matters_may_be_old(spark, frame, tmp_path):
+    rows = [("s", "XE_TIMER_EVENT", f"2024-01-{d:02d}", 1, d, 1, d) for d in range(2, 20)]
+    runs_equal_recompute(spark, tmp_path, run_wait_solution,
+                         frame(WAIT, ("s", "LCK_M_X", "2024-01-01", 1, 10, 1, 1), ("s", "LCK_M_X", "2024-01-02", 1, 20, 1, 2), *rows),
+                         frame(WAIT, ("s", "LCK_M_X", "2024-01-20", 1, 30, 1, 3)))
