@@ -9,7 +9,9 @@ where no count is discounted.
 How it is spread out: token counts are a table partitioned by word. The most frequent tokens, a bounded number, are
 broadcast with their counts; all others are looked up by joins. Token pairs are dealt out by history, packed by chunk
 and bucket, a frequent history over several buckets; the number of buckets follows the tokens, so that
-each holds about as many at any size. A bucket counts its pairs and turns every occurrence into sums per document;
+each holds about as many at any size. Frequent pairs, a bounded number, are found from counts per chunk beforehand: a
+bucket gets their counts by chunk only, and their occurrences stay with the chunk until the counts are known and
+broadcast. A bucket counts its pairs and turns every occurrence into sums per document;
 as discounts are known only at the end, it keeps how many tokens met a pair count of 1, 2, … rather than their
 logarithms. Backoff weights are a table by history, made of sums over buckets, and joined to the unseen pairs.
 """
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statloom.llm.subwords import ragged
-from statloom.llm.text import chunks, mix64, utf8, words_of
+from statloom.llm.text import binary_parts, chunks, mix64, utf8, words_of
 from statloom.llm.work import stored
 
 SMALL = 5  # counts up to this one are discounted
@@ -39,7 +41,7 @@ _TAIL = np.uint32(0xFFFFFFFF)
 class KatzPlan:
     head: int = 1 << 19               # most tokens that are broadcast
     bucket_tokens: int = 1_200_000    # token pairs in a bucket
-    split_tokens: int = 300_000       # a history with more is dealt over several buckets
+    split_tokens: int = 300_000       # a history with more is dealt over several buckets; a pair with more stays with its chunks
     least_buckets: int = 8
 
 
@@ -138,58 +140,141 @@ def _unigrams(table: DataFrame, documents: int, plan: KatzPlan) -> Unigrams:
     return Unigrams(words[order], counts, tokens, types, tuple(factor), left / (tokens + 1))
 
 
-def _dealt(docs: DataFrame, model, buckets: int, plan: KatzPlan) -> DataFrame:
-    """Token pairs packed per chunk and bucket, and with bucket -1 - n the rows of ``docs`` themselves."""
+@dataclass(frozen=True)
+class _Pairs:
+    """The token pairs of a chunk: codes of 32 bits, and of 64 with the hash of tokens beyond the head."""
+
+    counts: np.ndarray
+    text: np.ndarray
+    history: np.ndarray
+    token: np.ndarray
+    full_history: np.ndarray
+    full: np.ndarray
+
+    @property
+    def key(self) -> np.ndarray:
+        """A hash of each pair."""
+        return mix64(self.full_history * np.uint64(0x9DDFEA08EB382D69) + mix64(self.full))
+
+
+def _pairs(chunk: pa.RecordBatch, uni: Unigrams) -> _Pairs:
+    end, start = np.uint32(uni.end), np.uint32(uni.end + 1)
+    words = words_of(chunk, "_bytes")
+    hashes, counts = words.hashes(), words.counts
+    at = np.searchsorted(uni.words, hashes)
+    known = at < len(uni.words)
+    known[known] = uni.words[at[known]] == hashes[known]
+    code = np.where(known, at, _TAIL).astype(np.uint32)
+    texts, total = len(counts), len(code) + len(counts)
+    last = np.cumsum(counts + 1) - 1             # places of the end tokens
+    inner = np.ones(total, bool)
+    inner[last] = False
+    token, full = np.full(total, end, np.uint32), np.zeros(total, np.uint64)
+    token[inner], full[inner] = code, np.where(known, at.astype(np.uint64), hashes | np.uint64(1 << 63))
+    full[last] = end
+    history, full_history = np.empty_like(token), np.empty_like(full)
+    history[1:], full_history[1:] = token[:-1], full[:-1]
+    opening = last - counts
+    history[opening], full_history[opening] = start, start
+    return _Pairs(counts, np.repeat(np.arange(texts, dtype=np.uint32), counts + 1), history, token, full_history, full)
+
+
+def _frequent(docs: DataFrame, size: int, model, plan: KatzPlan) -> np.ndarray:
+    """Hashes of all pairs with ``split_tokens`` occurrences, and of some with at least half as many.
+
+    A chunk leaves out its pairs with less than its share, by bytes of ``size``, of half that number; over all chunks this is
+    less than half of it.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["key", "n"])
+
+        for chunk in chunks(batches, "_bytes"):
+            # an end of a text counts as a byte, so texts without words have their share
+            share = (binary_parts(chunk.column(chunk.schema.get_field_index("_bytes")))[1][-1] + chunk.num_rows) / size
+            new, times = np.unique(_pairs(chunk, model.value).key, return_counts=True)
+            kept = times >= share * plan.split_tokens / 2
+            keys, place = np.unique(np.concatenate([keys, new[kept]]), return_inverse=True)
+            counts = np.bincount(place, np.concatenate([counts, times[kept]]), len(keys)).astype(np.int64)
+            if len(keys) > 400_000:
+                yield out()
+                keys, counts = keys[:0], counts[:0]
+        if len(keys):
+            yield out()
+
+    found = (docs.select("_bytes").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+             .filter(F.col("n") >= plan.split_tokens / 2).select("key").toArrow())  # at most 2 / split_tokens of all pairs
+    return np.sort(found.column("key").to_numpy().astype(np.int64).view(np.uint64))
+
+
+def _is_in(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which of ``keys`` are in ``some``, sorted."""
+    if not len(some):
+        return np.zeros(len(keys), bool)
+    return some[np.minimum(np.searchsorted(some, keys), len(some) - 1)] == keys
+
+
+def _dealt(docs: DataFrame, model, frequent, buckets: int, plan: KatzPlan) -> DataFrame:
+    """Token pairs packed per chunk and bucket, with bucket -1 - n the rows of ``docs`` themselves and frequent pairs.
+
+    Of a frequent pair, a bucket gets the count in the training texts of the chunk, in rows with a ``base`` of -1; where it
+    stands goes with the documents, in rows with a size above 0.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uni: Unigrams = model.value
         zstd = pa.Codec("zstd", 1)
-        end, start = np.uint32(uni.end), np.uint32(uni.end + 1)
         parts = (uni.counts // plan.split_tokens + 1).astype(np.uint64)
         base = TaskContext.get().partitionId() << 40
         logs = np.log10(uni.counts + 1.0)
         for chunk in chunks(batches, "_bytes"):
-            words = words_of(chunk, "_bytes")
-            hashes, counts = words.hashes(), words.counts
-            at = np.searchsorted(uni.words, hashes)
-            known = at < len(uni.words)
-            known[known] = uni.words[at[known]] == hashes[known]
-            code = np.where(known, at, _TAIL).astype(np.uint32)
-            texts, total = len(counts), len(code) + len(counts)
-            last = np.cumsum(counts + 1) - 1             # places of the end tokens
-            inner = np.ones(total, bool)
-            inner[last] = False
-            token, full = np.full(total, end, np.uint32), np.zeros(total, np.uint64)
-            token[inner], full[inner] = code, np.where(known, at.astype(np.uint64), hashes | np.uint64(1 << 63))
-            full[last] = end
-            history, full_history = np.empty_like(token), np.empty_like(full)
-            history[1:], full_history[1:] = token[:-1], full[:-1]
-            opening = last - counts
-            history[opening], full_history[opening] = start, start
-            text = np.repeat(np.arange(texts, dtype=np.uint32), counts + 1)
+            pairs = _pairs(chunk, uni)
+            counts, text, history, token = pairs.counts, pairs.text, pairs.history, pairs.token
+            full_history, full = pairs.full_history, pairs.full
+            texts, total = len(counts), len(token)
+            train = chunk.column("train").to_numpy(zero_copy_only=False)
 
             ways = np.ones(total, np.uint64)
             listed = history != _TAIL
             ways[listed] = parts[history[listed]]
             key = mix64(full_history * np.uint64(0x9DDFEA08EB382D69) + mix64(full) % ways)
             bucket = (key % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket.astype(np.uint16) if buckets < 65536 else bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            train = chunk.column("train").to_numpy(zero_copy_only=False)
+            ids = pairs.key
+            stays = _is_in(ids, frequent.value)
             rows: list[tuple] = []
-            for n in np.flatnonzero(np.diff(edges)).tolist():
-                some = order[edges[n]:edges[n + 1]]
-                h, w = history[some], token[some]
-                tails = np.concatenate([full_history[some][h == _TAIL], full[some][w == _TAIL]])
-                raw = b"".join([text[some].tobytes(), h.tobytes(), w.tobytes(), tails.tobytes()])
-                rows.append((n, base, len(some), len(raw), zstd.compress(raw, asbytes=True), np.packbits(train).tobytes()))
+
+            def pack(places: np.ndarray, first: np.ndarray, base: int, bits: bytes) -> None:
+                """A row per bucket with the pairs at ``places``, each after a number of ``first``."""
+                of = bucket[places]
+                order = np.argsort(of.astype(np.uint16) if buckets < 65536 else of, kind="stable")
+                edges = np.searchsorted(of[order], np.arange(buckets + 1))
+                for n in np.flatnonzero(np.diff(edges)).tolist():
+                    own = order[edges[n]:edges[n + 1]]
+                    some = places[own]
+                    h, w = history[some], token[some]
+                    tails = np.concatenate([full_history[some][h == _TAIL], full[some][w == _TAIL]])
+                    raw = b"".join([first[own].tobytes(), h.tobytes(), w.tobytes(), tails.tobytes()])
+                    rows.append((n, base, len(some), len(raw), zstd.compress(raw, asbytes=True), bits))
+
+            goes = np.flatnonzero(~stays)
+            pack(goes, text[goes], base, np.packbits(train).tobytes())
+            held = np.flatnonzero(stays)
+            if len(held):
+                _, place, which = np.unique(ids[held], return_index=True, return_inverse=True)
+                pack(held[place], np.bincount(which, train[text[held]], len(place)).astype(np.uint32), -1, b"")
+                both, times = np.unique(text[held].astype(np.int64) * len(place) + which, return_counts=True)
+                raw = b"".join([(both // len(place)).astype(np.uint32).tobytes(), times.astype(np.uint32).tobytes(),
+                                ids[held[place[both % len(place)]]].tobytes()])
+                rows.append((-1 - (base + rows_hash(base, texts)) % buckets, base, len(both), len(raw),
+                             zstd.compress(raw, asbytes=True), b""))
             # of the documents: tokens, and of those in the head how many are known and their part of the base score
             in_head = token != _TAIL
             seen = in_head.copy()
             seen[in_head] = uni.counts[token[in_head]] > 0
             part = np.zeros(total)
             part[in_head] = logs[token[in_head]]
-            ids = chunk.column("doc_id")
-            table = pa.table({"doc_id": ids, "train": chunk.column("train"), "n_tokens": counts + 1,
+            table = pa.table({"doc_id": chunk.column("doc_id"), "train": chunk.column("train"), "n_tokens": counts + 1,
                               "n_known": np.bincount(text[seen], minlength=texts),
                               "base": np.bincount(text, part, texts)})
             sink = pa.BufferOutputStream()
@@ -212,7 +297,7 @@ def _dealt(docs: DataFrame, model, buckets: int, plan: KatzPlan) -> DataFrame:
 #: of documents are packed by chunk, as almost every document has some in every bucket.
 _FOUND = ("kind int, a long, b long, n long, sum double, base double, "
           + ", ".join(f"r{r} long" for r in range(1, SMALL + 2)) + ", packed binary")
-DOCUMENT, SUMS, HISTORY, UNSEEN, RARE, RARE_PAIR, PAIRS = range(7)
+DOCUMENT, SUMS, HISTORY, UNSEEN, RARE, RARE_PAIR, PAIRS, FREQUENT, PLACES = range(9)
 
 
 def _found(kind: int, rows: int, **columns: np.ndarray) -> pa.Table:
@@ -228,7 +313,10 @@ def _counted(dealt: DataFrame, model, plan: KatzPlan) -> DataFrame:
     """Counts and sums of every bucket, see ``_FOUND``."""
     def of_documents(table: pa.Table) -> pa.Table:
         parts = []
-        for base, packed in zip(table.column("base").to_pylist(), table.column("packed").to_pylist()):
+        for base, n, size, packed in zip(*(table.column(c).to_pylist() for c in ("base", "n", "size", "packed"))):
+            if size:
+                parts.append(_found(PLACES, 1, a=[base], n=[n], packed=[packed]))
+                continue
             docs = pa.ipc.open_stream(packed).read_all()
             parts.append(_found(DOCUMENT, docs.num_rows, a=np.arange(docs.num_rows) + base,
                                 b=docs.column("doc_id").combine_chunks(), n=docs.column("n_tokens").to_numpy(),
@@ -243,7 +331,7 @@ def _counted(dealt: DataFrame, model, plan: KatzPlan) -> DataFrame:
         zstd = pa.Codec("zstd")
         total = int(table.column("n").to_numpy().sum())
         history, token = np.empty(total, np.uint64), np.empty(total, np.uint64)
-        doc, train, at = np.empty(total, np.int32), np.empty(total, bool), 0
+        doc, train, at = np.empty(total, np.int32), np.empty(total, np.uint32), 0  # no document: -1
         documents, before = [], 0  # row numbers, and the place of a chunk's first document among them
         chunk_of, chunk_size = [], []
         for base, n, size, packed, bits in zip(*(table.column(c) for c in ("base", "n", "size", "packed", "train"))):
@@ -254,16 +342,20 @@ def _counted(dealt: DataFrame, model, plan: KatzPlan) -> DataFrame:
             for codes, rare, out in ((h, tails[:first], history), (w, tails[first:], token)):
                 out[at:at + n] = codes
                 out[at:at + n][codes == _TAIL] = rare
+            if base.as_py() < 0:  # a frequent pair's count
+                doc[at:at + n], train[at:at + n] = -1, text
+                at += n
+                continue
             texts = int(text[-1]) + 1  # texts ascend within a chunk
             doc[at:at + n] = text.astype(np.int32) + before
-            train[at:at + n] = np.unpackbits(np.frombuffer(bits.as_buffer(), np.uint8))[text].astype(bool)
+            train[at:at + n] = np.unpackbits(np.frombuffer(bits.as_buffer(), np.uint8))[text]
             documents.append(base.as_py() + np.arange(texts))
             chunk_of.append(base.as_py())
             chunk_size.append(texts)
             before += texts
             at += n
         del table
-        documents = np.concatenate(documents)
+        documents = np.concatenate([np.zeros(0, np.int64), *documents])
 
         order = np.argsort(mix64(history * np.uint64(0x9DDFEA08EB382D69) + token))
         history = history[order]  # one after the other, so that few copies stand at a time
@@ -277,6 +369,10 @@ def _counted(dealt: DataFrame, model, plan: KatzPlan) -> DataFrame:
         count = np.add.reduceat(train, first, dtype=np.int64)
         pair_history, pair_token = history[first], token[first]
         del history, token, train, new
+        own = np.flatnonzero(doc < 0)
+        stays = np.unique(pair[own])  # frequent pairs
+        if len(own):
+            doc, pair = np.delete(doc, own), np.delete(pair, own)
 
         # histories of this bucket
         known, place = np.unique(pair_history, return_inverse=True)
@@ -312,6 +408,7 @@ def _counted(dealt: DataFrame, model, plan: KatzPlan) -> DataFrame:
             parts.append(_found(UNSEEN, len(both), a=documents[both // len(known)], b=known[both % len(known)].view(np.int64), n=times))
         needed = np.zeros(len(known), bool)
         needed[place[pair[some]]] = True
+        needed[place[stays[backed[stays]]]] = True
         needed |= split
 
         small = {f"r{r}": np.bincount(place[count == r], minlength=len(known))[needed] for r in range(1, SMALL + 1)}
@@ -324,12 +421,47 @@ def _counted(dealt: DataFrame, model, plan: KatzPlan) -> DataFrame:
                             r1=(~seen[pair[some]]).astype(np.int64)))
         some = np.flatnonzero(rare & seen & needed[place])
         parts.append(_found(RARE_PAIR, len(some), a=pair_history[some].view(np.int64), b=pair_token[some].view(np.int64)))
+        if len(stays):
+            h, w = pair_history[stays], pair_token[stays]
+            parts.append(_found(FREQUENT, len(stays), a=h.view(np.int64), b=w.view(np.int64), n=count[stays], sum=log_pair[stays],
+                                r1=backed[stays].astype(np.int64)))
         parts.append(_found(PAIRS, 1, **{f"r{r}": np.array([(count == r).sum()]) for r in range(1, SMALL + 2)}))
         return pa.concat_tables(parts)
 
     return dealt.groupBy("bucket").applyInArrow(run, _FOUND)
 
 
+def _of_frequent(places: DataFrame, table: pa.Table) -> DataFrame:
+    """What a bucket finds of its pairs' documents, for frequent pairs: ``table`` has them all, with their counts."""
+    h, w = (table.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in "ab")
+    key = mix64(h * np.uint64(0x9DDFEA08EB382D69) + mix64(w))
+    order = np.argsort(key)
+    n, log, backed = (table.column(c).to_numpy()[order] for c in ("n", "sum", "r1"))
+    known = places.sparkSession.sparkContext.broadcast((key[order], h[order], w[order], n, log, backed > 0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zstd = pa.Codec("zstd")
+        key, history, token, count, log, backed = known.value
+        for batch in batches:
+            for base, n, packed in zip(*(batch.column(c) for c in range(3))):
+                base, n = base.as_py(), n.as_py()
+                raw = np.frombuffer(zstd.decompress(packed.as_buffer(), 16 * n), np.uint8)
+                text, times = (raw[4 * n * k:4 * n * (k + 1)].view(np.uint32).astype(np.int64) for k in range(2))
+                pair, texts = np.searchsorted(key, raw[8 * n:].view(np.uint64)), int(text[-1]) + 1
+                sums = [np.bincount(text, times * log[pair], texts)]
+                for r in range(1, SMALL + 1):
+                    sums.append(np.bincount(text, times * (count[pair] == r), texts).astype(np.float64))
+                parts = [_found(SUMS, 1, a=[base], n=[texts], packed=[zstd.compress(np.stack(sums).tobytes(), asbytes=True)])]
+                some = np.flatnonzero(backed[pair])
+                parts.append(_found(UNSEEN, len(some), a=base + text[some], b=history[pair[some]].view(np.int64), n=times[some]))
+                some = np.flatnonzero(token[pair] >= np.uint64(1 << 63))
+                parts.append(_found(RARE, len(some), a=base + text[some], b=token[pair[some]].view(np.int64), n=times[some],
+                                    r1=times[some] * (count[pair[some]] == 0)))
+                yield from pa.concat_tables(parts).to_batches()
+
+    return places.select("a", "n", "packed").mapInArrow(run, _FOUND)
+
+
 def _document_sums(packed: DataFrame) -> DataFrame:
     """``a, sum, r1, …`` per document, from the packed sums of all buckets; a group is a chunk of documents."""
     width = SMALL + 1
@@ -369,13 +501,20 @@ def katz_scores(docs: DataFrame, learn: Column, plan: KatzPlan = KatzPlan()) ->
     table = stored(_count_words(learned), "tokens")
     model_ = _unigrams(table, learned.count(), plan)
     model = spark.sparkContext.broadcast(model_)  # at most plan.head tokens
-    tokens = model_.tokens * max(1.0, docs.count() / max(1, int(model_.counts[-1])))
+    rows, size = given.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(utf8("text"))), F.lit(0))).first()
+    tokens = model_.tokens * max(1.0, rows / max(1, int(model_.counts[-1])))
     buckets = max(plan.least_buckets, math.ceil(tokens / plan.bucket_tokens))
     prepared = given.select("doc_id", utf8("text").alias("_bytes"), "train")
-    found = stored(_counted(_dealt(prepared, model, buckets, plan), model, plan), "pairs", ("kind",))
+    keys = _frequent(prepared, size + rows, model, plan)
+    frequent = spark.sparkContext.broadcast(keys)  # at most 2 / split_tokens of all pairs
+    found = stored(_counted(_dealt(prepared, model, frequent, buckets, plan), model, plan), "pairs", ("kind",))
+    tables = [found]
+    if len(keys):
+        of_frequent = found.filter(F.col("kind") == FREQUENT).select("a", "b", "n", "sum", "r1").toArrow()
+        tables.append(stored(_of_frequent(found.filter(F.col("kind") == PLACES), of_frequent), "frequent", ("kind",)))
 
     def of_kind(kind: int) -> DataFrame:
-        return found.filter(F.col("kind") == kind)
+        return reduce(DataFrame.unionByName, [t.filter(F.col("kind") == kind) for t in tables])
 
     small = [f"r{r}" for r in range(1, SMALL + 1)]
     pairs = of_kind(PAIRS).agg(*[F.sum(f"r{r}") for r in range(1, SMALL + 2)]).first()
