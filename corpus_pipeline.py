@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statloom.llm import mil, minhash, mixing, packing, toxicity
+from statloom.llm.fitting import labelled_sample
 from statloom.llm.work import reach_executors, stored
 
 TOXIC_FROM = 0.7
@@ -23,14 +24,22 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose most toxic span scores below 0.7."""
-    model = toxicity.fit_from(docs, _labels(spark, sf_dir))
+    """Documents whose most toxic span scores below 0.7; all of them without labelled documents of both kinds."""
+    plan = toxicity.ToxicityPlan()
+    sample = labelled_sample(docs, _labels(spark, sf_dir), "toxic", None, plan.per_class, plan.longest)
+    if not sample.usable:
+        return docs
+    model = toxicity.fit(sample, plan)
     return toxicity.score(docs, model, _SCORE).filter(F.col(_SCORE) < TOXIC_FROM).drop(_SCORE)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a quality score of 0.3 or more."""
-    model = mil.fit_from(docs, _labels(spark, sf_dir))
+    """Documents with a quality score of 0.3 or more; all of them without labelled documents of both kinds."""
+    plan = mil.QualityPlan()
+    sample = labelled_sample(docs, _labels(spark, sf_dir), "quality", None, plan.per_class, plan.longest)
+    if not sample.usable:
+        return docs
+    model = mil.fit(sample, plan)
     return mil.score(docs, model, _SCORE).filter(F.col(_SCORE) >= GOOD_FROM).drop(_SCORE)
 
 

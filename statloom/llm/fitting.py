@@ -63,12 +63,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
     known = (known.filter(F.col("_label").isin(0, 1) & F.col("doc_id").isNotNull())
              .groupBy("doc_id").agg(F.min("_label").alias("_label"), F.max("_label").alias("_other"))
              .filter(F.col("_label") == F.col("_other")).withColumn("_order", F.md5(F.col("doc_id").cast("string"))))
+    short = docs.select(F.col("doc_id"), F.octet_length(utf8("text")).alias("_size")).filter(F.col("_size") <= longest)
+    known = known.join(short, "doc_id", "left_semi")  # only labels with a text to fit on count towards the bound
     chosen = None
-    for value in (0, 1):  # some more than needed, as long texts drop out
-        part = known.filter(F.col("_label") == value).orderBy("_order").limit(2 * per_class)
+    for value in (0, 1):
+        part = known.filter(F.col("_label") == value).orderBy("_order").limit(per_class)
         chosen = part if chosen is None else chosen.unionAll(part)
     rows = (docs.select(F.col("doc_id"), utf8("text").alias("_text")).filter(F.octet_length("_text") <= longest)
-            .join(F.broadcast(chosen.drop("_other")), "doc_id")  # at most 4 * per_class short rows
+            .join(F.broadcast(chosen.drop("_other")), "doc_id")  # at most 2 * per_class short rows
             .select("_text", "_label", "_order"))
     found = []
     for value in (0, 1):
