@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm import katz, licenses, materialise, mil, minhash, mixing, mtree, packing, rules, toxicity
+from statloom.llm import (katz, licenses, materialise, mil, minhash, mixing, mtree, packing, pqtrie, rules, toxicity,
+                          whitening)
 from statloom.llm.fitting import remainder
 from statloom.llm.work import reach_executors
 
@@ -130,6 +131,55 @@ def op10_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+@register
+def op12_exact_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@register
+def op13_trie_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pqtrie.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")).drop("label")
+
+
+def _trie_codes_sql(rounds: int = 2) -> str:
+    """Codebooks by part, entry and place; each round assigns all parts and takes means."""
+    nearest = """
+{a} AS MATERIALIZED (
+  SELECT vec_id, part, arg_min(entry, (distance, entry)) AS entry, min(distance) AS distance FROM (
+    SELECT p.vec_id, p.part, b.entry, sum((p.x - b.x) * (p.x - b.x)) AS distance
+    FROM parts p JOIN {b} b ON p.part = b.part AND p.place = b.place GROUP BY p.vec_id, p.part, b.entry)
+  GROUP BY vec_id, part)"""
+    steps = []
+    for n in range(rounds):
+        steps.append(nearest.format(a=f"a{n}", b=f"b{n}"))
+        steps.append(f"""
+b{n + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, b.place, coalesce(m.x, b.x) AS x FROM b{n} b LEFT JOIN (
+    SELECT part, entry, place, CAST(floor(CAST(sum(x) AS DOUBLE) / count(*)) AS BIGINT) AS x
+    FROM a{n} JOIN parts USING (vec_id, part) GROUP BY ALL) m USING (part, entry, place))""")
+    last = nearest.format(a="final", b=f"b{rounds}")
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+cells AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS i FROM kept),
+parts AS MATERIALIZED (SELECT vec_id, i // 4 AS part, i % 4 AS place, x FROM cells),
+b0 AS (
+  SELECT part, entry, place, x FROM parts JOIN (
+    SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept ORDER BY vec_id LIMIT 64) USING (vec_id)),
+{",".join(steps)},
+{last},
+coded AS (
+  SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(distance) AS BIGINT) AS error
+  FROM final GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, place)) FROM b{rounds}) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)"""
+
+
+ORACLES["op13_trie_codes"] = _trie_codes_sql()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

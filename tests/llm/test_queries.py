@@ -17,6 +17,8 @@ COLUMNS = {
     "op8_": "query_id rank vec_id score",
     "op9_": "doc_id n_words n_base first_word last_word base_labels labels score",
     "op10_": "doc_id held_out score predicted",
+    "op12_": "vec_id component n deviation whitened explained identity_error",
+    "op13_": "vec_id code error label_error codebooks_sha256",
 }
 
 
