@@ -5,17 +5,8 @@ scatters the set, and coordinate k is the least value that the second, circularl
 with equal sets form a class and go on as one. Classes that agree in a band of coordinates are candidates: at a
 similarity of 0.85, 32 bands of 5 miss a pair with a probability of 7e-9.
 
-No group of a band is expanded into pairs. First every member is compared on the full sets to one head, the group's
-smallest set, and confirmed links are merged into components. Two members that are still apart can't both belong to
-their head's component, so one of them, a probe, is too far from the head. All members of a head are known by their
-differences from it, the shingles missing and the shingles added, and since
-
-    |x & y| = |h| - missing(x) - missing(y) + shared differences
-
-a probe is compared exactly to all members of its head by counting shared differences, as a product of matrices with one
-column per difference that at least two members have. Heads with many members are cut into blocks, and every block of
-probes meets every block of members in a task of bounded size. What comes out is which components belong together,
-one row for each, not pairs of members.
+No group of a band is expanded into pairs: ``groups`` compares its members to a head and goes on with those too far
+from it by their differences.
 """
 
 from __future__ import annotations
@@ -25,16 +16,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.components import components
+from statloom.llm.groups import linked
 from statloom.llm.text import Words, chunks, mix64, utf8, words_of
 from statloom.llm.work import stored
 
-BLOCK = 1000     # members of a head compared to as many others in one task
-COLUMNS = 4096   # differences counted at once
-
 
 @dataclass(frozen=True)
 class NearPlan:
@@ -113,15 +101,15 @@ def _prints(values: np.ndarray, begin: np.ndarray) -> list[bytes]:
     return [row.tobytes() for row in np.stack(halves, 1)]
 
 
-def _by_text(batches: Iterator[pa.RecordBatch], plan: NearPlan) -> Iterator[tuple]:
+def texts_as_sets(batches: Iterator[pa.RecordBatch], plan, prints: bool = True) -> Iterator[tuple]:
     """Chunks with the shingles of their texts, which texts have any, and those texts' set prints."""
     for chunk in chunks(batches, "_bytes"):
         values, first = shingle_sets(words_of(chunk, "_bytes"), plan.shingle)
         filled = np.flatnonzero(np.diff(first))
-        yield chunk, values, first, filled, _prints(values, first[filled]) if len(filled) else []
+        yield chunk, values, first, filled, _prints(values, first[filled]) if prints and len(filled) else []
 
 
-def _optional(values: list, at: np.ndarray, rows: int, kind: pa.DataType) -> pa.Array:
+def optional(values: list, at: np.ndarray, rows: int, kind: pa.DataType) -> pa.Array:
     out: list = [None] * rows
     for n, value in zip(at.tolist(), values):
         out[n] = value
@@ -131,7 +119,7 @@ def _optional(values: list, at: np.ndarray, rows: int, kind: pa.DataType) -> pa.
 def _sketched(docs: DataFrame, plan: NearPlan) -> DataFrame:
     """``doc_id, n_shingles, print, bands`` of every row; the last two are NULL without words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, values, first, filled, prints in _by_text(batches, plan):
+        for chunk, values, first, filled, prints in texts_as_sets(batches, plan):
             rows, sizes = chunk.num_rows, np.diff(first)
             lengths = np.zeros(rows + 1, np.int32)
             keys = np.zeros(0, np.int64)
@@ -141,16 +129,16 @@ def _sketched(docs: DataFrame, plan: NearPlan) -> DataFrame:
             bands = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths, dtype=np.int32)), pa.array(keys))
             yield pa.RecordBatch.from_arrays(
                 [chunk.column("doc_id"), pa.array(sizes.astype(np.int64)),
-                 _optional(prints, filled, rows, pa.binary()), bands], ["doc_id", "n_shingles", "print", "bands"])
+                 optional(prints, filled, rows, pa.binary()), bands], ["doc_id", "n_shingles", "print", "bands"])
 
     return (docs.select(F.col("doc_id").cast("long"), utf8("text").alias("_bytes"))
             .mapInArrow(run, "doc_id long, n_shingles long, print binary, bands array<long>"))
 
 
-def _sets(docs: DataFrame, plan: NearPlan) -> DataFrame:
+def _sets(docs: DataFrame, plan) -> DataFrame:
     """``print, shingles`` of every row with words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, values, first, filled, prints in _by_text(batches, plan):
+        for _, values, first, filled, prints in texts_as_sets(batches, plan):
             held = pa.ListArray.from_arrays(pa.array(first[np.append(filled, len(first) - 1)].astype(np.int32)),
                                             pa.array(values.view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(prints, pa.binary()), held], ["print", "shingles"])
@@ -158,97 +146,24 @@ def _sets(docs: DataFrame, plan: NearPlan) -> DataFrame:
     return docs.select(utf8("text").alias("_bytes")).mapInArrow(run, "print binary, shingles array<long>")
 
 
-def _stars(classes: DataFrame) -> DataFrame:
-    """``head, id`` for every class that shares a band with others, once for each of its heads."""
-    members = classes.select("id", "n", F.explode("bands").alias("key"))
-    heads = (members.groupBy("key").agg(F.min(F.struct("n", "id")).alias("_head"), F.count(F.lit(1)).alias("_members"))
-             .filter("_members > 1").select("key", F.col("_head.id").alias("head")))
-    return members.join(heads, "key").filter("id != head").select("head", "id").distinct()
-
-
-def _compared(stars: DataFrame, sets: DataFrame) -> DataFrame:
-    """Stars with the sizes of both sets and the member's differences from its head."""
-    of_head = sets.select(F.col("id").alias("head"), F.col("shingles").alias("_head"))
-    of_member = sets.select("id", F.col("shingles").alias("_own"))
-    return (stars.join(of_member, "id").join(of_head, "head")
-            .select("head", "id", F.size("_head").alias("n_head"), F.size("_own").alias("n"),
-                    F.array_except("_head", "_own").alias("missing"), F.array_except("_own", "_head").alias("added"))
-            .withColumn("common", F.col("n_head") - F.size("missing")))
-
-
-def _similar(common: Column, one: Column, other: Column, plan: NearPlan) -> Column:
-    return common.cast("long") * 100 >= (one + other - common).cast("long") * plan.percent
-
-
-def _block_links(table: pa.Table, plan: NearPlan) -> pa.Table:
-    """Compares the probes of one block with the members of another, of the same head. Of the components that turn out
-    linked, directly or by others, each is given once, tied to the first."""
-    first, second = table.column("first")[0].as_py(), table.column("second")[0].as_py()
-    block, probe = table.column("block").to_numpy(), table.column("probe").to_numpy(zero_copy_only=False)
-    one, other = np.flatnonzero(probe & (block == first)), np.flatnonzero(block == second)
-    ids, root, n = (table.column(c).to_numpy() for c in ("id", "root", "n"))
-    differences = table.column("differences").combine_chunks()
-    lengths = np.diff(differences.offsets.to_numpy())
-    row = np.repeat(np.arange(len(ids)), lengths)
-    _, key, times = np.unique(differences.flatten().to_numpy(), return_inverse=True, return_counts=True)
-    several = times[key] > 1
-    row, key = row[several], np.unique(key[several], return_inverse=True)[1]
-    order = np.argsort(key, kind="stable")
-    row, key = row[order], key[order]
-    shared = np.zeros((len(one), len(other)), np.float32)
-    for low in range(0, int(key[-1]) + 1 if len(key) else 0, COLUMNS):
-        a, b = np.searchsorted(key, [low, low + COLUMNS])
-        held = np.zeros((len(ids), COLUMNS), np.float32)
-        held[row[a:b], key[a:b] - low] = 1
-        shared += held[one] @ held[other].T
-    missing = table.column("missing").to_numpy()
-    common = table.column("n_head")[0].as_py() - missing[one][:, None] - missing[other][None, :] + np.rint(shared).astype(np.int64)
-    union = n[one].astype(np.int64)[:, None] + n[other][None, :] - common
-    linked = (100 * common >= plan.percent * union) & (root[one][:, None] != root[other][None, :])
-    x, y = np.nonzero(linked)
-    met, ends = np.unique(np.concatenate([root[one][x], root[other][y]]), return_inverse=True)
-    near = np.zeros((len(met), len(met)), bool)
-    near[ends[:len(x)], ends[len(x):]] = True
-    near |= near.T
-    out: list[np.ndarray] = []
-    left = np.ones(len(met), bool)
-    while left.any():  # everything that the first component left reaches
-        start = int(left.argmax())
-        reached, edge = np.zeros(len(met), bool), np.array([start])
-        reached[start] = True
-        while len(edge):
-            edge = np.flatnonzero(near[edge].any(0) & ~reached)
-            reached[edge] = True
-        left &= ~reached
-        out.append(np.stack([np.full(int(reached.sum()) - 1, met[start]), met[reached & (np.arange(len(met)) != start)]], 1))
-    links = np.concatenate([np.zeros((0, 2), np.int64), *out]).astype(np.int64)
-    return pa.table({"a": links[:, 0], "b": links[:, 1]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-
-
-def _probed(compared: DataFrame, roots: DataFrame, plan: NearPlan) -> DataFrame:
-    """Links of members that are not in their head's component, to any member of the same head."""
-    def rooted(df: DataFrame, column: str, name: str) -> DataFrame:
-        return (df.join(roots.select(F.col("node").alias(column), F.col("root").alias("_root")), column, "left")
-                .withColumn(name, F.coalesce("_root", column)).drop("_root"))
-
-    members = rooted(rooted(compared.select("head", "id"), "id", "root"), "head", "_of_head")
-    members = stored(members.select("head", "id", "root", (F.col("root") != F.col("_of_head")).alias("probe")), "members")
-    asked = (members.groupBy("head").agg(F.count(F.lit(1)).alias("_n"), F.max("probe").alias("_asked"))
-             .filter("_asked and _n > 1").select("head", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks")))
-    dealt = (members.join(asked, "head").withColumn("block", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")))
-    every = F.sequence(F.lit(0), F.col("_blocks") - 1)
-    other_blocks = F.filter(every, lambda b: b != F.col("block"))
-    as_member = F.transform(every, lambda b: F.struct(b.alias("first"), F.col("block").alias("second")))
-    as_probe = F.transform(F.when(F.col("probe"), other_blocks).otherwise(F.array().cast("array<int>")),
-                           lambda b: F.struct(F.col("block").alias("first"), b.alias("second")))
-    details = compared.select("head", "id", "n", "n_head", F.size("missing").cast("long").alias("missing"),
-                              F.concat("missing", "added").alias("differences"))
-    placed = (dealt.join(details, ["head", "id"])
-              .select("head", "id", "root", "probe", "block", "n", "n_head", "missing", "differences",
-                      F.explode(F.concat(as_member, as_probe)).alias("_at"))
-              .select("*", "_at.first", "_at.second").drop("_at"))
-    return (placed.groupBy("head", "first", "second")
-            .applyInArrow(lambda table: _block_links(table, plan), "a long, b long"))
+def sets_of_classes(docs: DataFrame, classes: DataFrame, wanted: DataFrame, plan) -> DataFrame:
+    """``id, shingles`` of the wanted classes, each from the rows that have its smallest doc_id."""
+    some = stored(classes.join(wanted, "id", "left_semi").select("id", "print", "least"), "wanted")
+    texts = docs.join(some.select(F.col("least").alias("_least")).distinct(),
+                      F.col("doc_id").eqNullSafe(F.col("_least")), "left_semi")
+    return _sets(texts, plan).join(some.select("id", "print"), "print").drop("print").dropDuplicates(["id"])
+
+
+def by_component(sketched: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, print, root, component_id`` of all rows, from the roots of linked classes."""
+    known = (classes.select("id", "print", "least").join(roots.withColumnRenamed("node", "id"), "id", "left")
+             .withColumn("root", F.coalesce("root", "id")))
+    least = known.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_class = stored(known.join(least, "root").select("print", "root", "component_id"), "components")
+    with_words = sketched.filter("print is not null").select("doc_id", "n_shingles", "print").join(of_class, "print")
+    without = (sketched.filter("print is null").select("doc_id", "n_shingles", "print", F.lit(None).cast("long").alias("root"),
+                                                       F.col("doc_id").alias("component_id")))
+    return with_words.select(*without.columns).unionAll(without)
 
 
 def near_components(docs: DataFrame, plan: NearPlan = NearPlan()) -> DataFrame:
@@ -265,28 +180,9 @@ def near_components(docs: DataFrame, plan: NearPlan = NearPlan()) -> DataFrame:
         F.first("bands").alias("bands"), F.first("n_shingles").alias("n"), F.min("doc_id").alias("least"))
         .withColumn("id", F.monotonically_increasing_id()), "classes")
 
-    stars = stored(_stars(classes), "stars")
-    paired = stars.select("id").unionAll(stars.select("head")).distinct()
-    wanted = stored(classes.join(paired, "id", "left_semi").select("id", "print", "least"), "paired")
-    texts = docs.join(wanted.select(F.col("least").alias("_least")).distinct(),
-                      F.col("doc_id").eqNullSafe(F.col("_least")), "left_semi")
-    sets = stored(_sets(texts, plan).join(wanted.select("id", "print"), "print").drop("print").dropDuplicates(["id"]), "sets")
-    compared = stored(_compared(stars, sets), "compared")
-    links = compared.filter(_similar(F.col("common"), F.col("n"), F.col("n_head"), plan)).select(
-        F.col("id").alias("a"), F.col("head").alias("b"))
-    roots = components(links)
-    more = stored(_probed(compared, roots, plan), "probed")
-    if not more.isEmpty():
-        roots = components(links.unionAll(more))
-
-    known = (classes.select("id", "print", "least").join(roots.withColumnRenamed("node", "id"), "id", "left")
-             .withColumn("root", F.coalesce("root", "id")))
-    least = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = stored(known.join(least, "root").select("print", "root", "component_id"), "components")
-    with_words = sketched.filter("print is not null").select("doc_id", "n_shingles", "print").join(of_class, "print")
-    without = (sketched.filter("print is null").select("doc_id", "n_shingles", "print", F.lit(None).cast("long").alias("root"),
-                                                       F.col("doc_id").alias("component_id")))
-    return with_words.select(*without.columns).unionAll(without)
+    members = classes.select("id", "n", F.explode("bands").alias("key"))
+    roots = linked(members, lambda wanted: sets_of_classes(docs, classes, wanted, plan), plan.percent)
+    return by_component(sketched, classes, roots)
 
 
 def near_duplicates(docs: DataFrame, plan: NearPlan = NearPlan()) -> DataFrame:
@@ -303,9 +199,9 @@ def drop_near_duplicates(docs: DataFrame, plan: NearPlan = NearPlan()) -> DataFr
     chosen = (near_components(docs, plan).filter("print is not null").select("print", "root", "component_id").distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, _, _, filled, prints in _by_text(batches, plan):
+        for chunk, _, _, filled, prints in texts_as_sets(batches, plan):
             yield pa.RecordBatch.from_arrays(
-                [*chunk.columns[:-1], _optional(prints, filled, chunk.num_rows, pa.binary())],
+                [*chunk.columns[:-1], optional(prints, filled, chunk.num_rows, pa.binary())],
                 [*chunk.schema.names[:-1], "_print"])
 
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from statloom.llm import minhash
+from statloom.llm import groups, minhash
 from statloom.llm.components import components
 
 
@@ -53,10 +53,11 @@ def families():
     return rows
 
 
-@pytest.mark.parametrize("plan", [minhash.NearPlan(), minhash.NearPlan(shingle=3, percent=85)])
-@pytest.mark.parametrize("block", [1000, 7])
-def test_components_equal_all_pairs(spark, families, plan, block, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK", block)
+@pytest.mark.parametrize("plan, block, levels", [(minhash.NearPlan(), 512, 8), (minhash.NearPlan(shingle=3, percent=85), 7, 8),
+                                                 (minhash.NearPlan(shingle=3, percent=85), 7, 0)])
+def test_components_equal_all_pairs(spark, families, plan, block, levels, monkeypatch):
+    monkeypatch.setattr(groups, "BLOCK", block)
+    monkeypatch.setattr(groups, "LEVELS", levels)
     docs = spark.createDataFrame(families, "doc_id long, text string").repartition(5)
     want, sets = brute(families, plan)
     rows = minhash.near_duplicates(docs, plan).collect()
