@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm import (katz, licenses, materialise, mil, minhash, mixing, mtree, packing, pqtrie, rules, toxicity,
-                          whitening)
+from statloom.llm import (heavylight, katz, licenses, materialise, mil, minhash, mixing, mtree, packing, pqtrie, rules,
+                          toxicity, whitening)
 from statloom.llm.fitting import remainder
 from statloom.llm.work import reach_executors
 
@@ -83,6 +83,37 @@ def op4_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.NearPlan(shingle=3, percent=85))
 
 
+def _components_sql(percent: int, kept: bool) -> str:
+    """All pairs of distinct sets that share a shingle, and what links reach."""
+    return rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^ 	-]+') AS words FROM documents),
+s AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+    ELSE list_sort(list_distinct([words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] FOR i IN range(1, len(words) - 1)])) END AS shingles
+  FROM w),
+classes AS MATERIALIZED (
+  SELECT min(doc_id) AS id, any_value(len(shingles)) AS n, shingles FROM s WHERE len(shingles) > 0 GROUP BY shingles),
+t AS MATERIALIZED (SELECT id, n, unnest(shingles) AS shingle FROM classes),
+common AS (
+  SELECT a.id AS a, b.id AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS both_have
+  FROM t a JOIN t b ON a.shingle = b.shingle AND a.id < b.id AND 100 * a.n >= {percent} * b.n AND 100 * b.n >= {percent} * a.n
+  GROUP BY a.id, b.id),
+links AS MATERIALIZED (
+  SELECT a, b FROM common WHERE 100 * both_have >= {percent} * (n + m - both_have)
+  UNION ALL SELECT b, a FROM common WHERE 100 * both_have >= {percent} * (n + m - both_have)),
+reach AS (SELECT id, id AS other FROM classes UNION SELECT r.id, l.b FROM reach r JOIN links l ON r.other = l.a),
+found AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id),
+out AS (
+  SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles, coalesce(f.component_id, s.doc_id) AS component_id
+  FROM s LEFT JOIN classes c ON s.shingles = c.shingles LEFT JOIN found f ON f.id = c.id)
+SELECT *{", doc_id = component_id AS kept" if kept else ""} FROM out"""
+
+
+ORACLES["op4_circulant_minhash"] = _components_sql(85, kept=True)
+
+
 @register
 def op5_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
@@ -131,6 +162,14 @@ def op10_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+@register
+def op11_heavy_light_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heavylight.join(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_heavy_light_join"] = _components_sql(90, kept=False)
+
+
 @register
 def op12_exact_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))

@@ -17,6 +17,7 @@ COLUMNS = {
     "op8_": "query_id rank vec_id score",
     "op9_": "doc_id n_words n_base first_word last_word base_labels labels score",
     "op10_": "doc_id held_out score predicted",
+    "op11_": "doc_id n_shingles component_id",
     "op12_": "vec_id component n deviation whitened explained identity_error",
     "op13_": "vec_id code error label_error codebooks_sha256",
 }
@@ -39,6 +40,6 @@ def test_columns_and_rows(name, spark, sf_dir):
     start = name.split("_")[0] + "_"
     assert set(COLUMNS[start].split()) <= set(result.columns)
     count = result.count()
-    if start in ("op1_", "op2_", "op3_", "op4_", "op6_", "op9_", "op10_"):
+    if start in ("op1_", "op2_", "op3_", "op4_", "op6_", "op9_", "op10_", "op11_"):
         assert count == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     assert count
