@@ -8,8 +8,11 @@ only those lists are kept and scanned, each once per band of sizes within which
 between small and large is the one with the least cost, subsets made against list entries read, both counted on the data;
 sets just below it, which large ones can be linked to, are in the lists too.
 
-Rarity comes from a sketch of counts whose size is fixed: any order gives the same links, a better one shorter lists.
-Lists and subset groups go to ``groups``, which confirms links on whole sets and never makes all pairs of a list.
+A scan of short lists counts, for each two sets, the shingles they have in common there. All others that they can have in
+common stand in long lists or after the first shingles, which bounds their similarity; most pairs end there. Long lists
+and subset groups go to ``groups``, which never makes all pairs of a list, and so do the remaining pairs, to be confirmed
+on whole sets. Rarity comes from a sketch of counts whose size is fixed: any order gives the same links, a better one
+shorter lists.
 """
 
 from __future__ import annotations
@@ -30,8 +33,10 @@ from statloom.llm.minhash import by_component, optional, sets_of_classes, texts_
 from statloom.llm.text import mix64, utf8
 from statloom.llm.work import stored
 
-SKETCH_BITS = 22     # cells of the sketch of counts: at most 2^22 bytes when it is sent out
+SKETCH_BITS = 23     # cells of the sketch of counts: 2^23 bytes when it is sent out
 SLICES = 64          # in which the sketch is added up
+COUNTED = 1 << 21    # shingles added to a task's counts at once
+SHORT = 16           # entries of a list that is scanned entry by entry
 
 
 @dataclass(frozen=True)
@@ -81,8 +86,18 @@ def count_sketch(docs: DataFrame, plan: JoinPlan) -> np.ndarray:
     """Per cell of hashed shingles about eight times the logarithm of how many sets of ``docs`` hold one of them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int32)
+        cells: list[np.ndarray] = []
+
+        def count() -> None:
+            counts[:] += np.bincount(np.concatenate(cells), minlength=len(counts)).astype(np.int32)
+            cells.clear()
+
         for _, values, _, _, _ in texts_as_sets(batches, plan, prints=False):
-            counts += np.bincount((values >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)).astype(np.int32)
+            cells.append((values >> np.uint64(64 - SKETCH_BITS)).astype(np.int32))
+            if sum(map(len, cells)) >= COUNTED:
+                count()
+        if cells:
+            count()
         if counts.any():
             packed = [pa.compress(part.tobytes(), "zstd", asbytes=True) for part in np.split(counts, SLICES)]
             yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(packed, pa.binary())], ["slice", "counts"])
@@ -160,6 +175,23 @@ def _small_members(classes: DataFrame, x: int, plan: JoinPlan) -> DataFrame:
     return classes.filter(F.col("n") <= x).select("id", "whole").mapInArrow(run, "key long, id long, n long")
 
 
+def scanned_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """``a, b, n, m``: sets of which short lists leave open whether they are linked, and their sizes.
+
+    ``lists`` has ``shingle, length, id, n``; a short list has at most ``SHORT`` entries, so an entry meets no more others.
+    """
+    slack = lists.groupBy("id").agg(F.count(F.when(F.col("length") > SHORT, 1)).alias("slack"))
+    entries = (lists.filter(F.col("length") <= SHORT).join(slack, "id").groupBy("shingle")
+               .agg(F.sort_array(F.collect_list(F.struct("id", "n", "slack"))).alias("e")))
+    possible = lambda x, y: (x["id"] < y["id"]) & (100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"]))
+    pairs = F.flatten(F.transform("e", lambda x: F.transform(F.filter("e", lambda y: possible(x, y)), lambda y: F.struct(
+        x["id"].alias("a"), y["id"].alias("b"), x["n"].alias("n"), y["n"].alias("m"), F.least(x["slack"], y["slack"]).alias("slack")))))
+    met = entries.select(F.explode(pairs).alias("p")).select("p.*").groupBy("a", "b", "n", "m", "slack").agg(F.count(F.lit(1)).alias("common"))
+    least = F.ceil((F.col("n") + F.col("m")) * percent / (100 + percent) - 1e-9)
+    after = F.ceil(F.greatest("n", "m") * percent / 100 - 1e-9) - 1
+    return met.filter(F.col("common") + F.col("slack") + after >= least).select("a", "b", "n", "m")
+
+
 def near_components(docs: DataFrame, plan: JoinPlan = JoinPlan()) -> DataFrame:
     """``doc_id, n_shingles, print, root, component_id`` for every row of ``docs`` (doc_id, text).
 
@@ -181,9 +213,11 @@ def near_components(docs: DataFrame, plan: JoinPlan = JoinPlan()) -> DataFrame:
 
     x = boundary(lists, plan)
     in_lists = lists.filter(F.col("n") >= -(-plan.percent * (x + 1) // 100))
+    both = F.explode(F.array(F.struct(F.col("a").alias("id"), "n"), F.struct(F.col("b").alias("id"), F.col("m").alias("n"))))
+    paired = scanned_pairs(in_lists, plan.percent).select(F.xxhash64("a", "b").alias("key"), both.alias("_e")).select("key", "_e.*")
     band = F.explode(F.array("band", F.col("band") + 1))
-    large = (in_lists.select("id", "n", "shingle", band.alias("band"))
-             .select(F.xxhash64("shingle", "band").alias("key"), "id", "n"))
+    large = (in_lists.filter(F.col("length") > SHORT).select("id", "n", "shingle", band.alias("band"))
+             .select(F.xxhash64("shingle", "band").alias("key"), "id", "n").unionAll(paired))
     members = _small_members(classes, x, plan).unionAll(large) if x else large
     roots = linked(members, lambda wanted: sets_of_classes(docs, classes, wanted, plan), plan.percent)
     return by_component(sketched, classes, roots)
