@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from statloom.llm.components import components
 from statloom.llm.work import stored
 
-BLOCK = 512          # members of a head compared to each other in one task
+BLOCK = 1024         # members of a head compared to as many others in one task
 CELLS = 4_000_000    # and their differences, at most
+DIRECT = 4           # blocks of a head that are all compared to each other
 COLUMNS = 4096       # differences counted at once
 LEVELS = 8
 
@@ -196,7 +197,7 @@ def linked(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percen
             links = new if links is None else links.unionAll(new)
             roots = components(links)
         dealt = stored(_dealt(compared, roots), "dealt")
-        large = (F.col("members") > BLOCK) | (F.col("cells") > CELLS)
+        large = (F.col("members") > DIRECT * BLOCK) | (F.col("cells") > DIRECT * CELLS)
         small = dealt if level == LEVELS else dealt.filter(~large)
         more = stored(_finished(small, sets, percent), "probed")
         if not more.isEmpty():

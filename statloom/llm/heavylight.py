@@ -176,19 +176,20 @@ def _small_members(classes: DataFrame, x: int, plan: JoinPlan) -> DataFrame:
 
 
 def scanned_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """``a, b, n, m``: sets of which short lists leave open whether they are linked, and their sizes.
+    """``a, b, n, m``: sets of which short lists leave open whether they are linked, and their sizes, the larger one first.
 
     ``lists`` has ``shingle, length, id, n``; a short list has at most ``SHORT`` entries, so an entry meets no more others.
     """
     slack = lists.groupBy("id").agg(F.count(F.when(F.col("length") > SHORT, 1)).alias("slack"))
     entries = (lists.filter(F.col("length") <= SHORT).join(slack, "id").groupBy("shingle")
                .agg(F.sort_array(F.collect_list(F.struct("id", "n", "slack"))).alias("e")))
-    possible = lambda x, y: (x["id"] < y["id"]) & (100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"]))
+    larger = lambda x, y: F.struct(x["n"], x["id"]) > F.struct(y["n"], y["id"])
+    possible = lambda x, y: larger(x, y) & (100 * y["n"] >= percent * x["n"])
     pairs = F.flatten(F.transform("e", lambda x: F.transform(F.filter("e", lambda y: possible(x, y)), lambda y: F.struct(
         x["id"].alias("a"), y["id"].alias("b"), x["n"].alias("n"), y["n"].alias("m"), F.least(x["slack"], y["slack"]).alias("slack")))))
     met = entries.select(F.explode(pairs).alias("p")).select("p.*").groupBy("a", "b", "n", "m", "slack").agg(F.count(F.lit(1)).alias("common"))
     least = F.ceil((F.col("n") + F.col("m")) * percent / (100 + percent) - 1e-9)
-    after = F.ceil(F.greatest("n", "m") * percent / 100 - 1e-9) - 1
+    after = F.ceil(F.col("n") * percent / 100 - 1e-9) - 1
     return met.filter(F.col("common") + F.col("slack") + after >= least).select("a", "b", "n", "m")
 
 
@@ -214,7 +215,8 @@ def near_components(docs: DataFrame, plan: JoinPlan = JoinPlan()) -> DataFrame:
     x = boundary(lists, plan)
     in_lists = lists.filter(F.col("n") >= -(-plan.percent * (x + 1) // 100))
     both = F.explode(F.array(F.struct(F.col("a").alias("id"), "n"), F.struct(F.col("b").alias("id"), F.col("m").alias("n"))))
-    paired = scanned_pairs(in_lists, plan.percent).select(F.xxhash64("a", "b").alias("key"), both.alias("_e")).select("key", "_e.*")
+    paired = (scanned_pairs(in_lists, plan.percent)   # a set and all smaller ones make a group, whose head others have too
+              .select(F.xxhash64("a").alias("key"), both.alias("_e")).select("key", "_e.*").distinct())
     band = F.explode(F.array("band", F.col("band") + 1))
     large = (in_lists.filter(F.col("length") > SHORT).select("id", "n", "shingle", band.alias("band"))
              .select(F.xxhash64("shingle", "band").alias("key"), "id", "n").unionAll(paired))

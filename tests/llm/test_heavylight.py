@@ -34,6 +34,7 @@ def texts():
 @pytest.mark.parametrize("plan, block", [(heavylight.JoinPlan(), 512), (heavylight.JoinPlan(percent=80), 7)])
 def test_components_equal_all_pairs(spark, texts, plan, block, monkeypatch):
     monkeypatch.setattr(groups, "BLOCK", block)
+    monkeypatch.setattr(groups, "DIRECT", 1)
     docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
     want, sets = brute(texts, plan)
     rows = heavylight.join(docs, plan).collect()
@@ -103,6 +104,7 @@ def test_a_common_passage_makes_no_pairs(spark, monkeypatch):
     real = groups.stored
     monkeypatch.setattr(groups, "stored", counting)
     monkeypatch.setattr(groups, "BLOCK", 32)
+    monkeypatch.setattr(groups, "DIRECT", 1)
     rows = []
     for count in (400, 1600):
         docs = spark.createDataFrame(shared_passage(count), "doc_id long, text string")

@@ -57,6 +57,7 @@ def families():
                                                  (minhash.NearPlan(shingle=3, percent=85), 7, 0)])
 def test_components_equal_all_pairs(spark, families, plan, block, levels, monkeypatch):
     monkeypatch.setattr(groups, "BLOCK", block)
+    monkeypatch.setattr(groups, "DIRECT", 1)
     monkeypatch.setattr(groups, "LEVELS", levels)
     docs = spark.createDataFrame(families, "doc_id long, text string").repartition(5)
     want, sets = brute(families, plan)
