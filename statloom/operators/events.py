@@ -58,9 +58,13 @@ def slow_event_filter(events: DataFrame, min_us: int = SLOW_MICROSECONDS) -> Dat
     Works unchanged on a streaming DataFrame; the predicates reach the Parquet scan.
     """
     check(events, "captured_events")
-    name, state = F.col("object_name"), F.col("transaction_state")
+    return events.filter(slow_event_condition(F.col("object_name"), F.col("duration"), F.col("transaction_state"), min_us))
+
+
+def slow_event_condition(name: Column, duration: Column, state: Column, min_us: int = SLOW_MICROSECONDS) -> Column:
+    """The condition of ``slow_event_filter`` on given columns."""
     wanted = name.isin(*COMPLETED_EVENTS) | ((name == TRANSACTION_EVENT) & state.isin(*OPEN_TRANSACTION_STATES))
-    return events.filter((F.col("duration") >= min_us) & wanted)
+    return (duration >= min_us) & wanted
 
 
 def parse_event(xml: Column) -> Column:
@@ -95,12 +99,21 @@ def parse_events(events: DataFrame) -> DataFrame:
 def shred_parsed(parsed: DataFrame, excluded_client: str = EXCLUDED_CLIENT) -> DataFrame:
     """The twenty typed columns of parsed events, unordered; runs on streams too."""
     return parsed.select(
-        F.col("_timestamp").try_cast("timestamp").alias("timestamp"), F.col("_name").alias("event_name"),
-        *[event_field(section, name, kind).alias(name) for name, section, kind in SHREDDED_FIELDS],
-        "_malformed", F.col("_name"),
+        *[c.alias(name) for name, c in shredded_columns().items()], "_malformed", F.col("_name"),
     ).filter(well_formed() & (F.col("client_app_name") != excluded_client)).drop("_malformed", "_name")
 
 
+def shredded_columns() -> dict[str, Column]:
+    """The typed columns of parsed events by name."""
+    return {"timestamp": F.col("_timestamp").try_cast("timestamp"), "event_name": F.col("_name"),
+            **{name: event_field(section, name, kind) for name, section, kind in SHREDDED_FIELDS}}
+
+
+def client_wanted(excluded_client: str = EXCLUDED_CLIENT) -> Column:
+    """Parsed events with a client name other than the excluded one."""
+    return event_field("action", "client_app_name") != excluded_client
+
+
 def event_shred(events: DataFrame, excluded_client: str = EXCLUDED_CLIENT, ordered: bool = True) -> DataFrame:
     """Twenty typed columns per event document, oldest first.
 

@@ -6,11 +6,13 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, LongType, StructField, StructType
 
 from statloom.operators.counters import IO_HISTORY_KEEP, retention_cutoff
 
 DAY = "dt"
 BATCH = "batch_id"
+TIME_TEXT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 _DAY_NAME = re.compile(r"\d{4,}-\d\d-\d\d")
 
 
@@ -35,19 +37,56 @@ def write_history(
          .partitionBy(*folders).parquet(path))
 
 
+def write_routed(df: DataFrame, path: str, route: str, at: str, batch_id: int) -> None:
+    """Append a batch to several histories at once: rows go to ``path``/``route``=their value, by day and batch in there.
+
+    One write serves all, so ``df`` is computed once. A batch that is run again replaces its own files.
+    """
+    dated = df.withColumns({DAY: F.to_date(at), BATCH: F.lit(batch_id)}).hint("rebalance", route, DAY)
+    (dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(route, DAY, BATCH).parquet(path))
+
+
+def read_route(spark: SparkSession, path: str, value: str, schema: StructType, route: str | None = None) -> DataFrame:
+    """The rows that ``write_routed`` put under ``value``; none if it never wrote any. ``schema`` has no partition columns."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath() for s in fs.listStatus(root) if s.isDirectory()] if fs.exists(root) else []
+    found = [p.toString() for p in names if p.getName().split("=", 1)[-1] == value and (route is None or p.getName() == f"{route}={value}")]
+    whole = StructType([*schema.fields, StructField(DAY, DateType()), StructField(BATCH, LongType())])
+    return spark.read.schema(whole).parquet(*found) if found else spark.createDataFrame([], whole)
+
+
+def newest_of_batch(spark: SparkSession, path: str, batch_id: int, at: str = "collect_date") -> str | None:
+    """The latest ``at`` that a batch has written, as text; only the newest of its days is read. None without any."""
+    fs, days = day_folders(spark, path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for _, folder in sorted(days, key=lambda d: d[0], reverse=True):
+        own = hadoop.Path(folder, f"{BATCH}={batch_id}")
+        if fs.exists(own):
+            return spark.read.parquet(own.toString()).agg(F.date_format(F.max(at), TIME_TEXT).alias("at")).first()["at"]
+    return None
+
+
 def replace_range(df: DataFrame, path: str, days: tuple[str, str], at: str = "collect_date") -> None:
     """Make ``df`` the content of all days from the first to the last of ``days``, those without rows included.
 
     Rows of ``df`` outside that range are not written. The days with rows are replaced first; a run that stops before
-    the emptied ones are dropped is made good by running it again.
+    the emptied ones are dropped is made good by running it again. ``df`` is computed once: a day was written if it has
+    files that were not there before.
     """
     spark, (first, last) = df.sparkSession, days
     inside = df.filter(F.to_date(at).between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+
+    def in_range():
+        fs, folders = day_folders(spark, path)
+        return fs, {day: (folder, frozenset(s.getPath().getName() for s in fs.listStatus(folder)))
+                    for day, folder in folders if first <= day <= last}
+
+    _, before = in_range()
     write_history(inside, path, at, replace_days=True)
-    filled = {str(r["day"]) for r in inside.select(F.to_date(at).alias("day")).distinct().collect()}
-    fs, stored_days = day_folders(spark, path)
-    for day, folder in stored_days:
-        if first <= day <= last and day not in filled:
+    fs, after = in_range()
+    for day, (folder, names) in after.items():
+        if day in before and before[day][1] == names:
             fs.delete(folder, True)
 
 
@@ -78,7 +117,7 @@ def newest_time(spark: SparkSession, path: str, at: str = "collect_date") -> str
     if not days:
         return None
     newest_day = read_history(spark, path).filter(F.col(DAY) == F.lit(max(day for day, _ in days)).cast("date"))
-    return newest_day.agg(F.date_format(F.max(at), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at")).first()["at"]
+    return newest_day.agg(F.date_format(F.max(at), TIME_TEXT).alias("at")).first()["at"]
 
 
 def purge_history(

@@ -12,38 +12,49 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 PAIRED, FIRST, LATE = "paired", "first", "late"
 PREFIX = "prev_"
 BUCKET = "bucket"
+KEY = "lookback_key"
+
+
+def _remembered(row: Sequence) -> tuple:
+    return (int(row[0]), *[None if pd.isna(v) else v for v in row[1:]])
 
 
 class LookBack(StatefulProcessor):
     """Emits every row of a bucket of keys with its status and, if ``paired``, the counters of the preceding snapshot.
 
-    The state is the last row seen of each key of the bucket. One call handles all keys of the bucket at once.
-    Counters travel as text, so that 64-bit values and NULLs pass through pandas unchanged.
+    The state maps a key of the bucket to the last row seen of it: number and counters. A call handles all rows of the
+    bucket at once and reads and writes the keys of those rows alone, one access each, whatever else the bucket
+    remembers. With ``forget_ms`` a key that gets no row for so long leaves the state. Keys and counters travel as text,
+    so that 64-bit values and NULLs pass through pandas unchanged.
     """
 
-    def __init__(self, keys: Sequence[str], key_types: Sequence[str], counters: Sequence[str]):
-        self.keys = list(keys)
-        self.key_types = list(key_types)
+    def __init__(self, counters: Sequence[str], forget_ms: int | None = None):
         self.counters = list(counters)
+        self.forget_ms = forget_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        fields = [*[f"{k} {t}" for k, t in zip(self.keys, self.key_types)], "snapshot_no bigint",
-                  *[f"{c} string" for c in self.counters]]
-        self.last = handle.getListState("last", ", ".join(fields))
+        fields = ", ".join(["snapshot_no bigint", *[f"{c} string" for c in self.counters]])
+        options = {} if self.forget_ms is None else {"ttlDurationMs": self.forget_ms}
+        self.last = handle.getMapState("last", f"{KEY} string", fields, **options)
+
+    def handleInitialState(self, key, rows: pd.DataFrame, timer_values) -> None:
+        """Takes over what another run remembered, for ``pair_stream(known=)``."""
+        for row in rows[[KEY, "snapshot_no", *self.counters]].itertuples(index=False):
+            self.last.updateValue((row[0],), _remembered(row[1:]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        remembered = [*self.keys, "snapshot_no", *self.counters]
-        batch = pd.concat(list(rows), ignore_index=True)
-        known = pd.DataFrame.from_records(list(self.last.get()), columns=remembered)
-        both = pd.concat([known.assign(_known=True), batch.assign(_known=False)], ignore_index=True) \
-            if len(known) else batch.assign(_known=False)
-        both = both.sort_values([*self.keys, "snapshot_no", "_known"], ascending=True, kind="stable")
+        columns = [KEY, "snapshot_no", *self.counters]
+        batch = pd.concat(list(rows), ignore_index=True).assign(_known=False)
+        held = [(k, self.last.getValue((k,))) for k in batch[KEY].unique()]
+        known = pd.DataFrame.from_records([(k, *row) for k, row in held if row is not None], columns=columns)
+        both = pd.concat([known.assign(_known=True), batch], ignore_index=True) if len(known) else batch
+        both = both.sort_values([KEY, "snapshot_no", "_known"], ascending=True, kind="stable")
 
         # Known rows carry the highest number seen of their key; what is not above it, or repeats a number, is late.
-        last_no = both["snapshot_no"].where(both["_known"]).groupby([both[k] for k in self.keys], dropna=False).transform("max")
-        late = ~both["_known"] & ((both["snapshot_no"] <= last_no) | both.duplicated([*self.keys, "snapshot_no"]))
+        last_no = both["snapshot_no"].where(both["_known"]).groupby(both[KEY]).transform("max")
+        late = ~both["_known"] & ((both["snapshot_no"] <= last_no) | both.duplicated([KEY, "snapshot_no"]))
         fresh = both[~late]
-        before = fresh.groupby(self.keys, sort=False, dropna=False)[["snapshot_no", *self.counters]].shift(1)
+        before = fresh.groupby(KEY, sort=False)[["snapshot_no", *self.counters]].shift(1)
         paired = before["snapshot_no"] == fresh["snapshot_no"] - 1
 
         out = both.assign(status=LATE, **{PREFIX + c: None for c in self.counters})
@@ -51,11 +62,10 @@ class LookBack(StatefulProcessor):
         for counter in self.counters:
             values = before[counter].astype(object)
             out.loc[fresh.index, PREFIX + counter] = values.where(paired & values.notna(), None)
-        emitted = out[~out["_known"]].drop(columns="_known")
-        if len(emitted) > late.sum():
-            newest = fresh.groupby(self.keys, sort=False, dropna=False).tail(1)[remembered]
-            self.last.put([tuple(None if pd.isna(v) else v for v in row) for row in newest.itertuples(index=False)])
-        yield emitted
+        newest = fresh.groupby(KEY, sort=False).tail(1)
+        for row in newest.loc[~newest["_known"], columns].itertuples(index=False):
+            self.last.updateValue((row[0],), _remembered(row[1:]))
+        yield out[~out["_known"]].drop(columns=["_known", KEY])
 
     def close(self) -> None:
         pass

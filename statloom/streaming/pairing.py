@@ -1,26 +1,39 @@
 """Pair a stream of snapshots with the immediately preceding snapshot of each key, by keyed state.
 
-The state is the last snapshot of every key, kept per bucket of keys so that the Python step works on many keys per
-call. The step only looks back; deltas and predicates are the column expressions of the batch operators, applied
-afterwards inside the JVM.
+The state is the last snapshot of every key. Keys are dealt into buckets, each with a map from key to snapshot, so that
+the Python step works on many rows per call and still touches only the keys of those rows. The step only looks back;
+deltas and predicates are the column expressions of the batch operators, applied afterwards inside the JVM.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statloom.plans.snapshots import previous_name
-from statloom.streaming.lookback import BUCKET, LookBack
+from statloom.streaming.lookback import BUCKET, KEY, LookBack
 
 BUCKETS = 256
 
 
+def _bucket(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).alias(BUCKET)
+
+
+def known_snapshots(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The last snapshot of every key that a stopped stream remembers, for ``pair_stream(known=)``.
+
+    One row per key, read from the state of the stream at ``checkpoint``.
+    """
+    state = (spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "last").load())
+    return state.select(F.col(f"user_map_key.{KEY}").alias(KEY), "user_map_value.*")
+
+
 def pair_stream(
     snapshots: DataFrame, scope: Sequence[str], keys: Sequence[str], counters: Sequence[str],
-    at: str = "collect_date", buckets: int = BUCKETS,
+    at: str = "collect_date", buckets: int = BUCKETS, forget_ms: int | None = None, known: DataFrame | None = None,
 ) -> DataFrame:
     """Stream of ``snapshots`` rows with ``status`` and ``prev_<counter>`` columns.
 
@@ -29,21 +42,30 @@ def pair_stream(
     or a gap; ``late`` marks a number not above the last one, which changes no state and can be counted.
 
     Keys are hashed to ``buckets``, which spreads a large server over all of them. Choose several per core of the
-    cluster and keep the number for the life of the checkpoint. The session needs the state store named in
+    cluster and keep the number for the life of the checkpoint; to change it, start a new checkpoint with ``known``, the
+    ``known_snapshots`` of the old one. Keys without a row for ``forget_ms`` of processing time leave the state; choose
+    many polls' time, as a row after that is ``first`` even where it is late, and run the stream with a processing-time
+    trigger, as Spark never ends an available-now run of a query that looks at that time. The session needs the state store named in
     ``statloom.session.SETTINGS``. A NULL key is a key like any other.
     """
     group = [*scope, *keys]
+    key = F.to_json(F.struct(*group), {"ignoreNullFields": "false"})
+    types = {f.name: f.dataType.simpleString() for f in snapshots.schema.fields}
     flat = snapshots.select(
-        F.pmod(F.xxhash64(*group), F.lit(buckets)).alias(BUCKET), *group,
+        _bucket(key, buckets), key.alias(KEY), *[F.col(k).cast("string").alias(k) for k in group],
         F.col("snapshot_no").cast("bigint"), F.unix_micros(F.col(at).cast("timestamp")).alias("at_micros"),
         *[F.col(c).cast("string") for c in counters])
     kinds = {f.name: f.dataType.simpleString() for f in flat.schema.fields}
-    output = ", ".join([*[f"{c} {kinds[c]}" for c in flat.columns], "status string",
+    output = ", ".join([*[f"{c} {kinds[c]}" for c in flat.columns if c != KEY], "status string",
                         *[f"{previous_name(c)} string" for c in counters]])
+    remembered = None
+    if known is not None:
+        remembered = known.select(_bucket(F.col(KEY), buckets), KEY, F.col("snapshot_no").cast("bigint"),
+                                  *[F.col(c).cast("string") for c in counters]).groupBy(BUCKET)
     looked_back = flat.groupBy(BUCKET).transformWithStateInPandas(
-        LookBack(group, [kinds[k] for k in group], counters),
-        outputStructType=output, outputMode="Append", timeMode="None")
+        LookBack(counters, forget_ms), outputStructType=output, outputMode="Append",
+        timeMode="None" if forget_ms is None else "ProcessingTime", initialState=remembered)
     return looked_back.select(
-        *group, F.timestamp_micros("at_micros").alias(at), "snapshot_no", "status",
+        *[F.col(k).cast(types[k]).alias(k) for k in group], F.timestamp_micros("at_micros").alias(at), "snapshot_no", "status",
         *[F.col(c).cast("bigint").alias(c) for c in counters],
         *[F.col(previous_name(c)).cast("bigint").alias(previous_name(c)) for c in counters])
