@@ -724,6 +724,18 @@ ORACLES["stream_wait_delta"] = ORACLES["wait_delta"]
 oracle("stream_slow_events", "captured_events", f"{SHRED} AND {SLOW}")
 ORACLES["stream_retention"] = ORACLES["retention_purge"]
 
+# A poll that comes after all others up to 15 is late for every key that has been seen in one of them.
+TARDY = NUMBERED.format("io_snapshots") + f""", k AS (
+SELECT c.*, c.poll = {q.LATE_POLL} AND EXISTS (SELECT 1 FROM n p WHERE p.server_name = c.server_name
+  AND p.database_id = c.database_id AND p.file_id = c.file_id AND p.poll > {q.LATE_POLL} AND p.poll <= 15) AS late
+FROM n c)"""
+oracle("stream_late_snapshots", "io_snapshots", f"""{TARDY}
+SELECT server_name, database_id, file_id, collect_date, poll AS snapshot_no, {names(*IO)} FROM k WHERE late""")
+oracle("stream_deltas_routed", "io_snapshots", f"""{TARDY}, f AS (SELECT * FROM k WHERE NOT late)
+SELECT {IO_DELTAS} {IO_PAIRS.replace("n c JOIN n p", "f c JOIN f p")} WHERE c.num_of_reads + c.num_of_writes > 0""")
+ORACLES["stream_events_routed"] = ORACLES["stream_slow_events"]
+ORACLES["stream_event_rejects"] = ORACLES["event_rejects"]
+
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return dict(ORACLES)
\ No newline at end of file

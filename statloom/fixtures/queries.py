@@ -546,3 +546,55 @@ def stream_retention(i: Inputs) -> DataFrame:
     stream = _numbered_stream(i, i.io_snapshots, folder).drop("snapshot_no")
     jobs.stream_with_retention(stream, f"{folder}-out", f"{folder}-checkpoint", PURGE_KEEP).awaitTermination()
     return read_history(i.spark, f"{folder}-out").drop("dt", "batch_id")
+
+
+LATE_POLL = 7
+
+
+def _routed_counters(i: Inputs, folder: str) -> DataFrame:
+    """Runs the stream twice: over the early polls but one, then over that one and the later polls. Returns the snapshots."""
+    i.spark.conf.set(STATE_STORE, SETTINGS[STATE_STORE])
+    numbered = i.io_snapshots.join(number_snapshots(i.io_snapshots, SERVER), [*SERVER, "collect_date"])
+    numbered.write.parquet(f"{folder}-staged")
+    staged = i.spark.read.parquet(f"{folder}-staged")
+    early = (F.col("snapshot_no") <= 15) & (F.col("snapshot_no") != LATE_POLL)
+    for part, wanted in (("early", early), ("later", ~early)):
+        staged.filter(wanted).write.parquet(f"{folder}/{part}")
+        jobs.stream_counters_routed(stream_table(i.spark, f"{folder}/*", staged), f"{folder}-out", f"{folder}-checkpoint").awaitTermination()
+    return staged
+
+
+@register
+def stream_late_snapshots(i: Inputs) -> DataFrame:
+    folder = shared_dir(i.spark, "stream-late")
+    staged = _routed_counters(i, folder)
+    return jobs.routed_late(i.spark, f"{folder}-out", staged)
+
+
+@register
+def stream_deltas_routed(i: Inputs) -> DataFrame:
+    folder = shared_dir(i.spark, "stream-routed")
+    staged = _routed_counters(i, folder)
+    return jobs.routed_deltas(i.spark, f"{folder}-out", staged)
+
+
+def _routed_events(i: Inputs, folder: str) -> DataFrame:
+    lines = F.replace("event_xml", F.lit("\n"), F.lit("&#10;"))  # a text source has one document in a line
+    i.event_documents().select(lines.alias("event_xml")).write.text(folder)
+    documents = stream_event_documents(i.spark, folder)
+    jobs.stream_events_routed(documents, f"{folder}-out", f"{folder}-checkpoint", SLOW_US).awaitTermination()
+    return documents
+
+
+@register
+def stream_events_routed(i: Inputs) -> DataFrame:
+    folder = shared_dir(i.spark, "stream-events-routed")
+    return jobs.routed_events(i.spark, f"{folder}-out", _routed_events(i, folder))
+
+
+@register
+def stream_event_rejects(i: Inputs) -> DataFrame:
+    folder = shared_dir(i.spark, "stream-rejects")
+    rejects = jobs.routed_rejects(i.spark, f"{folder}-out", _routed_events(i, folder))
+    name = F.regexp_extract("event_xml", "^<event name=['\"]([a-z_]+)", 1)
+    return rejects.groupBy(name.alias("object_name")).agg(F.count(F.lit(1)).alias("rejects"))
