@@ -7,6 +7,7 @@ polynomial over a table of random values per byte: the hash of any slice follows
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -141,8 +142,21 @@ def split(data: np.ndarray, offsets: np.ndarray, lower: bool = True, alphanumeri
     return Words(data, offsets, start, end, np.searchsorted(start, offsets))
 
 
+@lru_cache(maxsize=1)
+def _return_freed_memory() -> None:
+    """Once in a worker: freed arrays of some megabytes go back to the system, so idle workers hold little beside a heap."""
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
+    if mallopt:
+        for option, size in ((-3, 4 << 20), (-1, 8 << 20)):  # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD of the C library
+            mallopt(option, size)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of Arrow batches with at most ``limit`` bytes of ``text``, or a single row."""
+    """Slices of Arrow batches with at most ``limit`` bytes of ``text``, or a single row.
+
+    After the last one, what the worker keeps for the hashes of slices is dropped; the next task makes it again.
+    """
+    _return_freed_memory()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -153,6 +167,8 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTE
             stop = min(max(stop, row + 1), batch.num_rows)
             yield batch.slice(row, stop - row)
             row = stop
+    _powers.cache_clear()
+    pa.default_memory_pool().release_unused()
 
 
 def words_of(chunk: pa.RecordBatch, text: str, **options) -> Words:
