@@ -735,6 +735,9 @@ oracle("stream_deltas_routed", "io_snapshots", f"""{TARDY}, f AS (SELECT * FROM
 SELECT {IO_DELTAS} {IO_PAIRS.replace("n c JOIN n p", "f c JOIN f p")} WHERE c.num_of_reads + c.num_of_writes > 0""")
 ORACLES["stream_events_routed"] = ORACLES["stream_slow_events"]
 ORACLES["stream_event_rejects"] = ORACLES["event_rejects"]
+ORACLES["event_files"] = ORACLES["event_shred"]
+ORACLES["event_file_rejects"] = ORACLES["event_rejects"]
+ORACLES["stream_event_files"] = ORACLES["stream_slow_events"]
 
 
 def oracle_sql() -> dict[str, str]:

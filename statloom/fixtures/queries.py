@@ -30,6 +30,7 @@ from statloom.plans.snapshots import number_snapshots
 from statloom.session import SETTINGS, STATE_STORE
 from statloom.sources.history import read_history
 from statloom.sources.shared import shared_dir
+from statloom.sources.event_files import read_event_files, stream_event_files as event_file_stream
 from statloom.sources.tables import stream_event_documents, stream_table
 from statloom.streaming import jobs
 
@@ -147,6 +148,25 @@ def event_rejects(i: Inputs) -> DataFrame:
     return events.event_rejects(i.event_documents()).groupBy("object_name").agg(F.count(F.lit(1)).alias("rejects"))
 
 
+def _event_folder(i: Inputs, name: str) -> str:
+    folder = shared_dir(i.spark, name)
+    i.event_documents().select("event_xml").write.text(folder)
+    return folder
+
+
+@register
+def event_files(i: Inputs) -> DataFrame:
+    """Captured documents written as files, read back by ranges of bytes, shredded."""
+    return events.event_shred(read_event_files(i.spark, _event_folder(i, "event-files")))
+
+
+@register
+def event_file_rejects(i: Inputs) -> DataFrame:
+    rejects = events.event_rejects(read_event_files(i.spark, _event_folder(i, "event-file-rejects")))
+    name = F.regexp_extract("event_xml", "^<event name=['\"]([a-z_]+)", 1)
+    return rejects.groupBy(name.alias("object_name")).agg(F.count(F.lit(1)).alias("rejects"))
+
+
 @register
 def failover_events(i: Inputs) -> DataFrame:
     return events.failover_events(i.event_documents())
@@ -254,9 +274,9 @@ def table_size_limit(i: Inputs) -> DataFrame:
     return storage.table_size_limit(i.partition_stats, i.internal_tables, i.tables_catalog, i.columns, min_mb=10)
 
 
-def _fingerprints(i: Inputs) -> DataFrame:
+def _fingerprints(i: Inputs, column_ids: bool = False) -> DataFrame:
     return indexes.index_fingerprint(i.indexes, i.index_columns, i.columns, i.tables_catalog, i.partitions,
-                                     i.allocation_units)
+                                     i.allocation_units, column_ids)
 
 
 @register
@@ -271,7 +291,7 @@ def duplicate_indexes(i: Inputs) -> DataFrame:
 
 @register
 def duplicate_indexes_prefix(i: Inputs) -> DataFrame:
-    return indexes.duplicate_indexes(_fingerprints(i), mode="prefix")
+    return indexes.duplicate_indexes(_fingerprints(i, column_ids=True), mode="prefix")
 
 
 @register
@@ -598,3 +618,15 @@ def stream_event_rejects(i: Inputs) -> DataFrame:
     rejects = jobs.routed_rejects(i.spark, f"{folder}-out", _routed_events(i, folder))
     name = F.regexp_extract("event_xml", "^<event name=['\"]([a-z_]+)", 1)
     return rejects.groupBy(name.alias("object_name")).agg(F.count(F.lit(1)).alias("rejects"))
+
+
+@register
+def stream_event_files(i: Inputs) -> DataFrame:
+    """Slow events of event files; more files arrive between two runs, and the second goes on from the first's offsets."""
+    folder = shared_dir(i.spark, "stream-event-files")
+    documents = i.event_documents().withColumn("early", F.crc32("event_xml") % 2 == 0)
+    for early in (True, False):
+        documents.filter(F.col("early") == early).select("event_xml").write.mode("append").text(folder)
+        slow = jobs.stream_slow_events(event_file_stream(i.spark, folder), SLOW_US)
+        jobs.run_to_parquet(slow, f"{folder}-out", f"{folder}-checkpoint")
+    return i.spark.read.parquet(f"{folder}-out")
