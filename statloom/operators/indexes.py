@@ -52,7 +52,8 @@ def column_lists(index_columns: DataFrame, columns: DataFrame) -> DataFrame:
     return named_index_columns(index_columns, columns).groupBy(*INDEX).agg(
         _listed(at, name, F.lit(True)).alias("columns_all"),
         _listed(at, name, ~_is("is_included_column")).alias("columns_key"),
-        _listed(at, name, _is("is_included_column")).alias("columns_included"))
+        _listed(at, name, _is("is_included_column")).alias("columns_included"),
+        F.transform(F.sort_array(F.collect_list(F.struct(at, "column_id"))), lambda c: c["column_id"]).alias("column_ids"))
 
 
 def _user_indexes(indexes: DataFrame, tables: DataFrame) -> DataFrame:
@@ -65,14 +66,18 @@ def _user_indexes(indexes: DataFrame, tables: DataFrame) -> DataFrame:
 
 def index_fingerprint(
     indexes: DataFrame, index_columns: DataFrame, columns: DataFrame, tables: DataFrame,
-    partitions: DataFrame, allocation_units: DataFrame,
+    partitions: DataFrame, allocation_units: DataFrame, column_ids: bool = False,
 ) -> DataFrame:
-    """Every index of a user table with its three column lists, flags and size in megabytes."""
+    """Every index of a user table with its three column lists, flags and size in megabytes.
+
+    ``column_ids`` adds the ids of all columns in order, an array, which ``duplicate_indexes`` compares in prefix mode.
+    """
     return (_user_indexes(indexes, tables)
             .join(index_sizes(partitions, allocation_units), list(INDEX))
             .join(column_lists(index_columns, columns), list(INDEX), "left")
             .select(*INDEX, "schema_name", "table_name", "index_name", "type_desc", "is_unique", "is_primary_key",
-                    "is_unique_constraint", "columns_all", "columns_key", "columns_included", "index_size_mb"))
+                    "is_unique_constraint", "columns_all", "columns_key", "columns_included", "index_size_mb",
+                    *(["column_ids"] if column_ids else [])))
 
 
 _PAIR_FIELDS = ("index_id", "index_name", "columns", "is_unique", "is_primary_key", "is_unique_constraint",
@@ -103,24 +108,44 @@ def _equal_pairs(fingerprints: DataFrame, columns: str, more: tuple[str, ...] =
 
 
 def _covered_pairs(fingerprints: DataFrame) -> DataFrame:
-    """Pairs where the list of index 2 is a leading part of the list of index 1, by looking up every prefix."""
-    listed = fingerprints.withColumnRenamed("columns_all", "columns").filter(F.col("columns").isNotNull())
-    names = F.split("columns", SEPARATOR)
-    prefixes = F.explode(F.transform(F.sequence(F.lit(1), F.size(names)),
-                                     lambda n: F.array_join(F.slice(names, F.lit(1), n), SEPARATOR)))
-    left = listed.select(*TABLE, "schema_name", "table_name", prefixes.alias("_prefix"), *_side(1))
-    right = listed.select(*TABLE, F.col("columns").alias("_prefix"), *_side(2))
-    equal = F.col("index1_columns") == F.col("index2_columns")
-    return (left.join(right, [*TABLE, "_prefix"])
-            .filter(~equal | (F.col("index1_id") < F.col("index2_id"))).drop("_prefix", "object_id"))
+    """Pairs where the list of index 2 is a leading part of the list of index 1, in one pass over each table's indexes.
+
+    Sorted by their arrays, lists come right after their leading parts. So the scan keeps the open ones, those that the
+    current list begins with, and what is closed once never has to be looked at again.
+    """
+    fields = [f for f in _PAIR_FIELDS if f != "columns"]
+    entry = F.struct("_ids", *fields, F.col("columns_all").alias("columns"))
+    entries = F.sort_array(F.collect_list(entry))
+    ids = (F.col("column_ids") if "column_ids" in fingerprints.columns else F.split("columns_all", SEPARATOR))
+    grouped = (fingerprints.filter(F.col("columns_all").isNotNull()).withColumn("_ids", ids)
+               .groupBy(*TABLE, "schema_name", "table_name").agg(entries.alias("_entries")).filter(F.size("_entries") > 1))
+    one = grouped.schema["_entries"].dataType.simpleString()
+    start = F.struct(F.expr(f"cast(array() as {one})").alias("open"),
+                     F.expr(f"cast(array() as array<struct<top:{one[6:-1]},covered:{one}>>)").alias("found"))
+
+    def step(state: Column, current: Column) -> Column:
+        covered = F.filter(state["open"], lambda o: F.slice(current["_ids"], F.lit(1), F.size(o["_ids"])) == o["_ids"])
+        pair = F.struct(current.alias("top"), covered.alias("covered"))
+        return F.struct(F.concat(covered, F.array(current)).alias("open"),
+                        F.when(F.size(covered) > 0, F.concat(state["found"], F.array(pair))).otherwise(state["found"]).alias("found"))
+
+    place = [*DATABASE, "schema_name", "table_name"]
+    found = F.aggregate("_entries", start, step)["found"]
+    pairs = (grouped.select(*place, F.explode(found).alias("_found"))
+             .select(*place, F.col("_found.top").alias("_top"), F.explode("_found.covered").alias("_covered")))
+    equal = F.col("_top._ids") == F.col("_covered._ids")  # then the lower id, which was met first, is index 1
+    return (pairs.select(*place, F.when(equal, F.col("_covered")).otherwise(F.col("_top")).alias("_first"),
+                         F.when(equal, F.col("_top")).otherwise(F.col("_covered")).alias("_second"))
+            .select(*place, *_side(1, "_first"), *_side(2, "_second")))
 
 
 def duplicate_indexes(fingerprints: DataFrame, mode: str = "equal") -> DataFrame:
     """Pairs of indexes of one table with the same columns, key and included columns taken together.
 
     ``mode='equal'``: same list, lower index id first. ``mode='prefix'``: index 2 is covered, its list being a
-    leading part of index 1's list or, with the lower id first, equal to it; whole column names are compared.
-    The input is the output of ``index_fingerprint``.
+    leading part of index 1's list or, with the lower id first, equal to it. The input is the output of
+    ``index_fingerprint``; with its ``column_ids`` prefix mode compares columns by id, else whole names as they are
+    printed, which a name that contains the separator can mislead.
     """
     if mode not in ("equal", "prefix"):
         raise ValueError(f"mode must be 'equal' or 'prefix', not {mode!r}")

@@ -125,6 +125,22 @@ def test_covering_pairs_compare_whole_names(frame):
         ("t1", 4, 5)}
 
 
+def test_covering_pairs_by_column_ids(frame):
+    from pyspark.sql import functions as F
+    lists = {1: [1], 2: [1, 2], 3: [1, 2], 4: [2], 5: [1, 2, 3], 6: [10], 7: [1, 10], 8: [10, 2], 9: [1, 2, 3]}
+    df = frame(FINGERPRINT, *[index(n, "a, b") for n in lists], *[index(n, "a, b", table=2) for n in (1, 7)])
+    arrays = F.create_map(*[F.lit(x) for n, c in lists.items() for x in (n, c)])
+    got = pairs(indexes.duplicate_indexes(df.withColumn("column_ids", arrays[F.col("index_id")]), mode="prefix"))
+    want = {("t1", a, b) for a, x in lists.items() for b, y in lists.items() if a != b and x[:len(y)] == y and (x != y or a < b)}
+    assert got == want | {("t2", 7, 1)}
+
+
+def test_covering_pairs_scan_fingerprints_once(frame):
+    df = frame(FINGERPRINT, index(1, "a, b"), index(2, "a"))
+    plan = indexes.duplicate_indexes(df, mode="prefix")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("LogicalRDD") == 1 and plan.count("Aggregate [") == 1
+
+
 def test_key_duplicates_drop_the_second_by_its_real_schema(frame):
     df = frame(FINGERPRINT, index(2, "a, x", key="a"), index(3, "a", key="a"))
     row = indexes.duplicate_indexes_keys(df).first()
