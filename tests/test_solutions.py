@@ -1,7 +1,7 @@
 """The monitoring solutions from stored snapshots to stored, purged histories."""
 
 from statloom.operators import counters, waits
-from statloom.plans.solutions import run_io_alert_solution, run_io_solution, run_wait_solution, snapshots_from
+from statloom.plans.solutions import number_new_polls, run_io_alert_solution, run_io_solution, run_wait_solution, snapshots_from
 from statloom.sources.history import purge_history, read_history, stored_days, write_history
 from test_counters import SNAPSHOT, snap
 from test_waits import WAIT
@@ -96,3 +96,66 @@ def test_last_wait_that_matters_may_be_old(spark, frame, tmp_path):
     runs_equal_recompute(spark, tmp_path, run_wait_solution,
                          frame(WAIT, ("s", "LCK_M_X", "2024-01-01", 1, 10, 1, 1), ("s", "LCK_M_X", "2024-01-02", 1, 20, 1, 2), *rows),
                          frame(WAIT, ("s", "LCK_M_X", "2024-01-20", 1, 30, 1, 3)))
+
+
+POLLS = "server_name string, collect_date timestamp"
+
+
+def test_polls_without_rows_break_pairs(spark, frame, tmp_path):
+    snapshots, polls, history, plain = (str(tmp_path / n) for n in ("snapshots", "polls", "history", "plain"))
+    write_history(frame(SNAPSHOT, *[snap(d, *[d * d] * 7) for d in (1, 2, 4, 5, 20)], *[snap(d, *[d] * 7, server="t") for d in (2, 4)]), snapshots)
+    days = lambda path: sorted((r.server_name, r.collect_date.day) for r in read_history(spark, path).collect())
+    run = lambda path, **more: run_io_solution(spark, snapshots, path, "2024-01-25", **more)
+    run(plain)
+    assert days(plain) == [("s", 2), ("s", 4), ("s", 5), ("s", 20), ("t", 4)]
+    run(history, polls=polls)  # nothing is listed yet
+    assert days(history) == days(plain)
+    write_history(frame(POLLS, ("s", "2024-01-03"), ("s", "2024-01-02"), ("t", "2024-01-05")), polls)  # listed late
+    run(history, polls=polls)
+    assert days(history) == [("s", 2), ("s", 5), ("s", 20), ("t", 4)]
+    write_history(frame(POLLS, ("s", "2024-01-12"), ("s", "2024-01-12")), polls)
+    run(history, polls=polls)
+    assert days(history) == [("s", 2), ("s", 5), ("t", 4)]
+    write_history(frame(SNAPSHOT, snap(21, *[500] * 7), snap(21, *[9] * 7, server="t")), snapshots)
+    run(history, polls=polls)  # the last poll of t was one without rows, weeks ago
+    assert days(history) == [("s", 2), ("s", 5), ("s", 21), ("t", 4)]
+    whole = str(tmp_path / "whole")
+    run(whole, polls=polls)
+    assert days(whole) == days(history)
+
+
+def test_empty_polls_break_alerts_and_waits(spark, frame, tmp_path):
+    snapshots, polls, alerts = (str(tmp_path / n) for n in ("snapshots", "polls", "alerts"))
+    write_history(frame(SNAPSHOT, *[snap(d, *[1000 * d] * 7) for d in (1, 3, 4)]), snapshots)
+    write_history(frame(POLLS, ("s", "2024-01-02")), polls)
+    run_io_alert_solution(spark, snapshots, alerts, "2024-01-05", polls=polls, read_ms=900)
+    assert [r.collect_date.day for r in read_history(spark, alerts).collect()] == [4]
+    raw, waited = str(tmp_path / "raw"), str(tmp_path / "waited")
+    write_history(frame(WAIT, *[("s", "LCK_M_X", f"2024-01-0{d}", 1, d * 10, 1, d) for d in (1, 3, 4)]), raw)
+    run_wait_solution(spark, raw, waited, "2024-01-05", polls=polls)
+    assert [r.collect_date.day for r in read_history(spark, waited).collect()] == [4]
+
+
+def test_polls_are_numbered_on(spark, frame, tmp_path):
+    path = str(tmp_path / "numbered")
+    numbers = lambda: sorted((r.server_name, r.collect_date.day, r.snapshot_no) for r in read_history(spark, path).collect())
+    for _ in range(2):
+        number_new_polls(spark, path, frame(POLLS, ("s", "2024-01-02"), ("s", "2024-01-04"), ("s", "2024-01-04"), ("t", "2024-01-03"), (None, None)))
+        assert numbers() == [("s", 2, 1), ("s", 4, 2), ("t", 3, 1)]
+    number_new_polls(spark, path, frame(POLLS, ("s", "2024-01-03"), ("s", "2024-01-04"), ("s", "2024-01-05"), ("s", "2024-01-06"), ("u", "2024-01-01")))
+    assert numbers() == [("s", 2, 1), ("s", 4, 2), ("s", 5, 3), ("s", 6, 4), ("t", 3, 1), ("u", 1, 1)]
+    number_new_polls(spark, path, frame(POLLS))
+    assert len(numbers()) == 6
+
+
+def test_a_numbered_poll_without_rows_breaks_the_pair_of_a_stream(spark, frame, tmp_path):
+    from statloom.sources.tables import stream_table
+    from statloom.streaming import jobs
+    registry, folder = str(tmp_path / "numbered"), str(tmp_path / "in")
+    number_new_polls(spark, registry, frame(POLLS, *[("s", f"2024-01-0{d}") for d in (1, 2, 3, 4)]))
+    rows = frame(SNAPSHOT, *[snap(d, *[d * d] * 7) for d in (1, 3, 4)])  # nothing on the second
+    numbers = read_history(spark, registry).drop("dt")
+    rows.join(numbers, ["server_name", "collect_date"]).select(*rows.columns, "snapshot_no").write.parquet(folder)
+    deltas = jobs.stream_counter_delta(stream_table(spark, folder, spark.read.parquet(folder)))
+    jobs.run_to_parquet(deltas, str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    assert [(r.collect_date.day, r.num_of_reads) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(4, 7)]
