@@ -53,9 +53,10 @@ TEMPLATES = (
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
 
-# The tokens without which a notice is that of another license, per template.
-IDENTIFYING = ("gnu general public 3", "gnu general public", "apache 2 0", "apache 2 0", "cc by nc 4 0",
-               "creative commons attribution 4 0", "mit", "", "", "", "mozilla 2 0")
+# The tokens without which a notice is that of another license, or none, per template. Short notices need
+# all their words but one that may well be left out.
+IDENTIFYING = ("gnu general public license licensed 3", "gnu general public", "licensed under apache license version 2 0", "apache 2 0",
+               "licensed cc by nc 4 0", "creative commons attribution license 4 0", "released under mit license", "", "", "", "mozilla 2 0")
 
 
 @dataclass(frozen=True)

@@ -77,3 +77,14 @@ def test_notice_of_another_license_gets_no_label(spark):
 def test_windows_by_step_hold_obligatory_tokens_too(spark):
     rows = scanned(spark, ["Licensed under CC BY 4.0", "Licensed under CC BY-NC 4.0"], licenses.LicensePlan(obligatory=licenses.IDENTIFYING))
     assert [rows[0].blocks, rows[1].blocks[0].label] == [None, "cc-by-nc-4.0"]
+
+
+def test_ordinary_texts_with_words_of_a_short_notice_get_no_label(spark):
+    texts = ["the dataset that MIT researchers released under the agreement", "a license that MIT gave under the treaty",
+             "Apache helicopter, version 2.0, was licensed under the treaty", "under CC and also by NC, licensed 4 times",
+             "the GNU project works in general with the public, version 3, this is under work"]
+    rows = scanned(spark, texts, licenses.WHOLE)
+    assert [(rows[n].labels, rows[n].blocks) for n in range(len(texts))] == [("", None)] * len(texts)
+    short = ["Licensed under Apache License, Version 2.0", "Released under a MIT License", "licensed, CC BY-NC 4.0"]
+    rows = scanned(spark, short, licenses.WHOLE)
+    assert [{b.label for b in rows[n].blocks or ()} for n in range(3)] == [{"apache-2.0"}, {"mit"}, {"cc-by-nc-4.0"}]
