@@ -31,7 +31,8 @@ def plan(spark, sf_dir):
 
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_no_product_join_no_python_no_single_task_window(plan, name):
-    text = plan(name)
+    # the reader of event files is a Python source, as README says; nothing after its scan may be Python
+    text = "\n".join(line for line in plan(name).split("\n") if "BatchScan event_files" not in line)
     for operator in ("CartesianProduct", "NestedLoopJoin", "Python", "Pandas"):
         assert operator not in text
     assert not re.search(r"Window \[[^\n]*\n[^\n]*(Sort[^\n]*\n[^\n]*)?SinglePartition", text)
