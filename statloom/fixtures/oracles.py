@@ -723,6 +723,7 @@ ORACLES["stream_threshold_alert"] = ORACLES["io_threshold_alert"]
 ORACLES["stream_wait_delta"] = ORACLES["wait_delta"]
 oracle("stream_slow_events", "captured_events", f"{SHRED} AND {SLOW}")
 ORACLES["stream_retention"] = ORACLES["retention_purge"]
+oracle("history_compaction", "io_snapshots", " SELECT * FROM io_snapshots")
 
 # A poll that comes after all others up to 15 is late for every key that has been seen in one of them.
 TARDY = NUMBERED.format("io_snapshots") + f""", k AS (

@@ -28,7 +28,8 @@ from statloom.operators import (
 )
 from statloom.plans.snapshots import number_snapshots
 from statloom.session import SETTINGS, STATE_STORE
-from statloom.sources.history import read_history
+from statloom.sources.compaction import compact_history
+from statloom.sources.history import read_history, write_history
 from statloom.sources.shared import shared_dir
 from statloom.sources.event_files import read_event_files, stream_event_files as event_file_stream
 from statloom.sources.tables import stream_event_documents, stream_table
@@ -568,6 +569,19 @@ def stream_retention(i: Inputs) -> DataFrame:
     return read_history(i.spark, f"{folder}-out").drop("dt", "batch_id")
 
 
+@register
+def history_compaction(i: Inputs) -> DataFrame:
+    """Snapshots that arrive in parts, their days compacted after the second and, with late rows, after the third."""
+    folder = shared_dir(i.spark, "history-compaction")
+    parts = i.io_snapshots.withColumn("part", F.pmod(F.xxhash64("server_name", "collect_date"), F.lit(3)))
+    last = str(i.io_snapshots.agg(F.to_date(F.max("collect_date"))).first()[0])
+    for part in range(3):
+        write_history(parts.filter(F.col("part") == part).drop("part"), folder)
+        if part:
+            compact_history(i.spark, folder, last)
+    return read_history(i.spark, folder).drop("dt")
+
+
 LATE_POLL = 7
 
 

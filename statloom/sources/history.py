@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, LongType, StructField, StructType
 
 from statloom.operators.counters import IO_HISTORY_KEEP, retention_cutoff
+from statloom.sources import compaction, manifest
+from statloom.sources.manifest import BATCH, DAY
 
-DAY = "dt"
-BATCH = "batch_id"
 TIME_TEXT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 _DAY_NAME = re.compile(r"\d{4,}-\d\d-\d\d")
 
@@ -53,6 +53,8 @@ def read_route(spark: SparkSession, path: str, value: str, schema: StructType, r
     names = [s.getPath() for s in fs.listStatus(root) if s.isDirectory()] if fs.exists(root) else []
     found = [p.toString() for p in names if p.getName().split("=", 1)[-1] == value and (route is None or p.getName() == f"{route}={value}")]
     whole = StructType([*schema.fields, StructField(DAY, DateType()), StructField(BATCH, LongType())])
+    if len(found) == 1 and (state := manifest.load(spark, found[0])).days:
+        return manifest.resolved(spark, found[0], state).select(*[F.col(f.name).cast(f.dataType) for f in whole])
     return spark.read.schema(whole).parquet(*found) if found else spark.createDataFrame([], whole)
 
 
@@ -72,7 +74,7 @@ def replace_range(df: DataFrame, path: str, days: tuple[str, str], at: str = "co
 
     Rows of ``df`` outside that range are not written. The days with rows are replaced first; a run that stops before
     the emptied ones are dropped is made good by running it again. ``df`` is computed once: a day was written if it has
-    files that were not there before.
+    files that were not there before. Compacted days in the range are plain folders again.
     """
     spark, (first, last) = df.sparkSession, days
     inside = df.filter(F.to_date(at).between(F.lit(first).cast("date"), F.lit(last).cast("date")))
@@ -88,15 +90,20 @@ def replace_range(df: DataFrame, path: str, days: tuple[str, str], at: str = "co
     for day, (folder, names) in after.items():
         if day in before and before[day][1] == names:
             fs.delete(folder, True)
+    state = manifest.load(spark, path.rstrip("/"))
+    if any(first <= day <= last for day in state.days):
+        manifest.commit(spark, path.rstrip("/"), state, {d: entry for d, entry in state.days.items() if not first <= d <= last})
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """The history at ``path``; filter on ``dt`` to read only some days."""
-    return spark.read.parquet(path)
+    """The history at ``path``, compacted days from their manifest; filter on ``dt`` to read only some days."""
+    root = path.rstrip("/")
+    state = manifest.load(spark, root)
+    return manifest.resolved(spark, root, state) if state.days else spark.read.parquet(path)
 
 
 def day_folders(spark: SparkSession, path: str):
-    """The day folders of a history, as (date text, Hadoop path), with their file system."""
+    """The day folders of a history, as (date text, Hadoop path), with their file system; not those of compacted rows."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     root = hadoop.Path(path)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -107,16 +114,16 @@ def day_folders(spark: SparkSession, path: str):
 
 
 def stored_days(spark: SparkSession, path: str) -> list[str]:
-    """The days of a history in order, from the names of its folders."""
-    return sorted(day for day, _ in day_folders(spark, path)[1])
+    """The days of a history in order, from the names of its folders and its manifest."""
+    return sorted({day for day, _ in day_folders(spark, path)[1]} | set(manifest.load(spark, path.rstrip("/")).days))
 
 
 def newest_time(spark: SparkSession, path: str, at: str = "collect_date") -> str | None:
     """The latest ``at`` in a history, as text; only the newest day is read."""
-    _, days = day_folders(spark, path)
+    days = stored_days(spark, path)
     if not days:
         return None
-    newest_day = read_history(spark, path).filter(F.col(DAY) == F.lit(max(day for day, _ in days)).cast("date"))
+    newest_day = read_history(spark, path).filter(F.col(DAY) == F.lit(days[-1]).cast("date"))
     return newest_day.agg(F.date_format(F.max(at), TIME_TEXT).alias("at")).first()["at"]
 
 
@@ -128,7 +135,8 @@ def purge_history(
     Days before the cutoff are dropped as folders without reading them; only the day of the cutoff is rewritten,
     into a hidden folder that is swapped in when it is complete. A purge that was interrupted is finished by the
     next one, wherever it stopped: once the old day has been set aside, whatever stands in its place is newer and is
-    kept, together with the staged rows. Purging twice changes nothing.
+    kept, together with the staged rows. Purging twice changes nothing. Where days have been compacted, a new manifest
+    takes out all that goes in one step, before any folder is deleted, and the day of the cutoff gets a new version.
     """
     cutoff = retention_cutoff(as_of, keep)
     boundary = spark.range(1).select(F.date_format(cutoff, "yyyy-MM-dd").alias("day")).first()["day"]
@@ -166,6 +174,9 @@ def purge_history(
             else:
                 fs.delete(hadoop.Path(f"{root}/{name}"), True)
 
+    state = manifest.load(spark, root)
+    if state.days:
+        return _purge_compacted(spark, root, state, cutoff, boundary, at)
     dropped = 0
     for day, folder in days:
         if day < boundary:
@@ -179,3 +190,20 @@ def purge_history(
              .parquet(f"{root}/_purge_{boundary}"))
             swap_in(boundary)
     return dropped
+
+
+def _purge_compacted(spark: SparkSession, root: str, state: manifest.Manifest, cutoff, boundary: str, at: str) -> int:
+    fs, folders = day_folders(spark, root)
+    _, hadoop_path = manifest.file_system(spark, root)
+    old = {day for day in stored_days(spark, root) if day < boundary}
+    left = {day: entry for day, entry in state.days.items() if day not in old}
+    if boundary in left or any(day == boundary for day, _ in folders):
+        on_day = manifest.resolved(spark, root, state, [boundary])
+        if not on_day.filter(F.col(at) < cutoff).isEmpty():
+            left[boundary] = compaction.rewritten(spark, root, state, boundary, at, keep=F.col(at) >= cutoff)
+    if left != state.days:
+        manifest.commit(spark, root, state, left)
+    for day in old:
+        fs.delete(hadoop_path(f"{root}/{DAY}={day}"), True)
+        fs.delete(hadoop_path(f"{root}/{manifest.CLOSED}/{DAY}={day}"), True)
+    return len(old)

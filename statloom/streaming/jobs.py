@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from statloom.contracts import SERVER
 from statloom.operators import counters, events, waits
+from statloom.sources.compaction import compact_history
 from statloom.sources.history import newest_of_batch, newest_time, purge_history, read_route, write_history, write_routed
 from statloom.streaming.lookback import LATE, PAIRED
 from statloom.streaming.pairing import pair_stream
@@ -72,10 +73,12 @@ def run_to_parquet(stream: DataFrame, path: str, checkpoint: str) -> None:
 
 def stream_with_retention(
     stream: DataFrame, path: str, checkpoint: str, keep: str = counters.IO_HISTORY_KEEP,
-    at: str = "collect_date", available_now: bool = True,
+    at: str = "collect_date", available_now: bool = True, compact: bool = False,
 ) -> StreamingQuery:
     """Append every batch to the day-partitioned history at ``path`` and purge it when a new day begins.
 
+    With ``compact`` the days before the new one are compacted then, too, those with late rows again.
+
     The purge is driven by the newest event time, not by the wall clock. After a start the history itself is read for
     it, after that only the newest day that a batch has written. A batch that is repeated after a failure replaces its own
     files, so nothing is stored twice. A batch without rows, or with rows without a time only, moves nothing.
@@ -91,6 +94,8 @@ def stream_with_retention(
         times["newest"] = newest
         if newest is not None and newest[:10] != times["purged"]:
             purge_history(spark, path, newest, keep, at)
+            if compact:
+                compact_history(spark, path, newest[:10], at)
             times["purged"] = newest[:10]
 
     return _started(stream, append_and_purge, checkpoint, available_now)
