@@ -88,7 +88,11 @@ def _streams(batches: Iterator[pa.RecordBatch], plan: OrderPlan) -> Iterator[tup
 
 def _token_counts(docs: DataFrame, plan: OrderPlan) -> dict[int, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = sum(len(stream) for stream, _, _ in _streams(batches, plan))
+        from statloom.llm.tokens import encoder
+        encode, total = encoder(plan.tokenizer).encode, 0
+        for chunk in chunks(batches, "_bytes"):
+            _, before = encode(*binary_parts(chunk.column("_bytes")), ids=False)
+            total += int(before[-1]) + chunk.num_rows
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([total])], ["part", "n"])
 
     return {r["part"]: r["n"] for r in docs.mapInArrow(run, "part long, n long").collect()}  # a row per partition

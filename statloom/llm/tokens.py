@@ -15,6 +15,7 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 
 from statloom.llm.text import SliceHash
 
@@ -31,6 +32,13 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _marked(size: int, *places: np.ndarray) -> np.ndarray:
+    out = np.zeros(size, bool)
+    for some in places:
+        out[some] = True
+    return out
+
+
 def _cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where pieces start, and which texts are a single piece because of other white space."""
     blank = (data == 0x20) | (data == 0x0A)
@@ -38,7 +46,8 @@ def _cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     bad = [np.flatnonzero(_BAD[data])]
     if len(at):
         after = np.minimum(at + 1, len(data) - 1)
-        first, last = np.isin(at, offsets[:-1]), np.isin(at + 1, offsets[1:])
+        edge = _marked(len(data) + 1, offsets)
+        first, last = edge[at], edge[at + 1]
         bad.append(at[first | last | blank[after]])
     padded = np.concatenate([data, np.zeros(2, np.uint8)])
     lead = np.flatnonzero((data == 0xC2) | ((data >= 0xE1) & (data <= 0xE3)))
@@ -89,7 +98,8 @@ class Encoder:
         stops = np.searchsorted(ends, wanted, side="right")
         if not len(ends) or not np.array_equal(ends[stops - 1], wanted):
             return None
-        return np.split(joined, stops[:-1])
+        edges = [0, *stops.tolist()]
+        return [joined[a:b] for a, b in zip(edges, edges[1:])]
 
     def _encode_new(self, pieces: list[str], single: np.ndarray) -> list[np.ndarray]:
         found: list[np.ndarray | None] = [None] * len(pieces)
@@ -111,15 +121,16 @@ class Encoder:
         self.flat[self.used:self.used + len(ids)] = ids
         self.used += len(ids)
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts in ``data``, and where each text's ids begin (one more at the end)."""
+    def encode(self, data: np.ndarray, offsets: np.ndarray, ids: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in ``data`` (none without ``ids``), and where each text's ids begin (one more at the end)."""
         filled = offsets[:-1][np.diff(offsets) > 0]
         if not len(filled):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         cuts, single = _cuts(data, offsets)
-        start = np.union1d(filled, cuts)
+        start = np.flatnonzero(_marked(len(data), filled, cuts))
         end = np.append(start[1:], len(data))
-        hashes, shown, piece = np.unique(SliceHash(data)(start, end), return_index=True, return_inverse=True)
+        piece, hashes = pd.factorize(SliceHash(data)(start, end))  # numbered as they come
+        shown = np.flatnonzero(np.diff(np.maximum.accumulate(piece), prepend=-1))
 
         at = np.searchsorted(self.keys, hashes)
         known = at < len(self.keys)
@@ -132,13 +143,13 @@ class Encoder:
             begin, stop = start[shown[new]], end[shown[new]]
             alone = single[np.searchsorted(offsets, begin, side="right") - 1]
             raw = data.tobytes()
-            ids = self._encode_new([raw[a:b].decode("utf-8", "replace") for a, b in zip(begin.tolist(), stop.tolist())],
-                                   alone)
+            found = self._encode_new([raw[a:b].decode("utf-8", "replace") for a, b in zip(begin.tolist(), stop.tolist())],
+                                     alone)
             order = np.argsort(alone, kind="stable")  # single texts last, as they aren't remembered
-            lengths = np.fromiter((len(ids[n]) for n in order), np.int64, len(order))
+            lengths = np.fromiter((len(found[n]) for n in order), np.int64, len(order))
             starts = self.used + np.cumsum(lengths) - lengths
             place[new[order]], sizes[new[order]] = starts, lengths
-            self._append(np.concatenate([ids[n] for n in order]))
+            self._append(np.concatenate([found[n] for n in order]))
             room = max(0, REMEMBERED - len(self.keys))
             lasting = new[order[:min(room, int((~alone).sum()))]]
             if len(lasting):
@@ -146,11 +157,11 @@ class Encoder:
 
         counts = sizes[piece].astype(np.int64)
         ends = np.cumsum(counts)
-        out = self.flat[np.repeat(place[piece] - (ends - counts), counts) + np.arange(ends[-1])]
+        out = self.flat[np.repeat(place[piece] - (ends - counts), counts) + np.arange(ends[-1])] if ids else np.zeros(0, np.uint32)
         before = np.concatenate([[0], ends])[np.searchsorted(start, offsets)]
         self.used = kept
         if len(lasting):
-            lasting = np.sort(lasting)
+            lasting = lasting[np.argsort(hashes[lasting])]
             where = np.searchsorted(self.keys, hashes[lasting])
             self.keys = np.insert(self.keys, where, hashes[lasting])
             self.place = np.insert(self.place, where, place[lasting])
