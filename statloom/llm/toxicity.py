@@ -2,9 +2,10 @@
 
 A word is the mean of the vectors of its character n-grams, ends marked, so a misspelt or compounded word shares most
 of its vectors with those seen in training. A span is the mean of its distinct words and a linear softmax
-reads it; a document scores as its most toxic span, so a few words count in a text of any length. Training starts with every
-span under its document's label, then goes on with the strongest span of each toxic document and the strongest spans
-of clean ones. Vectors and softmax are fitted together.
+reads it; a document scores as its most toxic span, so a few words count in a text of any length. A span begins at every
+word, so words in front of a phrase don't change its score. Training starts with spans side by side under their document's
+label, then goes on with the strongest span of each toxic document and the strongest spans of clean ones. Vectors and
+softmax are fitted together.
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ from statloom.llm.subwords import ragged, subword_buckets
 from statloom.llm.text import Words, binary_parts, map_texts, split
 
 
+_ONE = float(1 << 30)  # means are rounded to parts of this
+
+
 @dataclass(frozen=True)
 class ToxicityPlan:
     buckets: int = 1 << 17
@@ -45,34 +49,50 @@ class ToxicityModel:
 
 
 def _spans(words: Words, plan: ToxicityPlan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word of each span, its number of words, and the first span of each text (one more at the end)."""
-    per_text = -(-words.counts // plan.span)
-    first = np.concatenate([[0], np.cumsum(per_text)])
-    start = ragged(np.zeros(len(per_text), np.int64), per_text) * plan.span + np.repeat(words.first[:-1], per_text)
-    stop = np.minimum(start + plan.span, np.repeat(words.first[1:], per_text))
-    return start, stop - start, first
+    """First word of each span, its number of words, and the first span of each text (one more at the end).
+
+    A span begins at every word, the last ones of a text being shorter: words put in front of a text take none away.
+    """
+    start = np.arange(len(words.start))
+    return start, np.minimum(np.repeat(words.first[1:], words.counts) - start, plan.span), words.first
 
 
-def _distinct(word: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _span_logits(words: Words, word: np.ndarray, means: np.ndarray, start: np.ndarray, plan: ToxicityPlan, bias: float) -> np.ndarray:
+    """The logit of every span, from the number of each word and the means of these numbers.
+
+    A word counts for the spans that begin after the word before it that is equal, and reach it: running sums of what
+    comes in and goes out. They are taken over whole numbers, so a text's score does not depend on others in its chunk.
+    """
+    at = np.arange(len(word))
+    order = np.argsort(word, kind="stable")
+    again = np.flatnonzero(word[order[1:]] == word[order[:-1]])
+    since = np.maximum(at - plan.span + 1, np.repeat(words.first[:-1], words.counts))
+    since[order[again + 1]] = np.maximum(since[order[again + 1]], order[again] + 1)
+    value = np.rint(means[word] * _ONE)
+    sums, sizes = ((np.cumsum((np.bincount(since, v, len(at)) - np.append(0, v[:-1])).astype(np.int64)))
+                   for v in (value, np.ones(len(at))))
+    return sums[start] / _ONE / np.maximum(sizes[start], plan.least) + bias
+
+
+def _distinct(word: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which words of the spans are the first of their kind in their span, and how many those are per span."""
-    span = np.repeat(np.arange(len(start)), size)
+    span = np.repeat(np.arange(len(size)), size)
     order = np.lexsort((word, span))
     again = np.zeros(len(word), bool)
     again[order[1:]] = (word[order[1:]] == word[order[:-1]]) & (span[order[1:]] == span[order[:-1]])
-    return ~again, np.bincount(span[~again], minlength=len(start))
+    return ~again, np.bincount(span[~again], minlength=len(size))
 
 
 def score_texts(model: ToxicityModel, words: Words) -> np.ndarray:
     """The probability of toxicity of each text; a text without words scores as an empty span."""
     plan = model.plan
-    start, size, first = _spans(words, plan)
+    start, _, first = _spans(words, plan)
     best = np.full(len(words.counts), model.bias)
     if len(start):
         _, shown, place = np.unique(words.hashes(), return_index=True, return_inverse=True)
         bucket, owner = subword_buckets(words, shown, plan.grams, plan.buckets, whole=False)
         means = np.bincount(owner, model.weight[bucket], len(shown)) / np.bincount(owner, minlength=len(shown))
-        new, size = _distinct(place, start, size)
-        spans = np.add.reduceat(means[place] * new, start) / np.maximum(size, plan.least) + model.bias
+        spans = _span_logits(words, place, means, start, plan, model.bias)
         filled = words.counts > 0
         best[filled] = np.maximum.reduceat(spans, first[:-1][filled])
     return sigmoid(best)
@@ -92,11 +112,7 @@ class _Fit:
             parts.append(np.bincount(owner, minlength=len(shown[low:low + 20_000])))
         self.bucket, self.parts = np.concatenate(found), np.concatenate(parts)
         self.begin = np.cumsum(self.parts) - self.parts
-        self.all_words = self.word
-        start, size, self.first = _spans(self.words, plan)
-        new, self.size = _distinct(self.word, start, size)
-        self.word = self.word[new]  # spans follow one another, so they still do without their repeated words
-        self.start = np.cumsum(self.size) - self.size
+        self.start, self.size, self.first = _spans(self.words, plan)
         self.text = np.repeat(np.arange(len(sample.label)), np.diff(self.first))
         self.label = sample.label
         self.softmax = self.rng.uniform(-1, 1, (plan.size, 2)).astype(np.float32)
@@ -110,7 +126,7 @@ class _Fit:
 
         What only one or two texts have would just be learnt by heart.
         """
-        once = np.unique(self.words.text_of * np.int64(len(self.parts)) + self.all_words)
+        once = np.unique(self.words.text_of * np.int64(len(self.parts)) + self.word)
         texts, held = np.bincount(self.label, minlength=2), np.zeros((2, self.plan.buckets), np.int64)
         edges = np.searchsorted(once, np.arange(len(self.label) + 1) * np.int64(len(self.parts)))
         for text, (low, high) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
@@ -131,8 +147,9 @@ class _Fit:
             self._step(spans[some], labels[some], weight[some])
 
     def _step(self, spans: np.ndarray, labels: np.ndarray, importance: np.ndarray) -> None:
-        size = self.size[spans]
-        word = self.word[ragged(self.start[spans], size)]
+        word = self.word[ragged(self.start[spans], self.size[spans])]
+        new, size = _distinct(word, self.size[spans])
+        word = word[new]
         parts = self.parts[word]
         entry = self.bucket[ragged(self.begin[word], parts)]
         of_span = np.repeat(np.repeat(np.arange(len(spans)), size), parts)
@@ -155,9 +172,31 @@ class _Fit:
         self.softmax -= self.plan.rate * 0.2 * of_softmax / np.sqrt(self.seen_softmax)
         self.bias -= self.plan.rate * error.sum(0)
 
+    def _aside(self) -> np.ndarray:
+        """Which spans stand side by side in their texts, from a place picked by chance on."""
+        inner = np.arange(len(self.text)) - self.first[self.text]
+        phase = self.rng.integers(0, self.plan.span, len(self.label))[self.text]
+        phase = np.minimum(phase, np.diff(self.first)[self.text] - 1)
+        return (inner - phase) % self.plan.span == 0
+
     def some_spans(self, most: int) -> np.ndarray:
-        order = np.lexsort((self.rng.random(len(self.text)), self.text))
-        return order[np.arange(len(order)) - self.first[self.text[order]] < most]
+        aside = np.flatnonzero(self._aside())
+        return self._first_of_texts(aside[np.lexsort((self.rng.random(len(aside)), self.text[aside]))], most)
+
+    def _first_of_texts(self, spans: np.ndarray, most: int | np.ndarray) -> np.ndarray:
+        """Of spans in the order of their texts the first ``most`` of each."""
+        held = np.bincount(self.text[spans], minlength=len(self.label))
+        return spans[ragged(np.zeros(len(held), np.int64), held) < most]
+
+    def strongest(self, model: ToxicityModel) -> np.ndarray:
+        """The strongest span of each toxic text and three of each clean one, no two of them in one stretch of a span."""
+        logits = self.span_logits(model)
+        inner = np.arange(len(self.text)) - self.first[self.text]
+        stretch = np.cumsum(inner % self.plan.span == 0)
+        order = np.lexsort((-logits, stretch))
+        tops = order[np.append(True, stretch[order[1:]] != stretch[order[:-1]])]
+        tops = tops[np.lexsort((-logits[tops], self.text[tops]))]
+        return self._first_of_texts(tops, np.where(self.label[self.text[tops]] == 1, 1, 3))
 
     def model(self) -> ToxicityModel:
         difference = self.softmax[:, 1] - self.softmax[:, 0]
@@ -165,7 +204,7 @@ class _Fit:
 
     def span_logits(self, model: ToxicityModel) -> np.ndarray:
         means = np.add.reduceat(model.weight[self.bucket], self.begin) / self.parts
-        return np.add.reduceat(means[self.word], self.start) / np.maximum(self.size, self.plan.least) + model.bias
+        return _span_logits(self.words, self.word, means, self.start, self.plan, model.bias)
 
 
 def fit(sample: Sample, plan: ToxicityPlan = ToxicityPlan()) -> ToxicityModel:
@@ -178,10 +217,7 @@ def fit(sample: Sample, plan: ToxicityPlan = ToxicityPlan()) -> ToxicityModel:
     some = fit_.some_spans(plan.first_spans)
     fit_.train(some, fit_.label[fit_.text[some]])
     for _ in range(plan.rounds):
-        logits = fit_.span_logits(fit_.model())
-        order = np.lexsort((-logits, fit_.text))          # strongest span of each text first
-        rank = np.arange(len(order)) - fit_.first[fit_.text[order]]
-        chosen = order[rank < np.where(fit_.label[fit_.text[order]] == 1, 1, 3)]
+        chosen = fit_.strongest(fit_.model())
         fit_.train(chosen, fit_.label[fit_.text[chosen]])
     return fit_.model()
 

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from statloom.llm import mil, toxicity
 from statloom.llm.fitting import Sample, labelled_sample, remainder
+from statloom.llm.subwords import subword_buckets
+from statloom.llm.text import split
 
 
 def test_toxic_rows_are_found_and_clean_ones_left(spark, small_dir):
@@ -76,3 +78,35 @@ def test_sample_leaves_out_contradictions_and_is_bounded(odd, some_labels):
     sample = labelled_sample(odd, some_labels, "quality", None, 10, 1000)
     assert sample.label.tolist().count(1) == 1 and sample.label.tolist().count(0) == 2  # 1, and 5 twice; 7 is too long
     assert len(labelled_sample(odd, some_labels, "quality", F.col("doc_id") != 5, 1, 1_000_000).label) == 1
+
+
+def by_hand(model, text):
+    """The score of a text by plain loops: the strongest of all spans, a span being the mean of its distinct words."""
+    plan = model.plan
+    words = split(*_sample([text], [0])[:2], alphanumeric=True)
+    logits = []
+    for n in range(max(1, len(words.start) - plan.span + 1) if len(words.start) else 0):
+        span = {}
+        for k in range(n, min(n + plan.span, len(words.start))):
+            bucket, _ = subword_buckets(words, np.array([k]), plan.grams, plan.buckets, whole=False)
+            span[bytes(words.data[words.start[k]:words.end[k]])] = float(np.mean(model.weight[bucket].astype(float)))
+        logits.append(sum(span.values()) / max(len(span), plan.least) + model.bias)
+    return 1 / (1 + np.exp(-max(logits, default=model.bias)))
+
+
+def test_toxicity_is_that_of_plain_loops_and_stays_wherever_a_phrase_stands(spark, small_dir):
+    docs, labels = (spark.read.parquet(f"{small_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit_from(docs, labels, remainder("doc_id", 3) != 1)
+    rows = docs.join(labels, "doc_id").filter((remainder("doc_id", 3) == 1) & F.col("text").isNotNull()).orderBy("doc_id").collect()
+    some = [r.text for r in rows[:40]] + ["", "  ", "one", "same " * 30, "a b " * 7 + "c", "é ü 日本 |x| y"]
+    assert np.allclose(_score(model, some), [by_hand(model, t) for t in some], atol=1e-7)
+    alone = [_score(model, [t])[0] for t in some]
+    assert alone == _score(model, some).tolist()  # whatever else is in the chunk
+    toxic = [r.text for r in rows if r.toxic == 1 and len(r.text.split()) >= 12]
+    found = [t for t, p in zip(toxic, _score(model, toxic)) if p >= 0.7]
+    before = "the and of with from this that when where then".split()
+    assert found
+    for n in range(1, 12):
+        assert all(p >= 0.7 for p in _score(model, [" ".join((before * 2)[:n]) + " " + t for t in found]))
+    clean = [r.text for r in rows if r.toxic == 0]
+    assert np.mean(_score(model, [" ".join(before) + " " + t for t in clean]) >= 0.7) < 0.03
