@@ -85,7 +85,7 @@ def by_hand(model, text):
     plan = model.plan
     words = split(*_sample([text], [0])[:2], alphanumeric=True)
     logits = []
-    for n in range(max(1, len(words.start) - plan.span + 1) if len(words.start) else 0):
+    for n in range(len(words.start)):
         span = {}
         for k in range(n, min(n + plan.span, len(words.start))):
             bucket, _ = subword_buckets(words, np.array([k]), plan.grams, plan.buckets, whole=False)
