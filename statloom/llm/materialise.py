@@ -76,7 +76,7 @@ def _streams(batches: Iterator[pa.RecordBatch], plan: OrderPlan) -> Iterator[tup
     """Per chunk the ids of its documents, each with its end, where documents begin, and their doc_ids."""
     from statloom.llm.tokens import encoder
     encode = encoder(plan.tokenizer).encode
-    for chunk in chunks(batches, "_bytes"):
+    for chunk in chunks(batches, "_bytes", keep=encoder):
         ids, before = encode(*binary_parts(chunk.column("_bytes")))
         begin = before + np.arange(len(before))
         stream = np.full(begin[-1], plan.end, np.uint32)
@@ -90,7 +90,7 @@ def _token_counts(docs: DataFrame, plan: OrderPlan) -> dict[int, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from statloom.llm.tokens import encoder
         encode, total = encoder(plan.tokenizer).encode, 0
-        for chunk in chunks(batches, "_bytes"):
+        for chunk in chunks(batches, "_bytes", keep=encoder):
             _, before = encode(*binary_parts(chunk.column("_bytes")), ids=False)
             total += int(before[-1]) + chunk.num_rows
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([total])], ["part", "n"])

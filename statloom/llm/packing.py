@@ -38,7 +38,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
         from statloom.llm.tokens import encoder
         encode_texts = encoder(tokenizer).encode
         number = TaskContext.get().partitionId() << 40
-        for chunk in chunks(batches, "text"):
+        for chunk in chunks(batches, "text", keep=encoder):
             ids, before = encode_texts(*binary_parts(chunk.column("text")))
             raw, doc_ids = ids.astype("<u4", copy=False).tobytes(), chunk.column("doc_id")
             lengths = np.diff(before) + 1

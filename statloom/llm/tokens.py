@@ -17,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 
-from statloom.llm.text import SliceHash
+from statloom.llm.text import LASTING, SliceHash
 
 REMEMBERED = 600_000  # pieces kept per Python worker, some 30 MB
 
@@ -171,5 +171,8 @@ class Encoder:
 
 @lru_cache(maxsize=1)
 def encoder(path: str | None = None) -> Encoder:
-    """One encoder per Python worker, so what it remembers lasts from task to task."""
+    """One encoder per Python worker, so what it remembers lasts from task to task, until one that has no use for it."""
     return Encoder(path)
+
+
+LASTING.append(encoder)

@@ -84,3 +84,11 @@ def test_pack(spark, odd, small_dir):
     made = packing.sequences(odd, 64).collect()
     assert sum(r.length for r in made) == total == sum(len(bytes(r.ids)) // 4 for r in made)
     assert packing.pack(odd.limit(0)).count() == 0
+
+
+def test_other_tasks_of_a_worker_drop_the_encoder():
+    from statloom.llm.text import chunks
+    from statloom.llm.tokens import encoder
+    kept = encoder(None)
+    assert list(chunks(iter([]), "text", keep=encoder)) == [] and encoder(None) is kept
+    assert list(chunks(iter([]), "text")) == [] and encoder.cache_info().currsize == 0
