@@ -167,3 +167,17 @@ def test_one_host_reads_few_row_groups(spark, folder):
     assert found.count() == before == 200
     assert read_rows(found) < 0.1 * 400_000
     assert read_rows(read_history(spark, folder).filter("server_name = 'host00101'")) == 0  # between others: the Bloom filter
+
+
+def test_days_are_rewritten_side_by_side(spark, frame, folder, monkeypatch):
+    import threading
+    want, real, both = fill(frame, folder), compaction.resolved, threading.Barrier(2, timeout=60)
+
+    def met(*args, **more):
+        both.wait()  # breaks unless another day is under way
+        return real(*args, **more)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(compaction, "resolved", met)
+        assert compact_history(spark, folder, "2024-01-03", at_once=2) == ["2024-01-01", "2024-01-02"]
+    assert values(spark, folder) == want and manifest.load(spark, folder).number == 2
