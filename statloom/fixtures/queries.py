@@ -516,12 +516,22 @@ def read_throughput(i: Inputs) -> DataFrame:
 
 # ------------------------------------------------------------------------------------------------------ streaming
 
+def _written(i: Inputs, df: DataFrame, path: str) -> DataFrame:
+    """``df`` from files, where it is used several times."""
+    df.write.parquet(path)
+    return i.spark.read.schema(df.schema).parquet(path)
+
+
+def _staged(i: Inputs, snapshots: DataFrame, folder: str) -> DataFrame:
+    """Numbered snapshots, computed once."""
+    given = _written(i, snapshots, f"{folder}-given")
+    return _written(i, given.join(number_snapshots(given, SERVER), [*SERVER, "collect_date"]), f"{folder}-staged")
+
+
 def _numbered_stream(i: Inputs, snapshots: DataFrame, folder: str) -> DataFrame:
     """Numbered snapshots as a stream of files: the early polls were written first, the later ones after them."""
     i.spark.conf.set(STATE_STORE, SETTINGS[STATE_STORE])  # these queries run in any session
-    numbered = snapshots.join(number_snapshots(snapshots, SERVER), [*SERVER, "collect_date"])
-    numbered.write.parquet(f"{folder}-staged")
-    staged = i.spark.read.parquet(f"{folder}-staged")
+    staged = _staged(i, snapshots, folder)
     for part, wanted in (("early", F.col("snapshot_no") <= 15), ("later", F.col("snapshot_no") > 15)):
         staged.filter(wanted).write.parquet(f"{folder}/{part}")
     files_per_batch = max(4, len(staged.inputFiles()))
@@ -573,8 +583,9 @@ def stream_retention(i: Inputs) -> DataFrame:
 def history_compaction(i: Inputs) -> DataFrame:
     """Snapshots that arrive in parts, their days compacted after the second and, with late rows, after the third."""
     folder = shared_dir(i.spark, "history-compaction")
-    parts = i.io_snapshots.withColumn("part", F.pmod(F.xxhash64("server_name", "collect_date"), F.lit(3)))
-    last = str(i.io_snapshots.agg(F.to_date(F.max("collect_date"))).first()[0])
+    given = _written(i, i.io_snapshots, f"{folder}-given")
+    parts = given.withColumn("part", F.pmod(F.xxhash64("server_name", "collect_date"), F.lit(3)))
+    last = str(given.agg(F.to_date(F.max("collect_date"))).first()[0])
     for part in range(3):
         write_history(parts.filter(F.col("part") == part).drop("part"), folder)
         if part:
@@ -588,9 +599,7 @@ LATE_POLL = 7
 def _routed_counters(i: Inputs, folder: str) -> DataFrame:
     """Runs the stream twice: over the early polls but one, then over that one and the later polls. Returns the snapshots."""
     i.spark.conf.set(STATE_STORE, SETTINGS[STATE_STORE])
-    numbered = i.io_snapshots.join(number_snapshots(i.io_snapshots, SERVER), [*SERVER, "collect_date"])
-    numbered.write.parquet(f"{folder}-staged")
-    staged = i.spark.read.parquet(f"{folder}-staged")
+    staged = _staged(i, i.io_snapshots, folder)
     early = (F.col("snapshot_no") <= 15) & (F.col("snapshot_no") != LATE_POLL)
     for part, wanted in (("early", early), ("later", ~early)):
         staged.filter(wanted).write.parquet(f"{folder}/{part}")

@@ -13,9 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statloom.plans.snapshots import previous_name
-from statloom.streaming.lookback import BUCKET, KEY, LookBack
+from statloom.streaming.lookback import BETWEEN, BUCKET, KEY, NONE, LookBack
 
 BUCKETS = 256
+PACKED = "packed"
+_IN_KEY = ("string", "tinyint", "smallint", "int", "bigint")  # types that the text of a key gives back as they were
 
 
 def _bucket(key: Column, buckets: int) -> Column:
@@ -51,21 +53,31 @@ def pair_stream(
     group = [*scope, *keys]
     key = F.to_json(F.struct(*group), {"ignoreNullFields": "false"})
     types = {f.name: f.dataType.simpleString() for f in snapshots.schema.fields}
+    apart = [k for k in group if types[k] not in _IN_KEY]
+    at_micros = F.unix_micros(F.col(at).cast("timestamp"))
+    values = [*[F.col(c) for c in counters], at_micros, *[F.col(k) for k in apart]]
     flat = snapshots.select(
-        _bucket(key, buckets), key.alias(KEY), *[F.col(k).cast("string").alias(k) for k in group],
-        F.col("snapshot_no").cast("bigint"), F.unix_micros(F.col(at).cast("timestamp")).alias("at_micros"),
-        *[F.col(c).cast("string") for c in counters])
+        _bucket(key, buckets), key.alias(KEY), F.col("snapshot_no").cast("bigint"),
+        F.concat_ws(BETWEEN, *[F.coalesce(v.cast("string"), F.lit(NONE)) for v in values]).alias(PACKED))
     kinds = {f.name: f.dataType.simpleString() for f in flat.schema.fields}
-    output = ", ".join([*[f"{c} {kinds[c]}" for c in flat.columns if c != KEY], "status string",
-                        *[f"{previous_name(c)} string" for c in counters]])
+    output = ", ".join([*[f"{c} {kinds[c]}" for c in flat.columns], "status string", f"{previous_name(PACKED)} string"])
     remembered = None
     if known is not None:
         remembered = known.select(_bucket(F.col(KEY), buckets), KEY, F.col("snapshot_no").cast("bigint"),
                                   *[F.col(c).cast("string") for c in counters]).groupBy(BUCKET)
     looked_back = flat.groupBy(BUCKET).transformWithStateInPandas(
-        LookBack(counters, forget_ms), outputStructType=output, outputMode="Append",
+        LookBack(counters, forget_ms, PACKED), outputStructType=output, outputMode="Append",
         timeMode="None" if forget_ms is None else "ProcessingTime", initialState=remembered)
-    return looked_back.select(
-        *[F.col(k).cast(types[k]).alias(k) for k in group], F.timestamp_micros("at_micros").alias(at), "snapshot_no", "status",
-        *[F.col(c).cast("bigint").alias(c) for c in counters],
-        *[F.col(previous_name(c)).cast("bigint").alias(previous_name(c)) for c in counters])
+    parts = looked_back.select(
+        F.from_json(KEY, ", ".join(f"`{k}` string" for k in group)).alias(KEY), "snapshot_no", "status",
+        F.split(PACKED, BETWEEN).alias(PACKED), F.split(previous_name(PACKED), BETWEEN).alias(previous_name(PACKED)))
+
+    def value(number: int, kind: str, packed: str = PACKED) -> Column:
+        return F.nullif(F.col(packed)[number], F.lit(NONE)).cast(kind)
+
+    place = {k: len(counters) + 1 + n for n, k in enumerate(apart)}
+    return parts.select(
+        *[(value(place[k], types[k]) if k in place else F.col(KEY)[k].cast(types[k])).alias(k) for k in group],
+        F.timestamp_micros(value(len(counters), "bigint")).alias(at), "snapshot_no", "status",
+        *[value(n, "bigint").alias(c) for n, c in enumerate(counters)],
+        *[value(n, "bigint", previous_name(PACKED)).alias(previous_name(c)) for n, c in enumerate(counters)])
