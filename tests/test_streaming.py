@@ -271,3 +271,34 @@ def test_every_faulty_document_is_in_one_output(spark, folder, sf_dir):
         want = jobs.stream_slow_events(documents, 1000)
         assert slow.columns == want.columns
         assert sorted(map(str, slow.collect())) == sorted(map(str, want.collect())) and want.count()
+
+
+def test_rows_reach_the_look_back_in_few_columns(spark, frame, folder):
+    """Spark hands rows to Python one by one, at a cost per column; keys of any type and NULLs come back as they were."""
+    schema = SNAPSHOT.replace("database_id int", "database_id timestamp")
+    odd = [('s",\n\\ é', "2024-01-01 00:00:00.000001"), (None, None), ("s", "2024-01-01 00:00:00.000002")]
+    df = frame(schema, *[(name, day_key, 1, f"2024-01-0{d}", 2 ** 62 + d, None, d, d, d, d, d) for name, day_key in odd for d in (1, 2)])
+    numbered = df.withColumn("snapshot_no", F.dayofmonth("collect_date").cast("bigint"))
+    numbered.coalesce(1).write.parquet(f"{folder}/in")
+    stream = jobs.stream_io_pairs(stream_table(spark, f"{folder}/in", numbered))
+    jobs.run_to_parquet(stream, f"{folder}/out", f"{folder}/checkpoint")
+    out = spark.read.parquet(f"{folder}/out")
+    assert out.schema["database_id"].dataType.simpleString() == "timestamp"
+    got = out.filter("status = 'paired'").select("server_name", "database_id", "file_id", "prev_num_of_reads", "num_of_bytes_read").collect()
+    want = df.filter("dayofmonth(collect_date) = 2").select("server_name", "database_id").collect()
+    assert sorted(map(str, [(r[0], r[1]) for r in got])) == sorted(map(str, [(r[0], r[1]) for r in want])) and len(got) == 3
+    assert {(r[2], r[3], r[4]) for r in got} == {(1, 2 ** 62 + 1, None)}
+    plan = stream._jdf.queryExecution().analyzed().toString()
+    step = next(line for line in plan.split("\n") if "TransformWithState" in line)
+    assert "prev_num_of_reads" not in step and "prev_packed" in step
+
+
+def test_days_of_a_stateful_batch_are_one_file_each(spark, frame, folder):
+    from pathlib import Path
+    df = frame(SNAPSHOT, *[snap(d, *[d] * 7, file=f) for f in range(1, 40) for d in (1, 2, 3)])
+    numbered = df.join(number_snapshots(df, ["server_name"]), ["server_name", "collect_date"])
+    numbered.coalesce(1).write.parquet(f"{folder}/in")
+    jobs.stream_counters_routed(stream_table(spark, f"{folder}/in", numbered), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    assert jobs.routed_deltas(spark, f"{folder}/out", numbered).count() == 2 * 39
+    files = [p.parent.parent.name for p in Path(f"{folder}/out/status=paired").rglob("*.parquet")]
+    assert sorted(files) == ["dt=2024-01-02", "dt=2024-01-03"]
