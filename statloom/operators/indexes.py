@@ -6,6 +6,8 @@ what bounds the lists collected here and the pairs of duplicate indexes within o
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,10 +24,15 @@ def _is(flag: str) -> Column:
     return F.col(flag).cast("boolean")
 
 
-def _listed(order: Column, text: Column, wanted: Column) -> Column:
-    """Aggregate: ``text`` of the wanted rows in ``order``, as one comma-separated string; NULL when there are none."""
-    pairs = F.sort_array(F.collect_list(F.when(wanted, F.struct(order.alias("at"), text.alias("text")))))
-    return F.nullif(F.array_join(F.transform(pairs, lambda p: p["text"]), SEPARATOR), F.lit(""))
+def _rows(**values: Column) -> Column:
+    """Aggregate: the named values of all rows of a group, sorted. Lists of a group are cut from one such array."""
+    return F.sort_array(F.collect_list(F.struct(*[value.alias(name) for name, value in values.items()])))
+
+
+def _listed(rows: str, text: str, wanted: Callable[[Column], Column]) -> Column:
+    """``text`` of the wanted entries of the array ``rows``, as one comma-separated string; NULL when there are none."""
+    chosen = F.transform(F.filter(F.col(rows), wanted), lambda r: r[text])
+    return F.nullif(F.array_join(chosen, SEPARATOR), F.lit(""))
 
 
 def index_sizes(partitions: DataFrame, allocation_units: DataFrame) -> DataFrame:
@@ -48,12 +55,15 @@ def named_index_columns(index_columns: DataFrame, columns: DataFrame, *attribute
 
 def column_lists(index_columns: DataFrame, columns: DataFrame) -> DataFrame:
     """Per index the ordered column lists: all, key columns only, included columns only. One aggregation."""
-    at, name = F.col("index_column_id"), F.col("column_name")
-    return named_index_columns(index_columns, columns).groupBy(*INDEX).agg(
-        _listed(at, name, F.lit(True)).alias("columns_all"),
-        _listed(at, name, ~_is("is_included_column")).alias("columns_key"),
-        _listed(at, name, _is("is_included_column")).alias("columns_included"),
-        F.transform(F.sort_array(F.collect_list(F.struct(at, "column_id"))), lambda c: c["column_id"]).alias("column_ids"))
+    grouped = named_index_columns(index_columns, columns).groupBy(*INDEX).agg(
+        _rows(at=F.col("index_column_id"), name=F.col("column_name"), included=_is("is_included_column"),
+              column_id=F.col("column_id")).alias("_columns"))
+    return grouped.select(
+        *INDEX,
+        _listed("_columns", "name", lambda r: F.lit(True)).alias("columns_all"),
+        _listed("_columns", "name", lambda r: ~r["included"]).alias("columns_key"),
+        _listed("_columns", "name", lambda r: r["included"]).alias("columns_included"),
+        F.col("_columns.column_id").alias("column_ids"))
 
 
 def _user_indexes(indexes: DataFrame, tables: DataFrame) -> DataFrame:
@@ -322,10 +332,14 @@ def _definition_lists(index_columns: DataFrame, columns: DataFrame) -> DataFrame
     """Key list with directions, include list by name, and the partitioning column, in one aggregation."""
     quoted = quote_name(F.col("column_name"))
     directed = F.concat(quoted, F.when(_is("is_descending_key"), " DESC").otherwise(""))
-    return named_index_columns(index_columns, columns).groupBy(*INDEX).agg(
-        _listed(F.col("key_ordinal"), directed, F.col("key_ordinal") > 0).alias("_keys"),
-        _listed(F.col("column_name"), quoted, _is("is_included_column")).alias("_includes"),
+    grouped = named_index_columns(index_columns, columns).groupBy(*INDEX).agg(
+        _rows(at=F.col("key_ordinal"), directed=directed, name=F.col("column_name"), quoted=quoted,
+              included=_is("is_included_column")).alias("_columns"),
         F.max(F.when(F.col("partition_ordinal") == 1, quoted)).alias("_partition_column"))
+    included = F.transform(F.filter("_columns", lambda r: r["included"]), lambda r: F.struct(r["name"].alias("name"), r["quoted"].alias("quoted")))
+    return (grouped.withColumn("_included", F.sort_array(included))
+            .select(*INDEX, _listed("_columns", "directed", lambda r: r["at"] > 0).alias("_keys"),
+                    _listed("_included", "quoted", lambda r: F.lit(True)).alias("_includes"), "_partition_column"))
 
 
 def _partition_figures(partitions: DataFrame, partition_stats: DataFrame) -> DataFrame:
@@ -338,13 +352,16 @@ def _partition_figures(partitions: DataFrame, partition_stats: DataFrame) -> Dat
         return (F.sum(pages).cast("decimal(20,0)") * 8 / (1024 * 1024)).cast("decimal(32,1)")
 
     known = F.col("row_count").isNotNull()
-    return (partitions.join(stats, [*DATABASE, "partition_id"], "left").groupBy(*INDEX).agg(
+    compressed = F.when(F.col("data_compression").isin(1, 2), F.struct(number.alias("number"), number.cast("string").alias("text"), F.col("data_compression").alias("kind")))
+    figures = (partitions.join(stats, [*DATABASE, "partition_id"], "left").groupBy(*INDEX).agg(
         gigabytes("in_row_reserved_page_count").alias("reserved_in_row_gb"),
         gigabytes("lob_reserved_page_count").alias("reserved_lob_gb"),
         F.sum("row_count").alias("row_count"),
         F.count(F.when(known, 1)).alias("partition_count"),
-        _listed(number, number.cast("string"), F.col("data_compression") == 1).alias("_row_compressed"),
-        _listed(number, number.cast("string"), F.col("data_compression") == 2).alias("_page_compressed")))
+        F.sort_array(F.collect_list(compressed)).alias("_compressed")))
+    return figures.withColumns({
+        "_row_compressed": _listed("_compressed", "text", lambda r: r["kind"] == 1),
+        "_page_compressed": _listed("_compressed", "text", lambda r: r["kind"] == 2)}).drop("_compressed")
 
 
 def _create_text() -> Column:

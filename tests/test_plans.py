@@ -71,3 +71,8 @@ def test_history_predicates_and_columns_reach_the_scan(spark, frame, tmp_path):
     text = kept.select("a")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(collect_date" in text and "ReadSchema: struct<collect_date:timestamp,a:int>" in text
     assert re.search(r"PartitionFilters: \[[^\]]*dt", text)
+
+
+def test_lists_of_an_index_are_collected_once(plan):
+    for name, lists in (("index_fingerprint", 1), ("unused_indexes", 1), ("duplicate_indexes_prefix", 2), ("index_definition", 2)):
+        assert plan(name).count("partial_collect_list") == lists  # one for index columns, one for partitions or pairs
