@@ -146,18 +146,34 @@ def event_shred(i: Inputs) -> DataFrame:
 
 @register
 def event_rejects(i: Inputs) -> DataFrame:
-    return events.event_rejects(i.event_documents()).groupBy("object_name").agg(F.count(F.lit(1)).alias("rejects"))
+    return events.event_rejects(i.event_documents(dealt=True)).groupBy("object_name").agg(F.count(F.lit(1)).alias("rejects"))
+
+
+FILE_DOCUMENTS = 40_000  # of some 1.6 kB: a compressed file is read by one task
+
+
+def _packed_text(documents: DataFrame, folder: str) -> None:
+    """Add documents to a folder in compressed files, a twentieth of their size or so."""
+    (documents.select("event_xml").write.mode("append").option("compression", "gzip")
+     .option("maxRecordsPerFile", FILE_DOCUMENTS).text(folder))
+
+
+def _add_event_files(documents: DataFrame, folder: str) -> None:
+    """Most documents in rolled-over files, compressed, and some in plain ones, which are read by ranges of bytes."""
+    plain = F.crc32("event_xml") % 16 < 2  # even and odd remainders
+    documents.filter(plain).select("event_xml").write.mode("append").text(folder)
+    _packed_text(documents.filter(~plain), folder)
 
 
 def _event_folder(i: Inputs, name: str) -> str:
     folder = shared_dir(i.spark, name)
-    i.event_documents().select("event_xml").write.text(folder)
+    _add_event_files(i.event_documents(dealt=True), folder)
     return folder
 
 
 @register
 def event_files(i: Inputs) -> DataFrame:
-    """Captured documents written as files, read back by ranges of bytes, shredded."""
+    """Captured documents written as files, read back by ranges of bytes (or whole, where compressed), shredded."""
     return events.event_shred(read_event_files(i.spark, _event_folder(i, "event-files")))
 
 
@@ -566,7 +582,7 @@ def stream_wait_delta(i: Inputs) -> DataFrame:
 def stream_slow_events(i: Inputs) -> DataFrame:
     folder = shared_dir(i.spark, "stream-events")
     lines = F.replace("event_xml", F.lit("\n"), F.lit("&#10;"))  # a text source has one document in a line
-    i.event_documents().select(lines.alias("event_xml")).write.text(folder)
+    _packed_text(i.event_documents(dealt=True).select(lines.alias("event_xml")), folder)
     stream = jobs.stream_slow_events(stream_event_documents(i.spark, folder), SLOW_US)
     return _stream_result(i, stream, folder)
 
@@ -623,7 +639,7 @@ def stream_deltas_routed(i: Inputs) -> DataFrame:
 
 def _routed_events(i: Inputs, folder: str) -> DataFrame:
     lines = F.replace("event_xml", F.lit("\n"), F.lit("&#10;"))  # a text source has one document in a line
-    i.event_documents().select(lines.alias("event_xml")).write.text(folder)
+    _packed_text(i.event_documents(dealt=True).select(lines.alias("event_xml")), folder)
     documents = stream_event_documents(i.spark, folder)
     jobs.stream_events_routed(documents, f"{folder}-out", f"{folder}-checkpoint", SLOW_US).awaitTermination()
     return documents
@@ -647,9 +663,9 @@ def stream_event_rejects(i: Inputs) -> DataFrame:
 def stream_event_files(i: Inputs) -> DataFrame:
     """Slow events of event files; more files arrive between two runs, and the second goes on from the first's offsets."""
     folder = shared_dir(i.spark, "stream-event-files")
-    documents = i.event_documents().withColumn("early", F.crc32("event_xml") % 2 == 0)
+    documents = i.event_documents(dealt=True).withColumn("early", F.crc32("event_xml") % 2 == 0)
     for early in (True, False):
-        documents.filter(F.col("early") == early).select("event_xml").write.mode("append").text(folder)
+        _add_event_files(documents.filter(F.col("early") == early), folder)
         slow = jobs.stream_slow_events(event_file_stream(i.spark, folder), SLOW_US)
         jobs.run_to_parquet(slow, f"{folder}-out", f"{folder}-checkpoint")
     return i.spark.read.parquet(f"{folder}-out")

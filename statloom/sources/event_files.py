@@ -6,9 +6,11 @@ piece begins where an ``<event`` tag opens and after each ``</event>``; what sta
 was cut off, is a piece of its own, so nothing is lost and ``event_rejects`` finds it. (Writers of XML escape ``<`` in values;
 an unescaped ``<event`` inside a CDATA section would be taken for a beginning.)
 
-As a stream the offset is a byte for each file, always behind an ``</event>``: a file that grows is read on from there, and a
+Files whose names end in ``.gz`` are rolled over and complete: one task reads such a file whole, and offsets in it count its
+content. As a stream the offset is a byte for each file, always behind an ``</event>``: a file that grows is read on from there, and a
 document that is still being written waits for its end. The driver lists the folder and, of files that have grown, reads the
-tail. An offset has an entry per file in the folder; files that are removed leave it.
+tail. A compressed file is taken up once, whole, when it is found; its offset is its size, and it must not change. An offset
+has an entry per file in the folder; files that are removed leave it.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ NAME = "event_files"
 SCHEMA = "event_xml string, file string, file_offset long"
 RANGE_BYTES = 64 << 20
 BLOCK = 4 << 20
+GZIP = ".gz"
 END = b"</event>"
 _MARK = re.compile(rb"</event>|<event(?=[\s>])")
 
@@ -34,7 +37,8 @@ _MARK = re.compile(rb"</event>|<event(?=[\s>])")
 def pieces(handle, start: int, stop: int, size: int, block: int = BLOCK) -> Iterator[tuple[int, bytes]]:
     """(byte, content) of the pieces that begin in ``[start, stop)`` of a file of which ``size`` bytes count."""
     base = max(0, start - len(END))
-    handle.seek(base)
+    if base:  # compressed files are read from their beginning
+        handle.seek(base)
     buffer, looked, begin = b"", 0, 0 if start == 0 else None
     while True:
         more = handle.read(max(0, min(block, size - base - len(buffer))))
@@ -108,6 +112,8 @@ class _Files:
                 if f.is_file and f.base_name[0] not in "._" and (info.is_file or fnmatch.fnmatchcase(f.base_name, pattern))}
 
     def ranges(self, file: str, start: int, size: int, after: int = -1) -> list[ByteRange]:
+        if file.endswith(GZIP):
+            return [ByteRange(file, 0, sys.maxsize, sys.maxsize, after)]
         return [ByteRange(file, a, min(size, a + self.range_bytes), size, after) for a in range(start, size, self.range_bytes)]
 
     def read(self, part: ByteRange):
@@ -120,7 +126,8 @@ class _Files:
                  pa.array([at for at, _ in rows], pa.int64())], ["event_xml", "file", "file_offset"])
 
         rows, held = [], 0
-        with files.open_input_file(part.file) as handle:
+        packed = part.file.endswith(GZIP)
+        with files.open_input_stream(part.file, compression="gzip") if packed else files.open_input_file(part.file) as handle:
             for begin, raw in pieces(handle, part.start, part.stop, part.size):
                 text = raw.strip()
                 at = begin + len(raw) - len(raw.lstrip())
@@ -163,7 +170,9 @@ class _Stream(_Files, DataSourceStreamReader):
     def latestOffset(self) -> dict:
         files, sizes = self.open_folder()[0], self.sizes()
         for file, size in sizes.items():
-            if self.seen.get(file, (-1, 0))[0] != size:
+            if file.endswith(GZIP):
+                self.seen[file] = (size, size)
+            elif self.seen.get(file, (-1, 0))[0] != size:
                 with files.open_input_file(file) as handle:
                     self.seen[file] = (size, last_end(handle, size))
         self.seen = {file: self.seen[file] for file in sizes}
@@ -175,6 +184,10 @@ class _Stream(_Files, DataSourceStreamReader):
             begin = start["files"].get(file, 0)
             if stop < begin:
                 raise ValueError(f"{file} is shorter than what has been read of it")
+            if file.endswith(GZIP) and begin:
+                if stop != begin:
+                    raise ValueError(f"{file} is compressed and has changed since it was read")
+                continue
             found += self.ranges(file, begin, stop)
         return found
 

@@ -101,3 +101,39 @@ def test_stream_refuses_a_file_that_shrank(spark, tmp_path):
     (folder / "a.xel").write_text(document(3))
     with pytest.raises(Exception, match="shorter than what has been read"):
         jobs.run_to_parquet(stream_event_files(spark, str(folder)), *target)
+
+
+def test_compressed_files_are_read_whole_and_once(spark, tmp_path):
+    import gzip
+    folder, out, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    folder.mkdir()
+
+    def run():
+        jobs.run_to_parquet(stream_event_files(spark, str(folder), range_bytes=700), out, checkpoint)
+        return rows(spark.read.parquet(out))
+
+    text = "\n".join(document(n, "x" * n) for n in range(40))
+    (folder / "a.xel.gz").write_bytes(gzip.compress(text.encode()))
+    (folder / "b.xel").write_text(document(70))
+    got = rows(read_event_files(spark, str(folder), range_bytes=500))
+    assert [x for _, _, x in got] == [*[document(n, "x" * n) for n in range(40)], document(70)]
+    raw = text.encode()
+    assert all(raw[at:at + len(x.encode())] == x.encode() for f, at, x in got if f == "a.xel.gz")
+    assert rows(read_event_files(spark, str(folder), after=(f"{folder}/a.xel.gz", got[20][1]))) == got[21:]
+    assert run() == got and run() == got
+    (folder / "c.xel.gz").write_bytes(gzip.compress(document(80).encode()))
+    assert run() == [*got, ("c.xel.gz", 0, document(80))]
+    (folder / "c.xel.gz").write_bytes(gzip.compress((document(80) + document(81, "y" * 900)).encode()))
+    with pytest.raises(Exception, match="has changed"):
+        run()
+
+
+def test_documents_are_dealt_out_and_written_compressed(spark, sf_dir, tmp_path):
+    from statloom.fixtures.inputs import Inputs
+    from statloom.fixtures.queries import _add_event_files
+    made = Inputs(spark, sf_dir).event_documents(dealt=True)
+    assert made.rdd.getNumPartitions() > 1  # the table is one row group
+    _add_event_files(made, str(tmp_path / "in"))
+    texts = sum(made.selectExpr("sum(octet_length(event_xml) + 1)").first())
+    assert sum(p.stat().st_size for p in (tmp_path / "in").glob("part-*")) < texts / 4
+    assert read_event_files(spark, str(tmp_path / "in")).count() >= made.count()
