@@ -36,6 +36,7 @@ class Inputs:
         """Captured events as XML documents, as a capture writes them: data nodes first, with type and text children.
 
         ``dealt`` deals the rows out before they become documents, which are many times larger: a table may be one row group.
+        It adds ``event_id``: a filter on that acts on rows, one on the text would build documents before they are dealt out.
 
         Some lack the client name, quote with apostrophes, or have blanks around the statement. Malformed ones are cut
         off early, in the middle or near the end, or have a bare ampersand in the statement.
@@ -75,8 +76,7 @@ class Inputs:
             id_ % 4 == 2, F.length(body) - 4).otherwise(F.length(body))
         cut = body.substr(F.lit(1), length.cast("int"))
         document = F.when(F.col("is_malformed") == 1, cut).otherwise(body)
-        rows = self.captured_events
-        if dealt:
-            tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.spark.sparkContext.defaultParallelism)
-            rows = rows.repartition(tasks, "event_id")
-        return rows.select("object_name", document.alias("event_xml"))
+        if not dealt:
+            return self.captured_events.select("object_name", document.alias("event_xml"))
+        tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.spark.sparkContext.defaultParallelism)
+        return self.captured_events.repartition(tasks, "event_id").select("event_id", "object_name", document.alias("event_xml"))

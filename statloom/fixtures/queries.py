@@ -160,7 +160,7 @@ def _packed_text(documents: DataFrame, folder: str) -> None:
 
 def _add_event_files(documents: DataFrame, folder: str) -> None:
     """Most documents in rolled-over files, compressed, and some in plain ones, which are read by ranges of bytes."""
-    plain = F.crc32("event_xml") % 16 < 2  # even and odd remainders
+    plain = F.col("event_id") % 16 < 2  # even and odd ones
     documents.filter(plain).select("event_xml").write.mode("append").text(folder)
     _packed_text(documents.filter(~plain), folder)
 
@@ -663,7 +663,7 @@ def stream_event_rejects(i: Inputs) -> DataFrame:
 def stream_event_files(i: Inputs) -> DataFrame:
     """Slow events of event files; more files arrive between two runs, and the second goes on from the first's offsets."""
     folder = shared_dir(i.spark, "stream-event-files")
-    documents = i.event_documents(dealt=True).withColumn("early", F.crc32("event_xml") % 2 == 0)
+    documents = i.event_documents(dealt=True).withColumn("early", F.col("event_id") % 2 == 0)
     for early in (True, False):
         _add_event_files(documents.filter(F.col("early") == early), folder)
         slow = jobs.stream_slow_events(event_file_stream(i.spark, folder), SLOW_US)

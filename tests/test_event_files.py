@@ -137,3 +137,10 @@ def test_documents_are_dealt_out_and_written_compressed(spark, sf_dir, tmp_path)
     texts = sum(made.selectExpr("sum(octet_length(event_xml) + 1)").first())
     assert sum(p.stat().st_size for p in (tmp_path / "in").glob("part-*")) < texts / 4
     assert read_event_files(spark, str(tmp_path / "in")).count() >= made.count()
+
+
+def test_parts_of_the_documents_are_chosen_before_they_are_built(spark, sf_dir):
+    from statloom.fixtures.inputs import Inputs
+    some = Inputs(spark, sf_dir).event_documents(dealt=True).filter("event_id % 16 < 2").select("event_xml")
+    plan = some._jdf.queryExecution().optimizedPlan().toString()
+    assert "<event name=" in plan.split("RepartitionByExpression")[0] and "<event name=" not in plan.split("RepartitionByExpression")[1]
